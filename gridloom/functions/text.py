@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Exactly the characters that Python's ``str.isspace`` and ``\\s`` accept.
 SPACE = r"[\s\u001c-\u001f\u0085\p{Z}]"
@@ -22,7 +23,7 @@ def fold_key(c: Column) -> Column:
     return F.lower(strip(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC, for which Spark has no function. Null stays null."""
     return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))

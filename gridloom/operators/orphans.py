@@ -37,7 +37,7 @@ VERSION = "struct<at:timestamp_ntz,gone:timestamp_ntz,n:int>"
 
 @dataclass(frozen=True)
 class Orphans:
-    """orphans: one row per orphan reference; snapshots: counts per table, period of use and state, after each epoch."""
+    """orphans: one row per orphan reference; snapshots: per epoch, those settled in it and those still pending after it, counted per table, period of use and state."""
 
     orphans: DataFrame
     snapshots: DataFrame
@@ -120,7 +120,7 @@ def track_orphans(parents: DataFrame, references: DataFrame, period: str = "mont
 
     force = spark.createDataFrame([], f"key string, v {VERSION}")
     pending = spark.createDataFrame([], references.schema)
-    found, snapshots = [], []
+    open_at = []
     settled = lambda df, state: df.select("ref_table", "ref_id", F.lit("sample_id").alias("ref_field"), F.lit(-1).alias("token_index"), F.lit(state).alias("orphan_state"), "used")
     for e in range(len(months)):
         arriving = staged_p.where(F.col("epoch") == e).drop("epoch")
@@ -142,22 +142,20 @@ def track_orphans(parents: DataFrame, references: DataFrame, period: str = "mont
         late = settled(probed.where("known and v is null"), "later")
         gone = settled(probed.where("v.gone <= used"), "deleted")
         lacking = probed.where("v.gone > used").select("ref_table", "ref_id", F.col("index_field").alias("ref_field"), F.explode(F.filter("idxs", lambda i: (i < 0) | (i >= F.col("v.n")))).alias("token_index"), F.lit("missing").alias("orphan_state"), "used")
-        found.append(resolved.unionByName(late).unionByName(gone).unionByName(lacking))
+        # Written epoch by epoch: the plan of the result doesn't grow with the epochs.
+        closed = resolved.unionByName(late).unionByName(gone).unionByName(lacking)
+        closed.withColumn("epoch", F.lit(e)).write.mode("append").parquet(f"{home}/orphans")
         force = cut(index.select("key", F.element_at("light", -1).alias("v")).unionByName(heavy.groupBy("key").agg(F.max("v").alias("v"))) if many else index.select("key", F.element_at("light", -1).alias("v")))
         pending = cut(waiting)
-        snapshots.append((months[e], found[-1], pending))
-    found.append(settled(pending, "missing"))
-    orphans = found[0]
-    for f in found[1:]:
-        orphans = orphans.unionByName(f)
-    orphans = orphans.distinct()
-    tables = None
-    for at, closed, open_ in snapshots:
-        part = closed.unionByName(settled(open_, "pending")).distinct().groupBy("ref_table", F.date_trunc(period, "used").alias("period"), "orphan_state").count().withColumn("epoch_start", F.lit(at))
-        tables = part if tables is None else tables.unionByName(part)
-    if tables is None:
-        tables = spark.createDataFrame([], "ref_table string, period timestamp_ntz, orphan_state string, count bigint, epoch_start timestamp_ntz")
-    return Orphans(orphans, tables)
+        open_at.append(pending.groupBy("ref_table", F.date_trunc(period, "used").alias("period"), F.lit("pending").alias("orphan_state")).count().withColumn("epoch", F.lit(e)))
+    waiting = settled(pending, "missing").withColumn("epoch", F.lit(len(months)))
+    if not months:
+        return Orphans(waiting.drop("epoch").distinct(), spark.createDataFrame([], "ref_table string, period timestamp_ntz, orphan_state string, count bigint, epoch int"))
+    closed = spark.read.schema(waiting.schema).parquet(f"{home}/orphans").distinct()
+    counts = closed.groupBy("ref_table", F.date_trunc(period, "used").alias("period"), "orphan_state", "epoch").count().select(*open_at[0].columns)
+    for part in open_at:
+        counts = counts.unionByName(part)
+    return Orphans(closed.unionByName(waiting).drop("epoch").distinct(), counts)
 
 
 def _probe_epoch(new: DataFrame, light: DataFrame, heavy: DataFrame | None) -> DataFrame:
