@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import components as comp
-from gridloom.llm import overlap
+from gridloom.llm import leaks, overlap
 from gridloom.llm.sql import SQL  # noqa: F401
 from gridloom.session import cut
 from gridloom.sources.tables import table
@@ -43,10 +43,29 @@ def p4_split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(table(spark, sf_dir, "split_targets"), "role", "left")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_leaks_by_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items and leaking documents per suite and language of the items."""
+    items = table(spark, sf_dir, "eval_items")
+    pairs = leaks.find_leaks(table(spark, sf_dir, "documents"), items)
+    return pairs.join(items.select("item_id", "suite", "lang"), "item_id").groupBy("suite", "lang").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def p7_decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with leaked spans cut out."""
+    return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_overlap_counts": p3_overlap_counts,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p4_split_shares": p4_split_shares,
+    "p7_found": p7_found,
+    "p7_leaks_by_suite": p7_leaks_by_suite,
+    "p7_decontaminated": p7_decontaminated,
 }
