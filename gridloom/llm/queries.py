@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import components as comp
-from gridloom.llm import leaks, overlap
+from gridloom.llm import leaks, overlap, sentences
 from gridloom.llm.sql import SQL  # noqa: F401
 from gridloom.session import cut
 from gridloom.sources.tables import table
@@ -59,6 +59,16 @@ def p7_decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents"))
+
+
+def p8_units_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units and their mean length per language as the documents state it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("lang").alias("lang")).distinct()
+    return p8_found(spark, sf_dir).join(docs, "doc_id").groupBy("lang").agg(F.count("*").alias("n_units"), F.avg(F.col("end_char") - F.col("start_char")).alias("mean_chars"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_overlap_counts": p3_overlap_counts,
@@ -68,4 +78,6 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_leaks_by_suite": p7_leaks_by_suite,
     "p7_decontaminated": p7_decontaminated,
+    "p8_found": p8_found,
+    "p8_units_by_lang": p8_units_by_lang,
 }
