@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.text import fold_key
+from gridloom.llm.ranking import ranked
 from gridloom.operators.nested import latest
 from gridloom.session import cut
 
@@ -136,20 +136,6 @@ def subset_sum(sizes: dict[int, int], want: int) -> dict[int, int]:
     return picked
 
 
-def ranked(df: DataFrame, by: str, order: list[str], buckets: int = 64) -> DataFrame:
-    """``df`` with ``rank``, from 0, among the rows of equal ``by``, in the order of a hash of ``order``.
-
-    A hot value is spread over buckets; counts per bucket, small, give each bucket's first
-    rank, and only a bucket is sorted in one task.
-    """
-    rows = df.withColumn("__h", F.xxhash64(*order)).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(by, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(by, "__b").orderBy("__h", *order)
-    return rows.withColumn("__r", F.row_number().over(within) - 1).join(starts, [by, "__b"]).withColumn("rank", F.col("__start") + F.col("__r")).drop("__h", "__b", "__r", "__start")
-
-
 def assign_roles(samples: DataFrame, groups: DataFrame, targets: DataFrame) -> DataFrame:
     """(sample, group_first, group_size, role): a role for each sample, the same for a whole group.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import components as comp
-from gridloom.llm import leaks, overlap, sentences
+from gridloom.llm import leaks, overlap, packing, sentences
 from gridloom.llm.sql import SQL  # noqa: F401
 from gridloom.session import cut
 from gridloom.sources.tables import table
@@ -43,6 +43,17 @@ def p4_split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(table(spark, sf_dir, "split_targets"), "role", "left")
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container and place of each text or piece, for each kind of container."""
+    lengths = cut(packing.token_lengths(table(spark, sf_dir, "documents")))
+    return packing.pack(lengths, table(spark, sf_dir, "pack_capacity"))
+
+
+def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unused space per kind of container."""
+    return packing.fill_report(p6_packing(spark, sf_dir), table(spark, sf_dir, "pack_capacity"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -75,6 +86,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p4_split_shares": p4_split_shares,
+    "p6_packing": p6_packing,
+    "p6_fill_report": p6_fill_report,
     "p7_found": p7_found,
     "p7_leaks_by_suite": p7_leaks_by_suite,
     "p7_decontaminated": p7_decontaminated,

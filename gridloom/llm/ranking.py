@@ -1,0 +1,25 @@
+"""Ranks within values, without sorting a hot value in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Buckets over which each value is spread.
+BUCKETS = 64
+
+
+def ranked(df: DataFrame, by: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``rank``, from 0, among the rows of equal ``by``, in the order of a hash of ``order``.
+
+    The rows of a value are spread over buckets by the hash; the counts per bucket, a
+    small table, give each bucket's first rank, and only a bucket is sorted in one task.
+    ``order`` must tell the rows of a value apart.
+    """
+    rows = df.withColumn("__h", F.xxhash64(*order)).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy(by, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(by, "__b").orderBy("__h", *order)
+    return rows.withColumn("__r", F.row_number().over(within) - 1).join(starts, [by, "__b"]).withColumn("rank", F.col("__start") + F.col("__r")).drop("__h", "__b", "__r", "__start")
