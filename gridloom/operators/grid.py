@@ -17,6 +17,15 @@ CELL = "struct<row:int,col:int,rowspan:int,colspan:int,text:string,tag:string,bb
 CELLS = f"array<{CELL}>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
+
+    A column used once within a lambda would be inlined there by the optimizer, and be
+    evaluated for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_cell(c: Column, geometry: bool = True) -> Column:
     """One cell with defaults: row and col 0, spans at least 1, stripped text, tag ``td`` unless ``th``.
 

@@ -36,7 +36,7 @@ def occupied_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each slot of the gold grids with the last cell that holds it."""
     s = grid.slots(F.col("gold"))
     last = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1)["row"] != x["row"]) | (F.get("s", i + 1)["col"] != x["col"]))
-    return views.gold_tables(spark, sf_dir).select("table_id", s.alias("s")).select("table_id", F.inline(last)).withColumnRenamed("idx", "owner")
+    return views.gold_tables(spark, sf_dir).select("table_id", s.alias("s")).select("table_id", F.inline_outer(last)).where("row is not null").withColumnRenamed("idx", "owner")
 
 
 def _legal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,20 +44,20 @@ def _legal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_right_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _legal(spark, sf_dir).select("table_id", F.inline(grid.merge_right(F.col("owner"), F.col("n_rows"), F.col("n_cols"))))
+    return _legal(spark, sf_dir).select("table_id", F.inline_outer(grid.merge_right(F.col("owner"), F.col("n_rows"), F.col("n_cols")))).where("row is not null")
 
 
 def merge_down_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _legal(spark, sf_dir).select("table_id", F.inline(grid.merge_down(F.col("owner"), F.col("n_rows"), F.col("n_cols"))))
+    return _legal(spark, sf_dir).select("table_id", F.inline_outer(grid.merge_down(F.col("owner"), F.col("n_rows"), F.col("n_cols")))).where("row is not null")
 
 
 def header_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _legal(spark, sf_dir).select("table_id", F.inline(grid.header_mask(F.col("gold"), F.col("owner"), F.col("n_cols"))))
+    return _legal(spark, sf_dir).select("table_id", F.inline_outer(grid.header_mask(F.col("gold"), F.col("owner"), F.col("n_cols")))).where("row is not null")
 
 
 def cell_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = views.raw_and_gold(spark, sf_dir)
-    return both.select("table_id", F.inline(grid.difference(F.col("raw"), F.col("gold"))))
+    return both.select("table_id", F.inline_outer(grid.difference(F.col("raw"), F.col("gold")))).where("row is not null")
 
 
 def topology_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
