@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.columns import pick
+
 NODE_SCHEMA = "dewey string, schema_path string, kind string, name string, value string, attrs map<string,string>"
 #: Members whose object value is a collection keyed by id.
 KEYED = ("tokens", "cells")
@@ -70,7 +72,7 @@ def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...]
     Null, empty and broken texts give no rows; a scalar document gives one item. Equal
     members of an object count as in JSON text, the last wins. Key columns may hold nulls.
     """
-    slim = df.select(*keys, F.col(json_col).alias("__json"))
+    slim = pick(df, *keys, json_col).withColumnRenamed(json_col, "__json")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", " + NODE_SCHEMA
     columns = ["dewey", "schema_path", "kind", "name", "value", "attrs"]
 
@@ -102,10 +104,10 @@ def parent_label(dewey: Column, schema_path: Column) -> Column:
     level of a keyed collection, is one more.
     """
     tail = F.regexp_extract(schema_path, r"((?:\[\]|\{\})*)$", 1)
-    drop = F.when(schema_path.rlike(r"^\$(\[\])*$"), F.lit(0)).otherwise(1) + F.length(tail) / 2
+    drop = (F.length(tail) / 2).cast("int") + 1
     parts = F.split(dewey, r"\.")
-    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - drop.cast("int"), F.lit(0))), ".")
-    return F.when(up != "", up)
+    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - drop, F.lit(0))), ".")
+    return F.when(~schema_path.rlike(r"^\$(\[\])*$"), up)
 
 
 def tables(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,15 +119,16 @@ def latest(records: DataFrame, key: str, at: str, columns: list[str]) -> DataFra
     """The row of each key last by ``at``; rows without key are left out.
 
     Aggregated before the shuffle, so a key with a third of all rows is one row per task.
-    Rows of one instant: the one whose content has the greatest hash. A null ``at`` comes first.
+    Rows of one instant: the one whose content has the greatest hash; ``columns`` hold no maps. A null ``at`` comes first.
     """
     content = F.struct(*[F.col(c) for c in columns])
-    order = F.struct(F.col(at), F.xxhash64(F.to_json(content)))
-    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(content, order).alias("__row")).select(key, "__row.*")
+    order = F.struct(F.col(at), F.xxhash64(*[F.col(c) for c in columns]))
+    return pick(records, key, at, *columns).where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(content, order).alias("__row")).select(key, "__row.*")
 
 
 def states(records: DataFrame) -> DataFrame:
     """(sample_id, table_state, doc) of the latest revision of each sample: the typed gold state and the prior state's text."""
+    records = pick(records, "sample_id", "gold", "prior_json", "revised_at")
     last = latest(records.withColumn("gold_json", F.to_json("gold")), "sample_id", "revised_at", ["gold_json", "prior_json"])
     both = F.array(F.struct(F.lit("gold").alias("table_state"), F.col("gold_json").alias("doc")), F.struct(F.lit("prior").alias("table_state"), F.col("prior_json").alias("doc")))
     return last.select("sample_id", F.inline(both)).where("doc is not null")
@@ -148,7 +151,7 @@ def token_name() -> Column:
 
 
 def cells(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Flat table of cells: keys, dewey, parent, cell_id and the attributes; ``parent_cell`` is the label of the cell around it, if any."""
+    """Flat table of cells: keys, dewey, parent, cell_id and the attributes."""
     return nodes.where(is_cell()).select(*keys, "dewey", "parent", "schema_path", cell_name().alias("cell_id"), "attrs")
 
 

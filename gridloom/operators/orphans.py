@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gridloom.functions.columns import pick
 from gridloom.functions.text import fold_key
 from gridloom.session import cut, shared_dir
 
@@ -30,7 +31,8 @@ from gridloom.session import cut, shared_dir
 LIGHT_VERSIONS = 32
 #: Epochs at most; longer histories get longer epochs, which changes no result.
 MOST_EPOCHS = 8
-FAR_PAST, FAR_FUTURE = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
+#: The time of use of a reference that states none, and, later still, of a withdrawal that hasn't come.
+LAST_USE, FAR_FUTURE = "9999-12-30 00:00:00", "9999-12-31 00:00:00"
 
 VERSION = "struct<at:timestamp_ntz,gone:timestamp_ntz,n:int>"
 
@@ -48,7 +50,7 @@ def parents_of(manifest: DataFrame) -> DataFrame:
 
     Repeated rows collapse. A version without key or time of registration is never in force.
     """
-    return manifest.select(
+    return pick(manifest, "sample_id", "registered_at", "withdrawn_at", "ocr_tokens").select(
         fold_key(F.col("sample_id")).alias("key"),
         F.col("registered_at").cast("timestamp_ntz").alias("at"),
         F.col("withdrawn_at").cast("timestamp_ntz").alias("gone"),
@@ -56,17 +58,19 @@ def parents_of(manifest: DataFrame) -> DataFrame:
     ).where("key is not null and at is not null")
 
 
-def references_of(table: DataFrame, name: str, id_col: str, used_col: str, index_field: str, indexes) -> DataFrame:
+def references_of(table: DataFrame, name: str, id_col: str, used_col: str, index_field: str) -> DataFrame:
     """References (ref_table, ref_id, index_field, key, used, idxs); a null key is no reference.
 
     Null indexes refer to nothing. A reference without time of use sees the whole history.
     """
-    return table.select(
+    slim = pick(table, id_col, "sample_id", used_col, index_field)
+    indexes = F.col(index_field) if slim.schema[index_field].dataType.typeName() == "array" else F.array(index_field)
+    return slim.select(
         F.lit(name).alias("ref_table"),
         F.col(id_col).cast("bigint").alias("ref_id"),
         F.lit(index_field).alias("index_field"),
         fold_key(F.col("sample_id")).alias("key"),
-        F.coalesce(F.col(used_col).cast("timestamp_ntz"), F.lit(FAR_FUTURE).cast("timestamp_ntz")).alias("used"),
+        F.coalesce(F.col(used_col).cast("timestamp_ntz"), F.lit(LAST_USE).cast("timestamp_ntz")).alias("used"),
         F.array_distinct(F.filter(F.coalesce(indexes, F.array().cast("array<int>")), lambda x: x.isNotNull())).alias("idxs"),
     ).where("key is not null")
 
@@ -109,7 +113,7 @@ def track_orphans(parents: DataFrame, references: DataFrame, period: str = "mont
     """
     spark = references.sparkSession
     home = f"{shared_dir(spark)}/orphans-{uuid.uuid4().hex}"
-    bounds = parents.select(F.col("at").alias("t")).union(references.where(f"used < '{FAR_FUTURE}'").select("used"))
+    bounds = parents.select(F.col("at").alias("t")).union(references.where(f"used < '{LAST_USE}'").select("used"))
     months = sorted(r[0] for r in bounds.select(F.date_trunc(period, "t").alias("p")).distinct().collect())
     months = months[:: max(1, -(-len(months) // MOST_EPOCHS))]
     epoch = lambda c: sum((F.when(F.col(c) >= F.lit(m), 1).otherwise(0) for m in months[1:]), F.lit(0))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions.columns import pick
 from gridloom.operators.nested import parse_json
 from gridloom.operators.tree_edit import edit_script
 from gridloom.session import cut
@@ -75,7 +76,7 @@ def read_lines(files: DataFrame, lines: DataFrame, sample_path: str = "sample_id
     Null, broken and empty bodies, other JSON values, lines of another release, and lines
     of unknown files do not count.
     """
-    joined = lines.select("file_id", "line_id", "body").join(files.select("file_id", "stream_id", "schema_release").distinct(), "file_id")
+    joined = pick(lines, "file_id", "line_id", "body").join(pick(files, "file_id", "stream_id", "schema_release").distinct(), "file_id")
     joined = joined.select("stream_id", "file_id", "line_id", "schema_release", "body")
     schema = f"stream_id {joined.schema['stream_id'].dataType.simpleString()}, file_id {joined.schema['file_id'].dataType.simpleString()}, line_id {joined.schema['line_id'].dataType.simpleString()}, sample string, leaves {LEAF}"
 
@@ -110,7 +111,7 @@ def read_lines(files: DataFrame, lines: DataFrame, sample_path: str = "sample_id
 def file_pairs(files: DataFrame) -> DataFrame:
     """(stream_id, file_id, prev_id): each file and the one of its stream written before it; ties by file_id, a null time first."""
     w = Window.partitionBy("stream_id").orderBy("written_at", "file_id")
-    return files.select("stream_id", "file_id", "written_at").distinct().withColumn("prev_id", F.lag("file_id").over(w)).where("prev_id is not null").drop("written_at")
+    return pick(files, "stream_id", "file_id", "written_at").distinct().withColumn("prev_id", F.lag("file_id").over(w)).where("prev_id is not null").drop("written_at")
 
 
 def changes(files: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -78,8 +78,8 @@ def p2_node_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> Orphans:
-    tokens = references_of(table(spark, sf_dir, "candidate_tokens"), "candidate_tokens", "candidate_id", "observed_at", "token_index", F.array("token_index"))
-    cells = references_of(table(spark, sf_dir, "raw_cells"), "raw_cells", "cell_key", "built_at", "ocr_token_indexes", F.col("ocr_token_indexes"))
+    tokens = references_of(table(spark, sf_dir, "candidate_tokens"), "candidate_tokens", "candidate_id", "observed_at", "token_index")
+    cells = references_of(table(spark, sf_dir, "raw_cells"), "raw_cells", "cell_key", "built_at", "ocr_token_indexes")
     return track_orphans(parents_of(table(spark, sf_dir, "table_manifest")), tokens.unionByName(cells))
 
 
