@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.columns import pick
 from gridloom.functions.text import fold_key
 from gridloom.llm.ranking import ranked
 from gridloom.operators.nested import latest
@@ -20,7 +21,6 @@ from gridloom.session import cut
 FILLERS = ("", "n/a", "none", "unknown")
 PREFIX = r"^(?:document-|pair-)"
 KEYS = ("document_cluster_id", "counterfactual_pair_id", "generative_family_key")
-ROLE_NAMES = ("train", "development", "holdout")
 MOST_ROUNDS = 60
 #: Samples in the groups over which a subset-sum bitset runs, at most.
 EXACT_TOTAL = 4_000_000
@@ -35,7 +35,7 @@ def link_key(c: Column) -> Column:
 
 def key_links(records: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(sample, key): the linking keys of each sample's latest revision; a key links within its own field only."""
-    last = latest(records.select("sample_id", "revised_at", *[F.col(f"identity.{k}").alias(k) for k in keys]), "sample_id", "revised_at", list(keys))
+    last = latest(pick(records, "sample_id", "revised_at", "identity").select("sample_id", "revised_at", *[F.col(f"identity.{k}").alias(k) for k in keys]), "sample_id", "revised_at", list(keys))
     entries = F.array(*[F.struct(link_key(F.col(k)).alias("v"), F.lit(str(i)).alias("f")) for i, k in enumerate(keys)])
     return last.select(F.col("sample_id").alias("sample"), F.inline(entries)).where("v is not null").select("sample", F.concat("f", F.lit(":"), "v").alias("key"))
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.columns import pick
+
 WORDS, CHARS = 12, 24
 #: Languages whose items are compared by letters and digits.
 UNSPACED = ("zh", "ja")
@@ -147,7 +149,7 @@ def leaked_spans(text: str, grams: Grams) -> list[tuple[int, int]]:
 
 def _batches(items: DataFrame) -> Iterator[Grams]:
     """The items' n-grams in batches of about BATCH_CHARS characters: what is broadcast doesn't grow with the items."""
-    usable = items.select("item_id", "text", "lang").where("text is not null").distinct()
+    usable = pick(items, "item_id", "text", "lang").where("text is not null").distinct()
     total = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-total // BATCH_CHARS)
     for b in range(n):
@@ -163,7 +165,8 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     forms and hyphens at line breaks make no difference. Repeated documents count once.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").where("text is not null")
+    docs = pick(documents, "doc_id", "text").where("text is not null")
+    items = pick(items, "item_id", "text", "lang")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType)])
     out = spark.createDataFrame([], schema)
     for grams in _batches(items):

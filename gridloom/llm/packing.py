@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.columns import pick
 from gridloom.llm.ranking import ranked
 from gridloom.session import cut
 
@@ -55,7 +56,7 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
 
 def token_lengths(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, text_hash, n_tokens) of each distinct document; null texts have no tokens."""
-    docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    docs = pick(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

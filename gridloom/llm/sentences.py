@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gridloom.functions.columns import pick
 from gridloom.session import cut
 
 CHUNK, LEFT, RIGHT = 8192, 256, 2048
@@ -302,7 +303,7 @@ def sentence_units(documents: DataFrame) -> DataFrame:
     run through the transducer at once; longer ones chunk by chunk, see the module's text.
     Rules look at 256 characters before and 2048 after an event.
     """
-    docs = documents.select("doc_id", "text").where("text is not null")
+    docs = pick(documents, "doc_id", "text").where("text is not null")
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType())])
 
