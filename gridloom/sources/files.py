@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.text import strip
+
 COVERAGE = "category string, gate_label string, phenomenon string, requested_count int, train_count int, development_count int, holdout_count int, counterfactual_pair_required boolean, primary_risk string"
 
 
@@ -58,8 +60,8 @@ def binary(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def seals(spark: SparkSession, root: str) -> DataFrame:
     """(seal, artifact, expected) from ``.sha256`` lines (digest, space, name) and ``.seal.json`` files."""
-    a = texts(spark, root, "*.sha256").where("trim(text) != ''")
-    lines = a.select(F.col("path").alias("seal"), F.trim(F.regexp_extract(F.trim("text"), r"^\S+\s+(.*)$", 1)).alias("artifact"), F.regexp_extract(F.trim("text"), r"^(\S+)", 1).alias("expected"))
+    a = texts(spark, root, "*.sha256").withColumn("line", strip(F.col("text"))).where("line != ''")
+    lines = a.select(F.col("path").alias("seal"), F.trim(F.regexp_extract("line", r"^\S+\s+(.*)$", 1)).alias("artifact"), F.regexp_extract("line", r"^(\S+)", 1).alias("expected"))
     b = texts(spark, root, "*.seal.json").withColumn("v", F.try_parse_json("text"))
     objects = b.select(F.col("path").alias("seal"), F.try_variant_get("v", "$.artifact", "string").alias("artifact"), F.try_variant_get("v", "$.artifact_sha256", "string").alias("expected"))
     return lines.unionByName(objects.where("artifact is not null and expected is not null"))
