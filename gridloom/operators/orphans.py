@@ -30,7 +30,7 @@ from gridloom.session import cut, shared_dir
 #: Versions of one key within an epoch that are held in one array; keys with more go by time slots.
 LIGHT_VERSIONS = 32
 #: Epochs at most; longer histories get longer epochs, which changes no result.
-MOST_EPOCHS = 8
+MOST_EPOCHS = 4
 #: The time of use of a reference that states none, and, later still, of a withdrawal that hasn't come.
 LAST_USE, FAR_FUTURE = "9999-12-30 00:00:00", "9999-12-31 00:00:00"
 
