@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import pick
 from gridloom.llm.ranking import ranked
-from gridloom.session import cut
+from gridloom.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text into the pieces over which byte pairs are merged.
@@ -64,7 +64,7 @@ def token_lengths(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             n = [count_tokens(t, path) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "text_hash", "n_tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_tokens bigint").distinct()
+    return spread(docs).mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_tokens bigint").distinct()
 
 
 class Sums:

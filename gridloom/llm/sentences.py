@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.functions.columns import pick
-from gridloom.session import cut
+from gridloom.session import cut, spread
 
 CHUNK, LEFT, RIGHT = 8192, 256, 2048
 #: A bracket or quote counts if it is closed within so many characters, before a blank line.
@@ -311,7 +311,7 @@ def sentence_units(documents: DataFrame) -> DataFrame:
         for batch in batches:
             yield _emit(batch, [split_text(t) for t in batch.column(1).to_pylist()])
 
-    quick = docs.where(F.length("text") <= CHUNK).mapInArrow(short, schema)
+    quick = spread(docs.where(F.length("text") <= CHUNK)).mapInArrow(short, schema)
     return quick.unionByName(_long_units(docs.where(F.length("text") > CHUNK), schema)).distinct()
 
 
