@@ -130,6 +130,27 @@ select sample_id, category, phenomenon, ordinal, key, row_number() over (partiti
     "pair_zip": _MEMBERS + """, a as (select role, sample_id, row_number() over (partition by role order by sample_id) - 1 as i from m where category = 'hard_keep'),
 b as (select role, sample_id, row_number() over (partition by role order by sample_id) - 1 as i from m where category = 'single_minimal_edit')
 select a.role, a.sample_id as left_id, b.sample_id as right_id, a.i as pair_index from a join b on a.role = b.role and a.i = b.i""",
+    "record_contract": views.BOTH + """, cells as (select table_id, unnest(t.gold.cells) as c from latest), tokens as (select table_id, unnest(t.gold.tokens) as k from latest),
+v as (
+  select s, table_id, count(*) as n, count(distinct (a, b)) as d, min(least(a, b)) as low, max(a) + 1 as nr, max(b) + 1 as nc
+  from (select s, table_id, a, unnest(range(col, col + colspan)) as b from (select 'g' as s, table_id, col, colspan, unnest(range("row", "row" + rowspan)) as a from g union all select 'r', table_id, col, colspan, unnest(range("row", "row" + rowspan)) from r)) group by all
+), bad as (select distinct table_id from v where n > d or low < 0 or d < nr * nc),
+keys as (select a.table_id, a.s = b.s as same from (select table_id, string_agg(concat_ws(chr(1), "row", col, rowspan, colspan, norm, tag), chr(2) order by idx) as s from r group by table_id) a
+  join (select table_id, string_agg(concat_ws(chr(1), "row", col, rowspan, colspan, norm, tag), chr(2) order by idx) as s from g group by table_id) b using (table_id)),
+diff as (
+  (select table_id, "row", col, rowspan, colspan from r except select table_id, "row", col, rowspan, colspan from g)
+  union all (select table_id, "row", col, rowspan, colspan from g except select table_id, "row", col, rowspan, colspan from r)
+), odd as (
+  select table_id from (select table_id, count(*) as n, count(distinct k.token_id) as d from tokens group by table_id) where d < n
+  union select table_id from tokens where coalesce(k.owner_cell_id, '') not in (select c.cell_id from cells where cells.table_id = tokens.table_id)
+), flat as (
+  select table_id from (select table_id, c.bbox as b from cells union all select table_id, k.bbox from tokens) where not coalesce(len(b) = 4 and b[3] > b[1] and b[4] > b[2], false)
+)
+select p.table_id, l.t.gate_label as gate_label, case when p.table_id in (select table_id from bad) then 'CANONICAL_VALIDATION_FAILED'
+  when l.t.gate_label = 'KEEP' and not coalesce(keys.same, false) then 'KEEP_NOT_IDENTITY' when l.t.gate_label = 'EDIT' and keys.same then 'EDIT_NOT_REPLAYABLE'
+  when l.t.gate_label = 'KEEP' and p.table_id in (select table_id from diff) then 'KEEP_EXPLICIT_DIFF_NOT_EMPTY' when l.t.gate_label = 'EDIT' and p.table_id not in (select table_id from diff) then 'EDIT_EXPLICIT_DIFF_EMPTY'
+  when p.table_id in (select table_id from odd) then 'TOKEN_OWNERSHIP_INVALID' when p.table_id in (select table_id from flat) then 'GEOMETRY_INVALID' end as violation
+from pairs p join latest l using (table_id) left join keys using (table_id)""",
     "deterministic_labels": "select o_orderkey, 'S' || upper(substr(sha256('cell-text|' || o_orderkey || '|0|1'), 1, 10)) || '-R1-C2' as label from orders",
     "manifest_checksum": "with " + views.GOLD + """, lines as (
   select sha256(l.table_id || chr(9) || concat_ws('|', t.gold.rows, t.gold.columns, coalesce(s, ''))) as d

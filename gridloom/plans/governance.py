@@ -128,7 +128,50 @@ issues as (
 )
 """
 
+_GROUND = r"""
+with c as (
+  select lower(trim(sample_id, E' \t\n\r')) as table_id, cell_key, cell_id, row_start as r0, row_end as r1, col_start as c0, col_end as c1, text, geometry.bbox as b, ocr_token_indexes as tk
+  from (select distinct on (cell_key) * from raw_cells) where sample_id is not null
+), m as (
+  select lower(trim(sample_id, E' \t\n\r')) as table_id, max_by(table_manifest, registered_at).ocr_tokens as o from table_manifest where sample_id is not null group by 1
+), n as (
+  select c.*, o, coalesce(r0 >= 0 and c0 >= 0 and r1 > r0 and c1 > c0, false) as legal, coalesce(len(b) = 4 and isfinite(b[1]) and isfinite(b[2]) and isfinite(b[3]) and isfinite(b[4]) and b[3] > b[1] and b[4] > b[2], false) as boxed,
+    coalesce(tk is not null and len(list_filter(tk, lambda x: x is null or x < 0)) = 0, false) as owned, coalesce(len(list_filter(tk, lambda x: x >= len(o))) > 0, false) as outside,
+    regexp_replace(replace(coalesce(text, ''), '²', '2'), '\s+', '', 'g') as norm,
+    regexp_replace(replace(array_to_string(list_transform(tk, lambda x: coalesce(o[x + 1].text, '')), ''), '²', '2'), '\s+', '', 'g') as said
+  from c left join m using (table_id)
+), t as (
+  select table_id, max(r1) as nr, max(c1) as nc, count(*) as n, count(distinct cell_id) + count(*) filter (cell_id is null) as ids, bool_or(not legal) as illegal, bool_or(legal and not boxed) as nobox, bool_or(owned) as active, bool_and(owned) as whole,
+    bool_or(o is not null and outside) as out_, bool_or(o is not null and not outside and norm <> said) as odd, len(flatten(list(tk))) as used, len(list_distinct(flatten(list(tk)))) as used_once,
+    sum((r1 - r0) * (c1 - c0)) filter (legal) as area, bool_or(r0 is null or r1 is null or c0 is null or c1 is null) as gap
+  from n group by table_id
+), s as (select table_id, count(distinct (a, x)) as taken from (select table_id, a, unnest(range(c0, c1)) as x from (select *, unnest(range(r0, r1)) as a from n where legal)) group by table_id),
+j as (select t.*, coalesce(s.taken, 0) as taken, coalesce(not gap and nr > 0 and nc > 0, false) as shaped from t left join s using (table_id))
+select table_id, 'CANONICAL_SHAPE_INVALID' as issue from j where not shaped
+union all select table_id, 'CELL_ID_DUPLICATED' from j where ids < n
+union all select table_id, 'CELL_INTERVAL_INVALID' from j where illegal
+union all select table_id, 'CANONICAL_GRID_OVERLAP' from j where taken < area
+union all select table_id, 'GEOMETRY_MISSING_OR_INVALID' from j where nobox
+union all select table_id, 'CANONICAL_GRID_INCOMPLETE' from j where shaped and taken <> nr::bigint * nc
+union all select table_id, 'TOKEN_OWNERSHIP_PARTIAL' from j where active and not whole
+union all select table_id, 'TOKEN_OWNERSHIP_REQUIRED' from j where not active
+union all select table_id, unnest(['RAW_TOKEN_OWNERSHIP_DUPLICATED', 'CANDIDATE_TOKEN_OWNERSHIP_DUPLICATED']) from j where active and whole and used_once < used
+union all select table_id, 'TOKEN_INDEX_OUT_OF_RANGE' from j where active and whole and out_
+union all select table_id, 'CANDIDATE_TEXT_NOT_OCR_GROUNDED' from j where active and whole and odd
+"""
+
 SQL = {
+    "grounding_issues": _GROUND,
+    "candidate_decision": _ISSUES + """, rs as (select table_id, string_agg(concat_ws(chr(1), "row", rowspan, col, colspan, text, tag), chr(2) order by idx) as s from r group by table_id),
+gs as (select table_id, string_agg(concat_ws(chr(1), "row", rowspan, col, colspan, text, tag), chr(2) order by idx) as s, count(*) as n from g group by table_id),
+new as (select table_id, count(*) as k from (select table_id, "row", rowspan, col, colspan, tag from g except select table_id, "row", rowspan, col, colspan, tag from r) group by table_id),
+i as (select table_id, string_agg(issue, ',' order by issue) as codes from (select table_id, issue from issues union all select distinct table_id, 'VALIDATION_FAILED' from issues) group by table_id),
+f as (select p.table_id, rs.s is not distinct from gs.s as same, codes, coalesce(gs.n, 0) as n, coalesce(new.k, 0) as k from pairs p left join rs using (table_id) left join gs using (table_id) left join new using (table_id) left join i using (table_id)),
+dec as (select table_id, case when same then 'PASS_THROUGH' when codes is not null or n < 2 or k = 0 then 'ROLLBACK' else 'ACCEPT' end as decision,
+  case when same then 'IDENTICAL_STATE' when codes is not null then codes when n < 2 then 'EXPECTED_GAIN_MISSING' when k = 0 then 'EXPECTED_GAIN_INSUFFICIENT' else 'VALID_AND_POSITIVE_EXPECTED_GAIN' end as reasons from f)
+select table_id, decision, reasons, decision <> 'ACCEPT' as rollback_exact from dec""",
+    "assemble_table_only": views.BOTH + """select table_id, 'PASS' as status, true as frozen,
+  sha256('[{"type":"heading","body":"' || table_id || '"},{"type":"paragraph","body":"note on ' || table_id || '"}]') as frozen_sha256 from pairs""",
     "candidate_issues": _ISSUES + "select * from issues",
     "eligible_tokens": _CAND + f"select table_id, row_number() over (partition by table_id order by token_index) - 1 as ordinal, token_index from tok where {_OK_TOKEN} qualify ordinal < 50",
     "view_histogram": _CAND + "select coalesce(len(candidates), -1) as n_views, count(*) as n from c group by 1",

@@ -67,7 +67,7 @@ def p2_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(
         "sample_id", "identity.generation_seed", "identity.document_cluster_id", "identity.source_family_id", "identity.template_family_id", "identity.content_family_id",
         "identity.renderer_family_id", "identity.font_family_id", "identity.counterfactual_pair_id", "identity.counterfactual_group_id", "identity.generative_family_key",
-        "identity.family_nonce", "identity.base_seed", f"{parts}.structure.rows", f"{parts}.structure.columns", f"{parts}.structure.header_depth",
+        F.col("identity.family_nonce").cast("string").alias("family_nonce"), F.col("identity.base_seed").cast("string").alias("base_seed"), f"{parts}.structure.rows", f"{parts}.structure.columns", f"{parts}.structure.header_depth",
         f"{span}.horizontal", f"{span}.vertical", f"{parts}.content.namespace", F.col(f"{parts}.content.phenomenon").alias("content_phenomenon"),
     )
 
@@ -215,6 +215,10 @@ QUERIES = {
 SQL = {
     "p1_found": _P1_SQL,
     "p2_found": _P2_SQL,
+    "p2_identities": "with " + _LATEST_SQL + """select sample_id, i.generation_seed, i.document_cluster_id, i.source_family_id, i.template_family_id, i.content_family_id, i.renderer_family_id, i.font_family_id,
+  i.counterfactual_pair_id, i.counterfactual_group_id, i.generative_family_key, i.family_nonce::varchar as family_nonce, i.base_seed::varchar as base_seed, i.generative_components.structure."rows" as "rows", i.generative_components.structure."columns" as "columns",
+  i.generative_components.structure.header_depth as header_depth, i.generative_components.structure.span_profile.horizontal as horizontal, i.generative_components.structure.span_profile.vertical as vertical,
+  i.generative_components.content.namespace as namespace, i.generative_components.content.phenomenon as content_phenomenon from (select sample_id, t.identity as i from latest)""",
     "p2_records": "with " + _LATEST_SQL + "select sample_id, t.schema_release, t.dataset_release, t.role, t.gate_label, t.category, t.phenomenon, t.revised_at from latest",
     "p5_found": _P5_SQL + "select ref_table, ref_id, ref_field, token_index, orphan_state from orphans",
     "p5_orphans_by_month": _P5_SQL + "select ref_table, strftime(used, '%Y-%m') as month, ref_field, orphan_state, count(*) as n_orphans from orphans group by all",
