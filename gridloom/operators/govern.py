@@ -340,3 +340,38 @@ def audit_sidecars(manifest: DataFrame, candidates: DataFrame, threshold: float,
 def view_histogram(candidates: DataFrame) -> DataFrame:
     """(n_views, n): candidate tokens by their number of views; null views count as -1."""
     return candidates.groupBy(F.coalesce(F.size("candidates"), F.lit(-1)).alias("n_views")).agg(F.count("*").alias("n"))
+
+
+def complete_candidates(df: DataFrame) -> DataFrame:
+    """``df`` (output: JSON text of a model) with ``table``, its table as JSON, and ``status``.
+
+    The table is the member ``canonical_table``, or else the whole output; it must be an
+    object with a list of cells. An output with page members is refused whole.
+    """
+    v = F.try_parse_json("output")
+    inner = F.try_variant_get(v, "$.canonical_table", "variant")
+    whole = F.coalesce(inner, v)
+    page = F.try_variant_get(v, "$.blocks", "variant").isNotNull() | F.try_variant_get(v, "$.page", "variant").isNotNull()
+    listed = F.try_variant_get(whole, "$.cells", "array<variant>").isNotNull()
+    status = F.when(page, "FULL_PAGE_OUTPUT_FORBIDDEN").when(F.coalesce(listed, F.lit(False)), "PASS").otherwise("OUTPUT_IS_NO_TABLE")
+    return df.withColumn("status", status).withColumn("table", F.when(status == "PASS", F.to_json(whole)))
+
+
+def route_provenance(producer: str, purpose: str, raw: Column, raw_sha: Column, release: str = "2026.08.12") -> Column:
+    """The provenance of a candidate made from a raw table: raw is a struct with sample_id and input_image_sha256."""
+    return F.struct(
+        F.coalesce(raw["sample_id"], F.lit("")).alias("sample_id"),
+        F.lit(producer).alias("producer"),
+        F.lit(release).alias("producer_release"),
+        F.lit(purpose).alias("purpose"),
+        F.coalesce(raw["input_image_sha256"], F.lit("")).alias("input_image_sha256"),
+        F.lit(False).alias("restricted_evaluation_visible"),
+        raw_sha.alias("raw_state_sha256"),
+    )
+
+
+def replay(candidates: DataFrame, raw: DataFrame) -> DataFrame:
+    """The raw rows to which candidates (table_id, raw_state_sha256) return, with ``bound``: whether the raw state (table_id, state, sha) is the one they were made from."""
+    joined = candidates.select("table_id", "raw_state_sha256").join(raw, "table_id")
+    bound = F.coalesce(F.col("raw_state_sha256") == F.col("sha"), F.lit(False))
+    return joined.select("table_id", F.when(bound, F.col("state")).alias("state"), bound.alias("bound"))

@@ -108,3 +108,14 @@ def test_forbidden(spark):
     docs = ['{"a": [{"gold_text": 1}]}', '{"a": "gold_text"}', "{broken gold_text", None, '{"target_text": null}']
     got = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(govern.has_forbidden_field(F.col("d"))).collect()]
     assert got == [True, False, False, False, True]
+
+
+def test_complete_and_replay(spark):
+    outputs = ['{"canonical_table": {"cells": []}}', '{"cells": [1]}', '{"cells": [], "page": 1}', '{"cells": 1}', "{x", None, "[]"]
+    got = [(r.status, r.table) for r in govern.complete_candidates(spark.createDataFrame([(o,) for o in outputs], "output string")).collect()]
+    assert got == [("PASS", '{"cells":[]}'), ("PASS", '{"cells":[1]}'), ("FULL_PAGE_OUTPUT_FORBIDDEN", None)] + [("OUTPUT_IS_NO_TABLE", None)] * 4
+    raw = spark.createDataFrame([("t", "state", "s"), ("u", "state", "s")], "table_id string, state string, sha string")
+    made = spark.createDataFrame([("t", "s"), ("u", "x")], "table_id string, raw_state_sha256 string")
+    assert {tuple(r) for r in govern.replay(made, raw).collect()} == {("t", "state", True), ("u", None, False)}
+    p = spark.createDataFrame([((None, "i"),)], "p struct<sample_id:string,input_image_sha256:string>").select(govern.route_provenance("m", "u", F.col("p"), F.lit("h")).alias("o")).first().o
+    assert (p.sample_id, p.producer, p.restricted_evaluation_visible) == ("", "m", False)
