@@ -319,3 +319,25 @@ def test_chunks_compose(spark, monkeypatch):
     monkeypatch.setattr(sentences, "CHUNK", 500)
     got = [(r.doc_id, r.start_char, r.end_char) for r in sentences.sentence_units(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+# Further columns, whatever their names
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "One. Two.", "x", 5, 6, "y")], "doc_id bigint, text string, TEXT string, h bigint, k int, start_char string")
+    assert [(r.start_char, r.end_char) for r in sentences.sentence_units(docs).orderBy("start_char").collect()] == [(0, 4), (5, 9)]
+    assert packing.token_lengths(docs.withColumn("text_hash", F.lit(0))).first().n_tokens > 0
+    sigs = spark.createDataFrame([("a", "train", "s", "1", "ff", "ab", AT, "q", 1), ("b", "dev", "s", "1", "ff", "ab", AT, "q", 2)], SIGS + ", ROLE string, bits int")
+    assert [(r.train_sample, r.other_sample, r.overlap_kind) for r in overlap.overlaps(sigs).collect()] == [("a", "b", "exact")]
+    recs = records(spark, [("a", ("d1", None, None)), ("b", ("D1 ", None, None))]).withColumn("key", F.lit(1)).withColumn("sample", F.lit(2))
+    recs = recs.toDF(*recs.columns[:-1], "SAMPLE_ID")
+    assert {(r.sample, r.root) for r in components.components(components.key_links(recs)).collect()} == {("a", "a"), ("b", "a")}
+
+
+def test_hot_classes(spark):
+    """Half of all rows in one layout with one hash, far fewer pairs than rows squared elsewhere."""
+    rows = [(f"t{i}", "train", "s", "f0f0", f"{i + 1:x}", "aa", AT) for i in range(60)] + [(f"d{i}", "dev", "s", "f0f1", f"{i + 1000:x}", "aa", AT) for i in range(20)]
+    got = overlap.overlaps(spark.createDataFrame(rows, SIGS))
+    assert got.count() == 60 * 20 and got.select("overlap_kind").distinct().collect()[0][0] == "near"
+    assert overlap.near_classes(overlap.signatures(spark.createDataFrame(rows, SIGS))).count() == 1
