@@ -11,6 +11,7 @@ each chunk then emits its boundaries from its known first state.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,6 +45,10 @@ ENDABLE_NUMBER = frozenset("al u.s max min".split())
 LABELS = frozenset("plan option version type class part appendix variant group case step table figure section level vitamin item list column row sheet fall klasse typ anhang gruppe plano opción anexo grupo tipo classe annexe groupe вариант план тип группа приложение".split())
 MONTHS = frozenset("jan feb mär märz apr april mai jun juni jul juli aug august sep sept september okt oktober nov november dez dezember januar februar".split())
 
+_ABBREVIATIONS = TITLES | REFS | INNER | ENDABLE | MONTHS
+#: Second parts of abbreviations whose parts may be set apart.
+_SECOND = frozenset(a.partition(".")[2] for a in INNER | ENDABLE if "." in a)
+
 HARD = frozenset("!?。！？؟।॥｡")
 _LETTERS = r"\p{L}\p{M}"
 _THAI = "ก-ฺเ-๎"
@@ -54,7 +59,6 @@ _CLOSERS = frozenset(")）]］”“»«’‘」』\"")
 _OPENERS = frozenset("(（[［“„«‘‚「『\"¿¡")
 _EVENT = regex.compile(rf"(?P<blank>\n[^\S\n]*\n)|(?P<term>[.!?…。！？؟।॥｡]+)|(?P<mark>[{regex.escape(''.join(MARKS))}])|(?P<thai>(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}]))")
 _NONSPACE = regex.compile(r"\S")
-_TOKEN = regex.compile(rf"(?:[{_LETTERS}]+[.\-])*[{_LETTERS}]+$|[\d.,:/\-]*\d$")
 _BEFORE = regex.compile(rf"([{_LETTERS}\d]+)(\.?)[^\S\n]*\n?[^\S\n]*$")
 _LIST_NUMBER = regex.compile(r"(?:^|\n[^\S\n]*\n|[.!?…。！？؟।:\"”»][^\S\n]*\n)\s*\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})$")
 _WORD = regex.compile(rf"[\w{_LETTERS}]+\.?")
@@ -91,12 +95,34 @@ def ends_sentence(text: str, i: int, j: int) -> bool:
     return _point_ends(text, i, j, k, n)
 
 
+def _is_letter(c: str) -> bool:
+    return c.isalpha() or (c > "\x7f" and unicodedata.category(c)[0] == "M")
+
+
+def _last_token(head: str) -> tuple[str, int]:
+    """The word, words joined by points and hyphens, or number at the end of ``head``, and its place; '' if there is none."""
+    p = len(head)
+    if not p:
+        return "", 0
+    if head[-1].isdecimal():
+        while p and (head[p - 1].isdecimal() or head[p - 1] in ".,:/-"):
+            p -= 1
+    else:
+        while p and (_is_letter(head[p - 1]) or (p < len(head) and head[p - 1] in ".-" and p > 1 and _is_letter(head[p - 2]) and _is_letter(head[p]))):
+            p -= 1
+    return head[p:], p
+
+
 def _point_ends(text: str, i: int, j: int, k: int, n: str) -> bool:
+    if k == j + 1 and n.isupper() and i and text[i - 1].islower():  # the plain case: a word, a space, a capital
+        p = i - 1
+        while p and text[p - 1].islower():
+            p -= 1
+        if i - p > 2 and (not p or text[p - 1].isspace()) and text[p:i].casefold() not in _ABBREVIATIONS:
+            return True
     head = text[max(0, i - 80) : i]
-    m = _TOKEN.search(head)
-    token = m[0] if m else ""
+    token, at = _last_token(head)
     word = token.casefold()
-    before = _BEFORE.search(head[: m.start()]) if m else None
     if k == j:  # no space after the point
         if n.isdigit() or n in ",;:-–—/|_@)]%" or _is_lower(n):
             return n in ")]"
@@ -120,12 +146,13 @@ def _point_ends(text: str, i: int, j: int, k: int, n: str) -> bool:
         return not (token.isdigit() and len(token) <= 2 and follow.rstrip(".").casefold() in MONTHS)
     goes_on = _is_lower(n) and not starts
     last = token.rpartition(".")[2]
+    before = _BEFORE.search(head[:at]) if len(last) == 1 or word in _SECOND or word in MONTHS else None
     pair = f"{before[1].casefold()}.{word}" if before and before[2] and len(before[1]) == 1 and "." not in token else word  # parts set apart: "z. B."
     if len(last) == 1 or "." in token or (pair != word and (pair in INNER or pair in ENDABLE)):
         return _letter_ends(n, token, pair, before, goes_on)
     if word in MONTHS and before and before[1].isdigit():
         return not goes_on and not n.isdigit()
-    if head[: m.start()][-1:].isdigit() and word not in ENDABLE:  # "1st.", "30px."
+    if head[:at][-1:].isdigit() and word not in ENDABLE:  # "1st.", "30px."
         return True
     if word in TITLES and not (word in REFS and not n.isalpha()):
         return False
