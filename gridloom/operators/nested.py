@@ -28,11 +28,11 @@ def _text(v) -> str:
     return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def label_nodes(doc, keyed: tuple[str, ...] = KEYED) -> list[tuple]:
+def label_nodes(doc, keyed: tuple[str, ...] = KEYED, keep: frozenset[str] | None = None) -> list[tuple]:
     """(dewey, schema_path, kind, name, value, attrs) of each object and of each scalar that is an array element.
 
-    An object's scalar members are its attrs; null members are left out. The walk keeps
-    its own stack, so depth is bounded by memory only.
+    An object's scalar members are its attrs, all or those to ``keep``; null members are
+    left out. The walk keeps its own stack, so depth is bounded by memory only.
     """
     out: list[tuple] = []
     stack = [("0", "$", "", doc, None)]
@@ -46,7 +46,7 @@ def label_nodes(doc, keyed: tuple[str, ...] = KEYED) -> list[tuple]:
                     stack.extend((f"{at}.{j}", f"{path}.{k}{{}}", k, x, n) for j, (n, x) in enumerate(v.items()))
                 elif isinstance(v, (dict, list)):
                     stack.append((at, f"{path}.{k}", k, v, None))
-                elif v is not None:
+                elif v is not None and (keep is None or k in keep):
                     attrs.append((k, _text(v)))
             out.append((dewey, path, "object", name, None, attrs))
         elif isinstance(node, list):
@@ -66,14 +66,16 @@ def parse_json(text: str | None):
         return None
 
 
-def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...] = KEYED) -> DataFrame:
+def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...] = KEYED, keep: tuple[str, ...] | None = None) -> DataFrame:
     """One row per node of ``json_col``: ``keys`` and the columns of NODE_SCHEMA, with ``parent``.
 
     Null, empty and broken texts give no rows; a scalar document gives one item. Equal
     members of an object count as in JSON text, the last wins. Key columns may hold nulls.
+    keep: the scalar members wanted, by default all.
     """
     slim = pick(df, *keys, json_col).withColumnRenamed(json_col, "__json")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", " + NODE_SCHEMA
+    kept_members = None if keep is None else frozenset(keep)
     columns = ["dewey", "schema_path", "kind", "name", "value", "attrs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +88,7 @@ def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...]
                 for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
                     doc = parse_json(text)
                     if doc is not None:
-                        nodes = label_nodes(doc, keyed)
+                        nodes = label_nodes(doc, keyed, kept_members)
                         rows += nodes
                         of += [i] * len(nodes)
                 take = pa.array(of, pa.int32())
@@ -126,10 +128,20 @@ def latest(records: DataFrame, key: str, at: str, columns: list[str]) -> DataFra
     return pick(records, key, at, *columns).where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(content, order).alias("__row")).select(key, "__row.*")
 
 
-def states(records: DataFrame) -> DataFrame:
-    """(sample_id, table_state, doc) of the latest revision of each sample: the typed gold state and the prior state's text."""
+#: Members that link tokens and cells.
+LINKS = ("cell_id", "token_id", "owner_cell_id")
+
+
+def states(records: DataFrame, links_only: bool = False) -> DataFrame:
+    """(sample_id, table_state, doc) of the latest revision of each sample: the typed gold state and the prior state's text.
+
+    links_only: of the gold state just what links tokens and cells; the scan then reads no
+    other of its columns.
+    """
     records = pick(records, "sample_id", "gold", "prior_json", "revised_at")
-    last = latest(records.withColumn("gold_json", F.to_json("gold")), "sample_id", "revised_at", ["gold_json", "prior_json"])
+    pair = lambda a, b, n, m: F.zip_with(a, b, lambda x, y: F.struct(x.alias(n), y.alias(m)))
+    slim = F.struct(pair("gold.cells.cell_id", "gold.cells.token_ids", "cell_id", "token_ids").alias("cells"), pair("gold.tokens.token_id", "gold.tokens.owner_cell_id", "token_id", "owner_cell_id").alias("tokens"))
+    last = latest(records.withColumn("gold_json", F.to_json(slim if links_only else F.col("gold"))), "sample_id", "revised_at", ["gold_json", "prior_json"])
     both = F.array(F.struct(F.lit("gold").alias("table_state"), F.col("gold_json").alias("doc")), F.struct(F.lit("prior").alias("table_state"), F.col("prior_json").alias("doc")))
     return last.select("sample_id", F.inline(both)).where("doc is not null")
 

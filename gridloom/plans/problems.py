@@ -41,7 +41,8 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.token_links(_nodes(spark, sf_dir), DOC).select(*DOC, "cell_id", "token_id")
+    docs = nested.states(table(spark, sf_dir, "table_records"), links_only=True)
+    return nested.token_links(nested.shred(docs, DOC, "doc", keep=nested.LINKS), DOC).select(*DOC, "cell_id", "token_id")
 
 
 def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
