@@ -84,21 +84,13 @@ def choose_sizes(sizes: dict[int, int], shares: dict[str, float]) -> dict[str, d
     left, chosen = dict(sizes), {}
     for role in roles[:-1]:
         want = round(total * shares[role] / weight)
-        picked: dict[int, int] = {}
-        small, held = {}, 0
-        for size in sorted(left):  # the small groups, for the bitset
-            n = min(left[size], max(0, EXACT_TOTAL - held) // size)
-            if n:
-                small[size] = n
-                held += n * size
-        gap = want
-        for size in sorted(left, reverse=True):
-            n = min(left[size] - small.get(size, 0), gap // size)
-            if n > 0:
-                picked[size] = n
-                gap -= n * size
-        for size, n in subset_sum(small, gap).items():
-            picked[size] = picked.get(size, 0) + n
+        here = sum(s * n for s, n in left.items())
+        share = want / here if here else 0.0
+        # Of each size its share, and the bitset for what is lacking; if that misses the
+        # target, a choice among all groups may come closer.
+        even = {s: int(n * share) for s, n in left.items()}
+        tries = [_fill(left, even, want), _fill(left, {}, want)]
+        picked = min(tries, key=lambda p: abs(want - sum(s * n for s, n in p.items())))
         for size, n in picked.items():
             left[size] -= n
         chosen[role] = picked
@@ -107,6 +99,27 @@ def choose_sizes(sizes: dict[int, int], shares: dict[str, float]) -> dict[str, d
     return chosen
 
 
+def _fill(left: dict[int, int], base: dict[int, int], want: int) -> dict[int, int]:
+    """``base`` and further groups of ``left``, with a total close to ``want``."""
+    picked = {s: n for s, n in base.items() if n}
+    gap = want - sum(s * n for s, n in picked.items())
+    free = {s: n - picked.get(s, 0) for s, n in left.items()}
+    small, held = {}, 0
+    for size in sorted(free):  # the small groups, for the bitset
+        n = min(free[size], max(0, EXACT_TOTAL - held) // size)
+        if n:
+            small[size] = n
+            held += n * size
+    for size in sorted(free, reverse=True):
+        n = min(free[size] - small.get(size, 0), gap // size)
+        if n > 0:
+            picked[size] = picked.get(size, 0) + n
+            gap -= n * size
+    for size, n in subset_sum(small, gap).items():
+        picked[size] = picked.get(size, 0) + n
+    return picked
+
+
 def subset_sum(sizes: dict[int, int], want: int) -> dict[int, int]:
     """A choice size -> number, within the multiplicities, whose total is closest to ``want``; of two equally close the lesser."""
     pieces = []
