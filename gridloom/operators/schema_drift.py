@@ -156,7 +156,9 @@ def changes(files: DataFrame, parsed: DataFrame) -> DataFrame:
         return pd.DataFrame([(group.file_id.iloc[0], op, KINDS[op], p, q) for op, p, q in ops], columns=["file_id", "op", "change_kind", "old_path", "new_path"])
 
     kind = files.schema["file_id"].dataType.simpleString()
-    found = facts.groupBy("file_id").applyInPandas(script, f"file_id {kind}, op string, change_kind string, old_path string, new_path string")
+    # The scripts are small to move and long to make: parts by number, which aren't merged by size.
+    parts = max(2 * files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = facts.repartition(parts, "file_id").groupBy("file_id").applyInPandas(script, f"file_id {kind}, op string, change_kind string, old_path string, new_path string")
     return pairs.join(found, "file_id")
 
 
