@@ -56,7 +56,12 @@ def signatures(table: DataFrame) -> DataFrame:
         hex_digits(F.col("table_sha256")).alias("table_key"),
         hex_digits(F.col("structure_sha256")).alias("structure"),
         F.when(F.length(bits) <= 16, hex_to_long(bits)).alias("bits"),
-    ).where("role is not null")
+    ).where("role is not null").withColumn("cls", class_id())
+
+
+def class_id() -> Column:
+    """24 bytes that stand for structure and hash on the way through the join: two digests of the structure, and the hash."""
+    return F.when(F.col("structure").isNotNull() & F.col("bits").isNotNull(), F.struct(F.xxhash64("structure").alias("a"), F.xxhash64(F.lit(1), "structure").alias("b"), F.col("bits").alias("bits")))
 
 
 def block_terms(near_bits: int = NEAR_BITS, blocks: int = BLOCKS) -> list[int]:
@@ -71,9 +76,9 @@ def _signed(mask: int) -> int:
 
 
 def block_vectors(classes: DataFrame) -> DataFrame:
-    """(id, term, weight) of classes (id, structure, bits)."""
+    """(id, term, weight) of classes (id: from ``class_id``)."""
     masks = block_terms()
-    terms = F.array(*[F.xxhash64("structure", F.lit(i), F.col("bits").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
+    terms = F.array(*[F.xxhash64("id.a", "id.b", F.lit(i), F.col("id.bits").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
     return classes.select("id", F.explode(terms).alias("term")).withColumn("weight", F.lit(len(masks) ** -0.5)).groupBy("id", "term").agg(F.max("weight").alias("weight"))
 
 
@@ -84,12 +89,11 @@ def exact_classes(sigs: DataFrame) -> DataFrame:
 
 
 def near_classes(sigs: DataFrame) -> DataFrame:
-    """(structure, left_bits, right_bits, distance): classes of train and of the other splits with the same structure and hashes at most NEAR_BITS apart."""
-    usable = sigs.where("structure is not null and bits is not null")
-    side = lambda cond: usable.where(cond).select("structure", "bits").distinct().withColumn("id", F.struct("structure", "bits"))
+    """(left_id, right_id, distance): class ids of train and of the other splits with the same structure and hashes at most NEAR_BITS apart."""
+    side = lambda cond: sigs.where(cond).where("cls is not null").select(F.col("cls").alias("id")).distinct()
     met = cosine_join(block_vectors(side("role = 'train'")), block_vectors(side("role != 'train'")), 1 / len(block_terms()))
     apart = F.bit_count(F.col("left_id.bits").bitwiseXOR(F.col("right_id.bits")))
-    return met.where("left_id.structure = right_id.structure").select("left_id.structure", F.col("left_id.bits").alias("left_bits"), F.col("right_id.bits").alias("right_bits"), apart.cast("int").alias("distance")).where(F.col("distance") <= NEAR_BITS)
+    return met.where("left_id.a = right_id.a and left_id.b = right_id.b").select("left_id", "right_id", apart.cast("int").alias("distance")).where(F.col("distance") <= NEAR_BITS)
 
 
 def overlaps(table: DataFrame) -> DataFrame:
@@ -103,9 +107,11 @@ def overlaps(table: DataFrame) -> DataFrame:
     """
     sigs = cut(signatures(table))
     train, other = sigs.where("role = 'train'"), sigs.where("role != 'train'")
-    lt = train.select(F.col("sample").alias("train_sample"), F.col("source_id").alias("train_source_id"), F.col("table_key").alias("left_id"), F.col("structure"), F.col("bits").alias("left_bits"))
-    rt = other.select(F.col("sample").alias("other_sample"), "role", "source_id", F.col("table_key").alias("right_id"), F.col("structure"), F.col("bits").alias("right_bits"))
+    sides = {"left": train.select(F.col("sample").alias("train_sample"), F.col("source_id").alias("train_source_id"), F.col("table_key").alias("left_key"), F.col("structure").alias("left_structure"), F.col("cls").alias("left_id"))}
+    sides["right"] = other.select(F.col("sample").alias("other_sample"), "role", "source_id", F.col("table_key").alias("right_key"), F.col("structure").alias("right_structure"), F.col("cls").alias("right_id"))
     out = ["train_sample", "other_sample", "overlap_kind", "role", "source_id", "train_source_id"]
-    exact = exact_classes(sigs).join(lt.drop("structure"), "left_id").join(rt.drop("structure"), "right_id").withColumn("overlap_kind", F.lit("exact"))
-    near = near_classes(sigs).join(lt, ["structure", "left_bits"]).join(rt, ["structure", "right_bits"]).where("left_id is null or right_id is null or left_id != right_id").withColumn("overlap_kind", F.lit("near"))
+    same = exact_classes(sigs).select(F.col("left_id").alias("left_key"), F.col("right_id").alias("right_key"))
+    exact = same.join(sides["left"].drop("left_id", "left_structure"), "left_key").join(sides["right"].drop("right_id", "right_structure"), "right_key").withColumn("overlap_kind", F.lit("exact"))
+    # The structures themselves are compared here, not their digests.
+    near = near_classes(sigs).join(sides["left"], "left_id").join(sides["right"], "right_id").where("left_structure = right_structure and (left_key is null or right_key is null or left_key != right_key)").withColumn("overlap_kind", F.lit("near"))
     return exact.select(*out).unionByName(near.select(*out))
