@@ -130,7 +130,12 @@ class Sums:
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a container, number of such containers), using up ``counts`` (length -> items, 1 to capacity)."""
+    """(lengths in a container, number of such containers), using up ``counts`` (length -> items, 1 to capacity).
+
+    Each pattern is used until some length x has fewer items left than it holds, at most
+    capacity / x; so there are about capacity x ln(capacity) patterns at most, however
+    many items.
+    """
     sums = Sums(Counter({x: n for x, n in counts.items() if n > 0}), capacity)
     made = []
     while sums.left:
