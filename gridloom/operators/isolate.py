@@ -98,10 +98,12 @@ def near_overlaps(sigs: DataFrame, near_bits: int = NEAR_BITS) -> DataFrame:
 
 def audit(sigs: DataFrame, near_bits: int = NEAR_BITS) -> DataFrame:
     """One row: n_signatures, n_exact, n_family, n_near, status (PASS if no overlap)."""
-    counts = [sigs.agg(F.count("*").alias("n_signatures")), exact_overlaps(sigs).agg(F.count("*").alias("n_exact")), family_overlaps(sigs).agg(F.count("*").alias("n_family")), near_overlaps(sigs, near_bits).agg(F.count("*").alias("n_near"))]
-    row = counts[0]
-    for c in counts[1:]:
-        row = row.crossJoin(c)  # of single rows
+    parts = {"n_signatures": sigs, "n_exact": exact_overlaps(sigs), "n_family": family_overlaps(sigs), "n_near": near_overlaps(sigs, near_bits)}
+    counts = None
+    for name, df in parts.items():
+        n = df.agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        counts = n if counts is None else counts.unionByName(n)
+    row = counts.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
     return row.withColumn("status", F.when(F.col("n_exact") + F.col("n_family") + F.col("n_near") == 0, "PASS").otherwise("FAIL"))
 
 
