@@ -15,6 +15,7 @@ from gridloom.functions.text import SPACE
 
 #: One record's table: interval cells; ocr_token_indexes is null where ownership isn't stated.
 TABLE = "struct<rows:int,cols:int,cells:array<struct<cell_id:string,row_start:int,row_end:int,col_start:int,col_end:int,text:string,tag:string,bbox:array<double>,tokens:array<int>>>>"
+# Fields and words of provenance, forbidden fields, and the views of a candidate.
 PROVENANCE_FIELDS = ("sample_id", "producer", "producer_release", "purpose", "input_image_sha256")
 FORBIDDEN_WORDS = ("private-evaluation", "restricted-evaluation")
 FORBIDDEN_FIELDS = ("gold_text", "target_text")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gridloom.functions.text import fold_key, hex_to_long
 from gridloom.session import cut
 
+# The signals of a signature.
 SIGNALS = ("image_sha256", "pixel_sha256", "table_sha256", "structure_sha256", "text_sha256", "geometry_sha256")
 #: Signals whose equality across roles is an overlap; the others are only counted.
 HARD_SIGNALS = ("image_sha256", "pixel_sha256", "table_sha256")

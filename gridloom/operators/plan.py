@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Roles and categories in order, and the name under which members are ordered.
 ROLES = ("train", "development", "holdout")
 CATEGORIES = ("exact_keep", "hard_keep", "single_minimal_edit", "complex_correction")
-#: The name under which members are ordered.
 PAIRING = "component-first-family-pairing-2026.08.12.7"
 
 

@@ -65,8 +65,6 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # SQL. The texts here hold one character that NFKC changes, U+00B2.
-SPACES = r"E' \t\n\r\u000b\u000c 　'"
-
 LATEST = """
 latest as (
   select sample_id as table_id, max_by(t, revised_at) as t from table_records t where sample_id is not null group by sample_id
