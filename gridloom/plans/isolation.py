@@ -40,6 +40,11 @@ def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolate.duplicate_components(cut(_sigs(spark, sf_dir)), isolate.HARD_SIGNALS)
 
 
+def duplicate_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over all six digests."""
+    return isolate.duplicate_components(cut(_sigs(spark, sf_dir)))
+
+
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = nested.latest(table(spark, sf_dir, "table_records"), "sample_id", "revised_at", ["category", "role"])
     return isolate.role_counts(last.select("category", isolate.role_name(F.col("role")).alias("role")), "category", "role")
@@ -55,7 +60,7 @@ def signature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sigs(spark, sf_dir).select("sample_id", hashing.row_sha256(*[F.col(s) for s in isolate.SIGNALS]).alias("signature_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (exact_cross_role, family_cross_role, dup_member_stats, near_cross_role, isolation_audit, duplicate_components, role_counts, pair_completeness, signature_digest)}
+QUERIES = {q.__name__: q for q in (exact_cross_role, family_cross_role, dup_member_stats, near_cross_role, isolation_audit, duplicate_components, duplicate_components_all, role_counts, pair_completeness, signature_digest)}
 
 _D = "case when regexp_matches(regexp_replace(lower(trim(t.{0}, E' \\t\\n\\r')), '^(sha256:|0x)', ''), '[^0]') then regexp_replace(lower(trim(t.{0}, E' \\t\\n\\r')), '^(sha256:|0x)', '') end as {0}"
 _SIGS = (
@@ -85,6 +90,12 @@ edges as (select distinct h.sample_id as a, m.hub as b from h join (select v, mi
 undirected as (select a, b from edges union select b, a from edges),
 reach as (select sample_id as x, sample_id as y from s union select r.x, u.b from reach r join undirected u on u.a = r.y),
 least_ as (select x as sample_id, min(y) as component from reach group by x)
+select sample_id, component, count(*) over (partition by component) as component_size from least_""",
+    "duplicate_components_all": _SIGS + """, h as (select sample_id, signal || value as v from long),
+edges as (select distinct h.sample_id as a, m.hub as b from h join (select v, min(sample_id) as hub from h group by v having count(*) > 1) m using (v)),
+undirected as (select a, b from edges union select b, a from edges),
+reach as (select sample_id as x, sample_id as y from s union select r.x, u.b from reach r join undirected u on u.a = r.y),
+least_ as (select x as sample_id, min(y) as component from reach group by x)
 select sample_id, component, count(*) over (partition by component) as component_size from least_""",
     "role_counts": _ROLES + "select category, role, grouping(category, role)::int as level, count(*) as n from r group by grouping sets ((category), (role), (category, role), ())",
     "pair_completeness": _ROLES + "select pair_id, count(*) as n, count(*) = 2 and count(distinct role) = 1 and count(distinct g) = 1 as complete from r where pair_id is not null group by pair_id",

@@ -85,6 +85,16 @@ def test_isolation(spark):
     assert isolate.audit(sigs).first().status == "FAIL" and isolate.audit(sigs.limit(0)).first().status == "PASS"
 
 
+def test_components_over_all_signals(spark, tmp_path):
+    from gridloom.plans import isolation
+
+    row = lambda i, s, t, g: (i, "train", "1", f"i{i}", f"p{i}", f"t{i}", s, t, g, {"fam": "f"}, 1)
+    rows = [row("a", "s1", "t1", "g1"), row("b", "s1", "t2", "g2"), row("c", "s2", "t2", "g3"), row("d", "s3", "t3", "g3"), row("e", "s4", None, "g4"), row("f", "s5", None, "g5")]
+    spark.createDataFrame(rows, "sample_id string, role string, perceptual_hash string, image_sha256 string, pixel_sha256 string, table_sha256 string, structure_sha256 string, text_sha256 string, geometry_sha256 string, families map<string,string>, registered_at bigint").write.parquet(str(tmp_path / "table_signatures.parquet"))
+    got = isolation.QUERIES["duplicate_components_all"](spark, str(tmp_path))
+    assert {(r.sample_id, r.component, r.component_size) for r in got.collect()} == {("a", "a", 4), ("b", "a", 4), ("c", "a", 4), ("d", "a", 4), ("e", "e", 1), ("f", "f", 1)}
+
+
 def test_seals(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"x\r\n")
     good = hashlib.sha256(b"x\r\n").hexdigest()
