@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.columns import pick
+from gridloom.session import cut
 
 WORDS, CHARS = 12, 24
 #: Languages whose items are compared by letters and digits.
@@ -29,6 +30,8 @@ UNSPACED = ("zh", "ja")
 BATCH_CHARS = 4_000_000
 
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b[^<>]{0,300}>")
+#: As html.unescape finds them.
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 _BLOCK_TAGS = frozenset("address article blockquote br caption dd div dl dt h1 h2 h3 h4 h5 h6 hr li ol p pre section table tbody td tfoot th thead tr ul".split())
 _BREAK = re.compile(r"[-‐‑­][ \t]*\r?\n\s*")
 _DROPPED = regex.compile(r"[\p{M}\p{Cf}]+")
@@ -43,10 +46,14 @@ def fold(text: str) -> str:
     return _DROPPED.sub("", unicodedata.normalize("NFKD", _DROPPED.sub("", unicodedata.normalize("NFKD", text)).casefold()))
 
 
+def _tag_space(m: re.Match) -> str:
+    return " " if m[1].lower() in _BLOCK_TAGS else ""
+
+
 def variants(text: str) -> list[str]:
     """The folded text without markup, hyphens at line breaks closed; if there are any, also with the hyphen as a separator."""
     if "<" in text:
-        text = _TAG.sub(lambda m: " " if m[1].lower() in _BLOCK_TAGS else "", text)
+        text = _TAG.sub(_tag_space, text)
     if "&" in text:
         text = html.unescape(text)
     closed = _BREAK.sub("", text)
@@ -106,38 +113,48 @@ class Grams:
         return found
 
 
-def _map_chars(text: str) -> tuple[str, list[int]]:
-    """The folded text without markup, hyphens at line breaks closed, and the place in ``text`` of each of its characters."""
-    skip = [False] * len(text)
-    space = set()
-    for m in _TAG.finditer(text):
-        skip[m.start() : m.end()] = [True] * (m.end() - m.start())
-        if m[1].lower() in _BLOCK_TAGS:
-            space.add(m.start())
-    for m in _BREAK.finditer(text):
-        skip[m.start() : m.end()] = [True] * (m.end() - m.start())
-    out, at = [], []
-    for i, c in enumerate(text):
-        piece = " " if i in space else "" if skip[i] else fold(c)
-        out.append(piece)
-        at += [i] * len(piece)
-    return "".join(out), at
+Mapped = tuple[str, list[int], list[int]]
+
+
+def _replaced(mapped: Mapped, pattern: re.Pattern, by) -> Mapped:
+    """pattern.sub(by, text), with the places of each character; what replaces a match stands at the whole match."""
+    text, starts, ends = mapped
+    out, at, to, last = [], [], [], 0
+    for m in pattern.finditer(text):
+        i, j = m.span()
+        piece = by(m)
+        out += [text[last:i], piece]
+        at += starts[last:i] + starts[i : i + 1] * len(piece)
+        to += ends[last:i] + ends[j - 1 : j] * len(piece)
+        last = j
+    return "".join([*out, text[last:]]), at + starts[last:], to + ends[last:]
+
+
+def _folded(mapped: Mapped) -> Mapped:
+    pieces = [fold(c) for c in mapped[0]]
+    return "".join(pieces), [i for i, p in zip(mapped[1], pieces) for _ in p], [j for j, p in zip(mapped[2], pieces) for _ in p]
+
+
+def _map_variants(text: str) -> list[Mapped]:
+    """The variants of a text, each with the places in ``text`` where its characters begin and end."""
+    plain = _replaced((text, list(range(len(text))), list(range(1, len(text) + 1))), _TAG, _tag_space)
+    plain = _replaced(plain, _ENTITY, lambda m: html.unescape(m[0]))
+    closed = _replaced(plain, _BREAK, lambda m: "")
+    return [_folded(closed)] if closed[0] == plain[0] else [_folded(closed), _folded(_replaced(plain, _BREAK, lambda m: " "))]
 
 
 def leaked_spans(text: str, grams: Grams) -> list[tuple[int, int]]:
-    """Merged spans (start, end) of ``text``, in code points, that hold n-grams of items. Entities are left as they are."""
-    hits = [h for hs in grams.scan(text).values() for h in hs if h[0] == 0]
+    """Merged spans (start, end) of ``text``, in code points, that hold n-grams of items, in any variant."""
+    hits = [h for hs in grams.scan(text).values() for h in hs]
     if not hits:
         return []
-    folded, at = _map_chars(text)
-    words = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
-    chars = [i for a, b in words for i in range(a, b)]
     spans = []
-    for _, a, b, by_chars in hits:
-        if by_chars and b <= len(chars):
-            spans.append((at[chars[a]], at[chars[b - 1]] + 1))
-        elif not by_chars and b <= len(words):
-            spans.append((at[words[a][0]], at[words[b - 1][1] - 1] + 1))
+    for v, (folded, starts, ends) in enumerate(_map_variants(text)):
+        words = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
+        chars = [(i, i + 1) for a, b in words for i in range(a, b)]
+        for _, a, b, by_chars in (h for h in hits if h[0] == v):
+            units = chars if by_chars else words
+            spans.append((starts[units[a][0]], ends[units[b - 1][1] - 1]))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
@@ -147,6 +164,18 @@ def leaked_spans(text: str, grams: Grams) -> list[tuple[int, int]]:
     return merged
 
 
+def without_leaks(text: str, grams: Grams) -> tuple[str, int]:
+    """The text without leaked spans, and how many characters went. What a cut joins is scanned again."""
+    whole = len(text)
+    while spans := leaked_spans(text, grams):
+        kept, last = [], 0
+        for a, b in spans:
+            kept.append(text[last:a])
+            last = b
+        text = "".join(kept) + text[last:]
+    return text, whole - len(text)
+
+
 def _batches(items: DataFrame) -> Iterator[Grams]:
     """The items' n-grams in batches of about BATCH_CHARS characters: what is broadcast doesn't grow with the items."""
     usable = pick(items, "item_id", "text", "lang").where("text is not null").distinct()
@@ -190,29 +219,31 @@ def decontaminate(documents: DataFrame, items: DataFrame, mode: str = "spans") -
     """``documents`` without what leaked: whole documents (``documents``) or the leaked spans (``spans``).
 
     Spans are cut from the text as it was found, from the first to the last character of
-    the n-grams; ``removed_chars`` says how much went. Other columns stay as they are.
+    the n-grams, until what is left holds none; ``removed_chars`` says how much went. Other
+    columns stay as they are.
     """
     if mode == "documents":
         return documents.join(find_leaks(documents, items).select("doc_id").distinct(), "doc_id", "left_anti")
     if mode != "spans":
         raise ValueError("mode is 'spans' or 'documents'")
     out = documents.withColumn("removed_chars", F.lit(0))
-    for grams in _batches(items):
-        shared = documents.sparkSession.sparkContext.broadcast(grams)
-
-        @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
-        def clean(texts, shared=shared):
-            import pandas as pd
-
-            done = []
-            for t in texts:
-                spans = leaked_spans(t, shared.value) if isinstance(t, str) else []
-                kept, last = [], 0
-                for a, b in spans:
-                    kept.append(t[last:a])
-                    last = b
-                done.append((t if not spans else "".join(kept) + t[last:], sum(b - a for a, b in spans)))
-            return pd.DataFrame(done, columns=["text", "n"])
-
-        out = out.withColumn("__c", clean("text")).withColumn("text", F.col("__c.text")).withColumn("removed_chars", F.col("removed_chars") + F.col("__c.n")).drop("__c")
-    return out
+    while True:
+        batches = 0
+        before = out
+        for grams in _batches(items):
+            batches += 1
+            shared = documents.sparkSession.sparkContext.broadcast(grams)
+
+            @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
+            def clean(texts, shared=shared):
+                import pandas as pd
+
+                return pd.DataFrame([without_leaks(t, shared.value) if isinstance(t, str) else (t, 0) for t in texts], columns=["text", "n"])
+
+            out = out.withColumn("__c", clean("text")).withColumn("text", F.col("__c.text")).withColumn("removed_chars", F.col("removed_chars") + F.col("__c.n")).drop("__c")
+        if batches <= 1:
+            return out
+        # A cut for one batch may join words to an n-gram of an earlier one.
+        out = cut(out)
+        if out.agg(F.sum("removed_chars")).first()[0] == before.agg(F.sum("removed_chars")).first()[0]:
+            return out

@@ -254,6 +254,31 @@ def test_decontamination(spark):
     assert {r.doc_id for r in leaks.decontaminate(docs, items, "documents").collect()} == {2, 3}
 
 
+def test_decontamination_of_guises(spark, monkeypatch):
+    broken = ITEM.replace("headers does", "well known headers does")
+    split = broken.replace("well known", "well-\nknown")
+    texts = {1: f"Before. {split} After.", 2: f"A &amp; B &lt; C &#38; D. {ITEM} After.", 3: f"Q&ampA. {ITEM.replace(' ', '&nbsp;')} After.", 4: f"{ITEM[:40]}{ITEM}{ITEM[40:]}", 5: f"{ITEM[:40]}{broken}{ITEM[40:]}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, ITEM, "en"), (2, broken, "en")], "item_id bigint, text string, lang string")
+    for batch in (4_000_000, 60):
+        monkeypatch.setattr(leaks, "BATCH_CHARS", batch)
+        got = leaks.decontaminate(docs, items).localCheckpoint()
+        assert leaks.find_leaks(got, items).count() == 0
+        left = {r.doc_id: r for r in got.collect()}
+        assert left[1].text == "Before. ? After." and left[2].text == "A &amp; B &lt; C &#38; D. ? After." and left[3].text == "Q&ampA. ? After."
+        assert all(r.removed_chars == len(texts[d]) - len(r.text) for d, r in left.items())
+
+
+def test_maps_agree_with_variants():
+    rng = random.Random(15)
+    parts = ["é", "e\u0301", "<b>", "</td>", "<x y", "&amp;", "&nbsp", "&#60;", "&copy;x", "&notit;", "-\n", "\u00ad \n ", "ﬁ", "Ⅷ", "ß", "İ", "각", "한", "a", "9", "_", " ", "\u0327\u0301", "齐", "ΐ", "ｶﾞ"]
+    for _ in range(500):
+        t = "".join(rng.choice(parts) for _ in range(15))
+        mapped = leaks._map_variants(t)
+        assert [m[0] for m in mapped] == leaks.variants(t)
+        assert all(len(f) == len(a) == len(b) and all(0 <= i < j <= len(t) for i, j in zip(a, b)) for f, a, b in mapped)
+
+
 # Problem 8
 
 SENTENCES = [
