@@ -6,12 +6,14 @@ symbols hold all that their surroundings say (abbreviations, numbers, what follo
 transducer's states are the open brackets and quotes, whether a quote opened its unit,
 and whether a unit has just begun. Long documents are cut into chunks: each chunk is a
 function from states to states, the functions are composed by a parallel prefix scan, and
-each chunk then emits its boundaries from its known first state.
+each chunk then emits its boundaries from its known first state. What two open levels or
+the surroundings of a chunk cannot tell is settled on the whole text.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,8 +29,8 @@ from gridloom.functions.columns import pick
 from gridloom.session import cut, spread
 
 CHUNK, LEFT, RIGHT = 8192, 256, 2048
-#: A bracket or quote counts if it is closed within so many characters, before a blank line.
-CLOSE_WITHIN = 1500
+#: A closing mark is sought in so many characters first; beyond, among the places of all marks.
+NEAR = 1500
 
 # Abbreviations, without their last point, by what they do.
 #: Followed by a name; never end a unit.
@@ -58,6 +60,8 @@ MARKS = sorted({m for pair in KINDS.values() for marks in pair for m in marks})
 _CLOSERS = frozenset(")）]］”“»«’‘」』\"")
 _OPENERS = frozenset("(（[［“„«‘‚「『\"¿¡")
 _EVENT = regex.compile(rf"(?P<blank>\n[^\S\n]*\n)|(?P<term>[.!?…。！？؟।॥｡]+)|(?P<mark>[{regex.escape(''.join(MARKS))}])|(?P<thai>(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}]))")
+_BLANK = regex.compile(r"\n[^\S\n]*\n")
+_CLOSING = regex.compile(rf"[{regex.escape(''.join(sorted({c for _, closers in KINDS.values() for c in closers})))}]")
 _NONSPACE = regex.compile(r"\S")
 _BEFORE = regex.compile(rf"([{_LETTERS}\d]+)(\.?)[^\S\n]*\n?[^\S\n]*$")
 _LIST_NUMBER = regex.compile(r"(?:^|\n[^\S\n]*\n|[.!?…。！？؟।:\"”»][^\S\n]*\n)\s*\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})$")
@@ -185,7 +189,38 @@ def _letter_ends(n: str, token: str, pair: str, before, goes_on: bool) -> bool:
     return False
 
 
-def _symbol(text: str, m: regex.Match) -> int:
+def _apostrophe(text: str, i: int) -> bool:
+    return text[i] in "‘’" and 0 < i < len(text) - 1 and text[i - 1].isalpha() and text[i + 1].isalpha()
+
+
+class _Closers:
+    """Which brackets and quotes of a text are closed before the next blank line. ``undecided``: the text ended before that was known of one."""
+
+    def __init__(self, text: str):
+        self.text, self.undecided = text, False
+        self.places: dict[str, list[int]] | None = None
+        self.blanks: list[int] = []
+
+    def closed(self, j: int, closers: str) -> bool:
+        text = self.text
+        found = [e for e in (text.find(c, j, j + NEAR) for c in closers) if e >= 0]
+        e = min(found, default=-1)
+        if e >= 0 and not _apostrophe(text, e):
+            return text.find("\n", j, e) < 0 or not _BLANK.search(text, j, e)
+        if self.places is None:
+            self.places = {}
+            for m in _CLOSING.finditer(text):
+                if not _apostrophe(text, m.start()):
+                    self.places.setdefault(m[0], []).append(m.start())
+            self.blanks = [m.start() for m in _BLANK.finditer(text)]
+        ends = [p[k] for p in (self.places.get(c, []) for c in closers) if (k := bisect_left(p, j)) < len(p)]
+        k = bisect_left(self.blanks, j)
+        blank = self.blanks[k] if k < len(self.blanks) else -1
+        self.undecided |= not ends and blank < 0
+        return bool(ends) and (blank < 0 or min(ends) < blank)
+
+
+def _symbol(text: str, m: regex.Match, closers: _Closers) -> int:
     """The symbol of an event: -1 for marks that end nothing."""
     i, j = m.span()
     kind = m.lastgroup
@@ -196,14 +231,12 @@ def _symbol(text: str, m: regex.Match) -> int:
     if kind == "term":
         return _index()["end"] if ends_sentence(text, i, j) else -1
     mark = text[i]
-    if mark in "‘’" and 0 < i and j < len(text) and text[i - 1].isalpha() and text[j].isalpha():
-        return -1  # an apostrophe
+    if _apostrophe(text, i):
+        return -1
     opens = 0
     for o, c in KINDS.values():
         if mark in o:
-            ends = [e for e in (text.find(x, j, j + CLOSE_WITHIN) for x in c) if e >= 0]
-            blank = text.find("\n\n", j, j + CLOSE_WITHIN)
-            opens |= bool(ends) and (blank < 0 or min(ends) < blank)
+            opens |= closers.closed(j, c)
     back = i - 1
     while back >= 0 and text[back].isspace():
         back -= 1
@@ -225,14 +258,14 @@ def _index() -> dict:
 
 
 @cache
-def transducer() -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[bool]]]:
-    """(next state, boundary?) by state and symbol, as arrays and lists. State 0: nothing open, a unit has just begun.
+def transducer() -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[bool]], list[list[bool]]]:
+    """(next state, boundary?) by state and symbol, as arrays and lists, and whether a third level is opened. State 0: nothing open, a unit has just begun.
 
     States are (open kinds, at most two deep; whether the outermost opened its unit;
     whether a unit has just begun), found from the first state by its symbols.
     """
     first = ((), False, True)
-    states, todo, rows = {first: 0}, [first], []
+    states, todo, rows, deep = {first: 0}, [first], [], []
     while todo:
         state = todo.pop(0)
         row = []
@@ -243,9 +276,10 @@ def transducer() -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[boo
                 todo.append(to)
             row.append((states[to], out))
         rows.append(row)
+        deep.append([len(state[0]) == 2 and len(key) == 4 and bool(key[1]) and not any(key[0] in KINDS[k][1] for k in state[0]) for key in _index()])
     nxt = np.array([[t for t, _ in r] for r in rows], dtype=np.int32)
     out = np.array([[o for _, o in r] for r in rows], dtype=bool)
-    return nxt, out, nxt.tolist(), out.tolist()
+    return nxt, out, nxt.tolist(), out.tolist(), deep
 
 
 def _step(state, key):
@@ -268,26 +302,77 @@ def _step(state, key):
     return (stack, led, False), False
 
 
-def lex(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int]]:
+def lex(text: str, start: int = 0, end: int | None = None, closers: _Closers | None = None) -> Iterator[tuple[int, int, int]]:
     """(start, end, symbol) of the events that start in text[start:end]."""
     end = len(text) if end is None else end
+    closers = closers or _Closers(text)
     for m in _EVENT.finditer(text):
         if m.start() >= end:
             return
         if m.start() >= start:
-            s = _symbol(text, m)
+            s = _symbol(text, m, closers)
             if s >= 0:
                 yield m.start(), m.end(), s
 
 
-def boundaries(text: str, state: int = 0, start: int = 0, end: int | None = None) -> list[int]:
-    """Places after which a unit ends, for the events that start in text[start:end], begun in ``state``."""
-    _, _, nxt, out = transducer()
-    found = []
-    for _, j, s in lex(text, start, end):
+def part_boundaries(text: str, state: int, start: int, end: int, ends_here: bool) -> tuple[list[int], bool]:
+    """Places after which a unit ends, for the events that start in text[start:end], begun in ``state``; and whether the states or, if the document goes on, the text don't suffice to tell."""
+    _, _, nxt, out, deep = transducer()
+    found, beyond = [], False
+    closers = _Closers(text)
+    for _, j, s in lex(text, start, end, closers):
         if out[state][s]:
             found.append(j)
+        beyond |= deep[state][s]
         state = nxt[state][s]
+    return found, beyond or (closers.undecided and not ends_here)
+
+
+def boundaries(text: str, state: int = 0, start: int = 0, end: int | None = None) -> list[int]:
+    """Places after which a unit ends, as far as two open levels tell."""
+    return part_boundaries(text, state, start, len(text) if end is None else end, True)[0]
+
+
+def whole_boundaries(text: str) -> list[int]:
+    """Places of a whole text after which a unit ends, at any depth."""
+    found, beyond = part_boundaries(text, 0, 0, len(text), True)
+    return nested_boundaries(text) if beyond else found
+
+
+def nested_boundaries(text: str) -> list[int]:
+    """As ``whole_boundaries``, by rules as in ``_step``, with any depth: the depths at which each kind is open are counted."""
+    keys = list(_index())
+    stack: list[str] = []
+    depths: dict[str, list[int]] = {k: [] for k in KINDS}
+    led, just, found = False, True, []
+    for _, j, s in lex(text):
+        key = keys[s]
+        if key == "blank" or (key == "end" and not stack):
+            stack, depths, led, just = [], {k: [] for k in KINDS}, False, True
+            found.append(j)
+            continue
+        if key == "end":
+            just = False
+            continue
+        mark, opens, adjacent, after = key
+        depth = max((d[-1] for k, d in depths.items() if d and mark in KINDS[k][1]), default=-1)
+        kind = next((k for k, (o, _) in KINDS.items() if mark in o), None)
+        ends = False
+        if depth >= 0:
+            closed = stack[depth]
+            while len(stack) > depth:
+                depths[stack.pop()].pop()
+            if not stack:
+                ends = after == 1 or (after == 2 and not (led and closed != "p"))
+                led = False
+        elif opens and kind:
+            if not stack:
+                led = just and bool(adjacent)
+            depths[kind].append(len(stack))
+            stack.append(kind)
+        just = ends
+        if ends:
+            found.append(j)
     return found
 
 
@@ -314,7 +399,7 @@ def units(text: str, ends: list[int]) -> list[tuple[int, int]]:
 
 
 def split_text(text: str) -> list[tuple[int, int]]:
-    return units(text, boundaries(text))
+    return units(text, whole_boundaries(text))
 
 
 def _emit(batch: pa.RecordBatch, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -328,7 +413,8 @@ def sentence_units(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no units. Documents of up to CHUNK characters are
     run through the transducer at once; longer ones chunk by chunk, see the module's text.
-    Rules look at 256 characters before and 2048 after an event.
+    Rules look at 256 characters before and 2048 after an event. Texts with brackets or
+    quotes more than two deep, or not closed within what a chunk sees, are run as a whole.
     """
     docs = pick(documents, "doc_id", "text").where("text is not null")
     kind = docs.schema["doc_id"].dataType
@@ -369,16 +455,20 @@ def _long_units(docs: DataFrame, schema: T.StructType) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [[f + e for e in boundaries(p, s, k * CHUNK - f, (k + 1) * CHUNK - f)] for k, f, p, s in zip(*(b.column(c).to_pylist() for c in range(2, 6)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "h", "ends"])
+            made, beyond = [], []
+            for k, f, p, s in zip(*(b.column(c).to_pylist() for c in range(2, 6))):
+                found, more = part_boundaries(p, s, k * CHUNK - f, (k + 1) * CHUNK - f, len(p) < (k + 1) * CHUNK - f + RIGHT)
+                made.append([f + e for e in found])
+                beyond.append(more)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64())), pa.array(beyond, pa.bool_())], names=["doc_id", "h", "ends", "beyond"])
 
     whole = chunks.join(begins.withColumnRenamed("doc_id", "__d"), (F.col("doc_id").eqNullSafe(F.col("__d"))) & (chunks["h"] == begins["h"]) & (chunks["k"] == begins["k"])).select("doc_id", chunks["h"], chunks["k"], "first", "piece", "state")
-    found = whole.mapInArrow(emit, T.StructType([*key[:2], T.StructField("ends", T.ArrayType(T.LongType()))]))
-    ends = found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ends")))).alias("ends"))
-    texts = keyed.join(ends.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (keyed["h"] == ends["h"])).select("doc_id", "text", "ends")
+    found = whole.mapInArrow(emit, T.StructType([*key[:2], T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("beyond", T.BooleanType())]))
+    ends = found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ends")))).alias("ends"), F.max("beyond").alias("beyond"))
+    texts = keyed.join(ends.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")) & (keyed["h"] == ends["h"])).select("doc_id", "text", "ends", "beyond")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _emit(b, [units(t, e) for t, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+            yield _emit(b, [units(t, whole_boundaries(t) if beyond else e) for t, e, beyond in zip(*(b.column(c).to_pylist() for c in range(1, 4)))])
 
     return texts.mapInArrow(close, schema)

@@ -346,6 +346,27 @@ def test_chunks_compose(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_far_closers_and_deep_nesting(spark, monkeypatch):
+    far = "He said: “" + "It stays. " * 400 + "It ends.” Then he left."
+    blank = "One “two. " + "It stays. " * 400 + "\n \nIt ends.” Then he left."
+    deep = "It (see (a (b. C) d. E) f. G) ends. Next (one [two “three. Four” five. Six] seven. Eight) nine."
+    assert [far[a:b] for a, b in sentences.split_text(far)] == [far[:-14], "Then he left."]
+    assert len(sentences.split_text(blank)) == 403
+    assert [deep[a:b] for a, b in sentences.split_text(deep)] == ["It (see (a (b. C) d. E) f. G) ends.", "Next (one [two “three. Four” five. Six] seven. Eight) nine."]
+    loose = "The ‘open mark. " + "We don’t know. " * 400
+    assert len(sentences.split_text(loose)) == 401
+    rng = random.Random(16)
+    for _ in range(200):
+        t = random_text(rng, 15)
+        if not sentences.part_boundaries(t, 0, 0, len(t), True)[1]:
+            assert sentences.nested_boundaries(t) == sentences.boundaries(t)
+    texts = [far * 3, far.replace("” Then", " Then") * 3, "x. " * 2000 + deep * 40, deep + "y. " * 3000, blank * 4]
+    want = {(i, a, b) for i, t in enumerate(texts) for a, b in sentences.split_text(t)}
+    monkeypatch.setattr(sentences, "CHUNK", 500)
+    got = [(r.doc_id, r.start_char, r.end_char) for r in sentences.sentence_units(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # Further columns, whatever their names
 
 
