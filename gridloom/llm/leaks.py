@@ -29,13 +29,18 @@ UNSPACED = ("zh", "ja")
 #: Characters of the items of one broadcast; there are as many n-grams at most.
 BATCH_CHARS = 4_000_000
 
-_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b[^<>]{0,300}>")
+#: Markup of any length, and tags only if short: what lies between two signs far apart may be text.
+_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*>")
+_COMMENT_OR_TAG = re.compile(rf"<!--.*?-->|{_TAG.pattern}", re.S)
+_SHORT_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b[^<>]{0,300}>")
 #: As html.unescape finds them.
 _ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 _BLOCK_TAGS = frozenset("address article blockquote br caption dd div dl dt h1 h2 h3 h4 h5 h6 hr li ol p pre section table tbody td tfoot th thead tr ul".split())
 _BREAK = re.compile(r"[-‐‑­][ \t]*\r?\n\s*")
 _DROPPED = regex.compile(r"[\p{M}\p{Cf}]+")
 _WORD = re.compile(r"[^\W_]+")
+#: Stands for a hyphen at a line break, read as a separator; of private use, so no part of a word.
+MARK = "\ue000"
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
@@ -47,17 +52,42 @@ def fold(text: str) -> str:
 
 
 def _tag_space(m: re.Match) -> str:
-    return " " if m[1].lower() in _BLOCK_TAGS else ""
+    return " " if m[1] and m[1].lower() in _BLOCK_TAGS else ""
+
+
+def _markup(text: str) -> Iterator[re.Match]:
+    """Comments and tags. None is sought that begins after the last end of a comment, so that open ones cost nothing."""
+    last = text.rfind("-->") + 3 if "<!--" in text and "-->" in text else 0
+    yield from _COMMENT_OR_TAG.finditer(text, 0, last)
+    yield from _TAG.finditer(text, last)
+
+
+def _readings(text: str) -> list:
+    """Ways of finding markup in a text, as functions to its matches, that differ for it; the first leaves out most."""
+    if "<" not in text:
+        return [lambda t: ()]
+    whole, short = ([m.span() for m in f(text)] for f in (_markup, _SHORT_TAG.finditer))
+    return [_markup] if whole == short else [_markup, _SHORT_TAG.finditer]
+
+
+def _sub(text: str, matches: Iterable[re.Match], by) -> str:
+    out, last = [], 0
+    for m in matches:
+        out += [text[last : m.start()], by(m)]
+        last = m.end()
+    return "".join([*out, text[last:]])
 
 
 def variants(text: str) -> list[str]:
-    """The folded text without markup, hyphens at line breaks closed; if there are any, also with the hyphen as a separator."""
-    if "<" in text:
-        text = _TAG.sub(_tag_space, text)
-    if "&" in text:
-        text = html.unescape(text)
-    closed = _BREAK.sub("", text)
-    return [fold(closed)] if closed == text else [fold(closed), fold(_BREAK.sub(" ", text))]
+    """The folded text without markup, hyphens at line breaks closed; if there are any, also with MARK for each. Comments and long tags are also read as text."""
+    out = []
+    for matches in _readings(text):
+        plain = _sub(text, matches(text), _tag_space).replace(MARK, " ")
+        if "&" in plain:
+            plain = html.unescape(plain).replace(MARK, " ")
+        closed = _BREAK.sub("", plain)
+        out += [fold(closed)] if closed == plain else [fold(closed), fold(_BREAK.sub(MARK, plain))]
+    return out
 
 
 def words_of(folded: str) -> list[str]:
@@ -84,6 +114,8 @@ class Grams:
         self.word_blocks = {" ".join(p) for g in self.by_words for w in [g.split(" ")] for p in (w[:half], w[half:])}
         self.word_blocks |= {" ".join(w[k : k + half]) for g in self.by_words for w in [g.split(" ")] for k in range(1, half)}
         self.char_blocks = {g[k : k + CHARS // 2] for g in self.by_chars for k in range(CHARS // 2 + 1)}
+        self.vocabulary = {w for g in self.by_words for w in g.split(" ")}
+        self.longest = max(map(len, self.vocabulary), default=0)
         self.only_cjk = all(_CJK.search(b) for b in self.char_blocks)
 
     def scan(self, text: str) -> dict[object, list[tuple[int, int, int, bool]]]:
@@ -100,6 +132,9 @@ class Grams:
                             for item in self.by_words.get(" ".join(words[j : j + WORDS]), ()):
                                 found.setdefault(item, []).append((v, j, j + WORDS, False))
                         done = max(done, i + 1)
+            if folded.count(MARK) > 1 and self.by_words:
+                for item, first, last in self._mixed(folded):
+                    found.setdefault(item, []).append((v, first, last, False))
             if self.by_chars and (not self.only_cjk or _CJK.search(folded)):
                 chars = "".join(words)
                 half, n = CHARS // 2, len(chars)
@@ -112,15 +147,48 @@ class Grams:
                         done = max(done, i + 1)
         return found
 
+    def _mixed(self, folded: str) -> Iterator[tuple[object, int, int]]:
+        """(item, first, last) of n-grams over words of which any may be closed up at a MARK between them; positions of words parted there.
+
+        Readings are followed only by words that items hold, and past half an n-gram only
+        if items hold that half. N-grams that touch no MARK are left out.
+        """
+        at = [m.span() for m in _WORD.finditer(folded)]
+        words = [folded[a:b] for a, b in at]
+        joins = [not folded[b:c].strip(MARK) for (_, b), (c, _) in zip(at, at[1:])] + [False]
+
+        def follow(i: int, grown: list[str]) -> Iterator[tuple[object, int]]:
+            if len(grown) == WORDS // 2 and " ".join(grown) not in self.word_blocks:
+                return
+            if len(grown) == WORDS:
+                for item in self.by_words.get(" ".join(grown), ()):
+                    yield item, i
+                return
+            word = ""
+            while i < len(words) and len(word) + len(words[i]) <= self.longest:
+                word += words[i]
+                i += 1
+                if word in self.vocabulary:
+                    yield from follow(i, [*grown, word])
+                if not joins[i - 1]:
+                    return
+
+        ahead = WORDS  # words from here to the next MARK
+        for i in range(len(words) - 1, -1, -1):
+            ahead = 0 if joins[i] else ahead + 1
+            if ahead < WORDS:
+                for item, last in follow(i, []):
+                    yield item, i, last
+
 
 Mapped = tuple[str, list[int], list[int]]
 
 
-def _replaced(mapped: Mapped, pattern: re.Pattern, by) -> Mapped:
-    """pattern.sub(by, text), with the places of each character; what replaces a match stands at the whole match."""
+def _replaced(mapped: Mapped, matches: Iterable[re.Match], by) -> Mapped:
+    """As ``_sub``, with the places of each character; what replaces a match stands at the whole match."""
     text, starts, ends = mapped
     out, at, to, last = [], [], [], 0
-    for m in pattern.finditer(text):
+    for m in matches:
         i, j = m.span()
         piece = by(m)
         out += [text[last:i], piece]
@@ -137,10 +205,14 @@ def _folded(mapped: Mapped) -> Mapped:
 
 def _map_variants(text: str) -> list[Mapped]:
     """The variants of a text, each with the places in ``text`` where its characters begin and end."""
-    plain = _replaced((text, list(range(len(text))), list(range(1, len(text) + 1))), _TAG, _tag_space)
-    plain = _replaced(plain, _ENTITY, lambda m: html.unescape(m[0]))
-    closed = _replaced(plain, _BREAK, lambda m: "")
-    return [_folded(closed)] if closed[0] == plain[0] else [_folded(closed), _folded(_replaced(plain, _BREAK, lambda m: " "))]
+    out = []
+    unmarked = lambda mapped: (mapped[0].replace(MARK, " "), *mapped[1:])
+    for matches in _readings(text):
+        plain = unmarked(_replaced((text, list(range(len(text))), list(range(1, len(text) + 1))), matches(text), _tag_space))
+        plain = unmarked(_replaced(plain, _ENTITY.finditer(plain[0]), lambda m: html.unescape(m[0])))
+        closed = _replaced(plain, _BREAK.finditer(plain[0]), lambda m: "")
+        out += [_folded(closed)] if closed[0] == plain[0] else [_folded(closed), _folded(_replaced(plain, _BREAK.finditer(plain[0]), lambda m: MARK))]
+    return out
 
 
 def leaked_spans(text: str, grams: Grams) -> list[tuple[int, int]]:
@@ -190,8 +262,8 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents holding an n-gram of an item, each pair once.
 
     Null and empty texts hold nothing; items shorter than an n-gram never leak. Case,
-    accents, punctuation, white space, markup tags, invisible characters, compatibility
-    forms and hyphens at line breaks make no difference. Repeated documents count once.
+    accents, punctuation, white space, markup tags and comments, invisible characters,
+    compatibility forms and hyphens at line breaks make no difference. Repeated documents count once.
     """
     spark = documents.sparkSession
     docs = pick(documents, "doc_id", "text").where("text is not null")

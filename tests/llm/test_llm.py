@@ -269,9 +269,43 @@ def test_decontamination_of_guises(spark, monkeypatch):
         assert all(r.removed_chars == len(texts[d]) - len(r.text) for d, r in left.items())
 
 
+def test_long_markup_and_mixed_hyphens():
+    item = ITEM.replace("headers does", "well known headers does")
+    grams = leaks.Grams([(1, item, "en")])
+    words = item.rstrip("?").split()
+    cut = " ".join(words[3:15])
+    long = f'<a href="{"x y " * 200}">'
+    guises = [cut.replace("headers", f"{long}headers</a>"), cut.replace("headers", "head<!-- not\nthis > -->ers") + " <!-- open", cut.replace("well known headers", "well-\nknown head-\ners"), cut.replace("well known headers", "well-\nknown he-\na-\nders")]
+    guises += [f"<!-- {cut} -->", f"a <b {'c ' * 100} {cut} {'c ' * 100}> d"]
+    for guise in guises:
+        assert set(grams.scan(guise)) == {1}, guise
+        left, gone = leaks.without_leaks(f"Before. {guise} After.", grams)
+        assert gone and not grams.scan(left) and left.startswith("Before. ") and left.endswith(" After.")
+    assert not grams.scan(cut.replace("well known", "we-\nll known").replace("headers", "heads-\nx"))
+    assert not grams.scan("<a " * 20_000 + "<!-- " * 20_000) and not grams.scan("well-\nknown-\n" * 2_000)
+
+
+def test_mixed_hyphens_against_all_readings():
+    rng = random.Random(17)
+    vocab = ["a", "b", "ab", "ba", "aa", "c"]
+    for _ in range(60):
+        grams = leaks.Grams([(i, " ".join(rng.choice(vocab) for _ in range(16)), "en") for i in range(3)])
+        body = rng.choice([" ".join(g.split()) for g in sorted(grams.by_words)])
+        text = "".join(c if c != " " else rng.choice([" ", " ", "-\n"]) for c in f"c {body} a")
+        text = "".join(c + ("-\n" if c.isalpha() and n.isalpha() and rng.random() < 0.5 else "") for c, n in zip(text, text[1:] + " "))
+        parts = text.split("-\n")
+        want = set()
+        for bits in range(1 << (len(parts) - 1)) if len(parts) < 13 else ():
+            read = parts[0] + "".join((" " if bits >> k & 1 else "") + p for k, p in enumerate(parts[1:]))
+            w = read.split()
+            want |= {i for k in range(len(w) - 11) for i in grams.by_words.get(" ".join(w[k : k + 12]), ())}
+        if len(parts) < 13:
+            assert set(grams.scan(text)) == want
+
+
 def test_maps_agree_with_variants():
     rng = random.Random(15)
-    parts = ["é", "e\u0301", "<b>", "</td>", "<x y", "&amp;", "&nbsp", "&#60;", "&copy;x", "&notit;", "-\n", "\u00ad \n ", "ﬁ", "Ⅷ", "ß", "İ", "각", "한", "a", "9", "_", " ", "\u0327\u0301", "齐", "ΐ", "ｶﾞ"]
+    parts = ["é", "e\u0301", "<b>", "</td>", "<x y", "<!--", "-->", f"<i {'z' * 300}>", "\ue000", "&#xe000;", "&amp;", "&nbsp", "&#60;", "&copy;x", "&notit;", "-\n", "\u00ad \n ", "ﬁ", "Ⅷ", "ß", "İ", "각", "한", "a", "9", "_", " ", "\u0327\u0301", "齐", "ΐ", "ｶﾞ"]
     for _ in range(500):
         t = "".join(rng.choice(parts) for _ in range(15))
         mapped = leaks._map_variants(t)
