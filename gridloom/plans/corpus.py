@@ -24,6 +24,8 @@ COVERAGE = [
     ("complex_correction", "EDIT", "mixed_spans", 20, 5, 0),
 ]
 SEED = 202608131000000
+#: So many seeds follow SEED; two of 100,000 requests share one in 1 of 200 corpora.
+SEEDS = 1_000_000_000_000
 
 
 def _coverage(spark: SparkSession) -> DataFrame:
@@ -81,10 +83,18 @@ def role_assignment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(roles, "family_id").groupBy("category", "phenomenon", "role").agg(F.count("*").alias("n"))
 
 
+def _record_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage of the latest records: how many of each category and phenomenon the roles hold."""
+    known = _members(spark, sf_dir).where(F.col("category").isin(*plan.CATEGORIES) & F.col("role").isin(*plan.ROLES))
+    gate = F.when(F.col("category").endswith("keep"), "KEEP").otherwise("EDIT")
+    counts = [F.count_if(F.col("role") == r).cast("int").alias(f"{r}_count") for r in plan.ROLES]
+    return known.groupBy("category", gate.alias("gate_label"), "phenomenon").agg(F.count("*").cast("int").alias("requested_count"), *counts)
+
+
 def generated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold and prior grids of the coverage, one seed per request, with their difference."""
-    rows = plan.expand_coverage(_coverage(spark))
-    seeded = rows.withColumn("base_seed", F.lit(SEED) + F.abs(F.xxhash64("category", "phenomenon", "role", "ordinal")) % 1_000_000)
+    """Gold and prior grids of the records' coverage, one seed per request, with their difference."""
+    rows = plan.expand_coverage(_record_coverage(spark, sf_dir))
+    seeded = rows.withColumn("base_seed", F.lit(SEED) + F.abs(F.xxhash64("category", "phenomenon", "role", "ordinal")) % SEEDS)
     made = generate.generate(seeded.repartition(spark.sparkContext.defaultParallelism))
     canonical = lambda c: grid.canonical_cells(F.transform(c, lambda x: F.struct(*[x[n].alias(n) for n in ("row", "col", "rowspan", "colspan", "text", "tag", "bbox")], F.lit(None).cast("double").alias("confidence"))))
     made = made.withColumn("g", canonical(F.col("gold"))).withColumn("p", canonical(F.col("prior")))

@@ -95,6 +95,18 @@ def test_components_over_all_signals(spark, tmp_path):
     assert {(r.sample_id, r.component, r.component_size) for r in got.collect()} == {("a", "a", 4), ("b", "a", 4), ("c", "a", 4), ("d", "a", 4), ("e", "e", 1), ("f", "f", 1)}
 
 
+def test_generation_grows_with_the_records(spark, tmp_path):
+    from gridloom.plans import corpus
+
+    kinds = [("exact_keep", "plain_grid", 40), ("hard_keep", "wide_span", 400), ("single_minimal_edit", "extra_merge", 5), ("other", "plain_grid", 3), ("exact_keep", None, 2)]
+    rows = [(f"{c}-{p}-{i}", c, p, (" Train", "holdout")[i % 2], i) for c, p, n in kinds for i in range(n)]
+    rows.append((rows[0][0], "exact_keep", "plain_grid", "train", -1))
+    spark.createDataFrame(rows, "sample_id string, category string, phenomenon string, role string, revised_at bigint").write.parquet(str(tmp_path / "table_records.parquet"))
+    got = corpus.QUERIES["generated_tables"](spark, str(tmp_path)).toPandas()
+    assert got.groupby(["category", "phenomenon"]).size().to_dict() == {(c, p): n for c, p, n in kinds[:3]}
+    assert got.base_seed.is_unique and got.error.isna().all()
+
+
 def test_seals(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"x\r\n")
     good = hashlib.sha256(b"x\r\n").hexdigest()
