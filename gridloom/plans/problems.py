@@ -33,6 +33,13 @@ def p1_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.lineages(files, cut(changed), parsed)
 
 
+def p1_unified_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the one table, in long form; numbers as JSON states them."""
+    files, parsed, changed = _drift(spark, sf_dir)
+    cells = schema_drift.unified_cells(files, parsed, cut(changed))
+    return cells.withColumn("value", F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"), "value"))
+
+
 DOC = ["sample_id", "table_state"]
 
 
@@ -122,8 +129,8 @@ with parents as (
 )
 """
 
-_P1_SQL = r"""
-with files as (
+_P1_CTE = r"""
+with recursive files as (
   select distinct file_id, stream_id, trim(schema_release) as release, written_at,
     case when regexp_matches(schema_release, '\d{4}\.\d\d\.\d\d\.\d+\s*$')
       then regexp_extract(schema_release, '(\d{4})\.(\d\d)\.(\d\d)\.\d+\s*$', 1) || regexp_extract(schema_release, '\d{4}\.(\d\d)\.\d\d\.\d+\s*$', 1)
@@ -159,6 +166,9 @@ gone_values as (
   union
   select g.file_id, g.path, c.path from gone g join came c using (file_id) where g.states and c.states
 )
+"""
+
+_P1_SQL = _P1_CTE + r"""
 select file_id, 'renamed' as change_kind, old_path, new_path from renamed
 union all
 select file_id, 'removed', path, '' from gone where (file_id, path) not in (select (file_id, old_path) from renamed)
@@ -168,6 +178,13 @@ union all
 select o.file_id, 'retyped', o.path, o.path from old o join new n on n.file_id = o.file_id and n.path = o.path where n.types <> o.types
 """
 
+# Names of one column: those that renames connect, in any stream.
+_P1_COLUMNS = r""", edges as (select old_path as a, new_path as b from renamed union select new_path, old_path from renamed),
+reach as (select path as a, path as b from (select distinct path from schema) union select r.a, e.b from reach r join edges e on e.a = r.b),
+counts as (select path, count(*) as n from schema group by path),
+names as (select r.a as path, arg_max(r.b, struct_pack(n := c.n, order_ := -c.place)) as "column" from reach r join (select *, row_number() over (order by path) as place from counts) c on c.path = r.b group by r.a)
+"""
+
 _LATEST_SQL = """
 latest as (
   select sample_id, max_by(t, revised_at) as t from table_records t where sample_id is not null group by sample_id
@@ -203,6 +220,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_unified": p1_unified,
     "p1_lineages": p1_lineages,
+    "p1_unified_cells": p1_unified_cells,
     "p2_found": p2_found,
     "p2_cells": p2_cells,
     "p2_tokens": p2_tokens,
@@ -215,6 +233,8 @@ QUERIES = {
 
 SQL = {
     "p1_found": _P1_SQL,
+    "p1_lineages": _P1_CTE + _P1_COLUMNS + 'select file_id, path, "column" from schema join names using (path)',
+    "p1_unified_cells": _P1_CTE + _P1_COLUMNS + """select file_id, line_id, "column", json_extract_string(value::json, '$') as value from kept join names using (path)""",
     "p2_found": _P2_SQL,
     "p2_identities": "with " + _LATEST_SQL + """select sample_id, i.generation_seed, i.document_cluster_id, i.source_family_id, i.template_family_id, i.content_family_id, i.renderer_family_id, i.font_family_id,
   i.counterfactual_pair_id, i.counterfactual_group_id, i.generative_family_key, i.family_nonce::varchar as family_nonce, i.base_seed::varchar as base_seed, i.generative_components.structure."rows" as "rows", i.generative_components.structure."columns" as "columns",
