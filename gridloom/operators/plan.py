@@ -7,11 +7,11 @@ role by rank.
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from gridloom.functions.ranking import ranked_in_order
 
 # Roles and categories in order, and the name under which members are ordered.
 ROLES = ("train", "development", "holdout")
@@ -52,65 +52,72 @@ def order_key(category: Column, phenomenon: Column, ordinal: Column) -> Column:
 
 def stable_order(members: DataFrame, within: list[str], position: list[str]) -> DataFrame:
     """``members`` with ordinal (of its phenomenon, in ``position``), key and rank by key, within groups."""
-    nth = Window.partitionBy(*within, "category", "phenomenon").orderBy(*position)
-    keyed = members.withColumn("ordinal", F.row_number().over(nth) - 1).withColumn("key", order_key(F.col("category"), F.col("phenomenon"), F.col("ordinal")))
-    return keyed.withColumn("rank", F.row_number().over(Window.partitionBy(*within, "category").orderBy("key")) - 1)
+    nth = ranked_in_order(members, [*within, "category", "phenomenon"], position, "ordinal")
+    keyed = nth.withColumn("key", order_key(F.col("category"), F.col("phenomenon"), F.col("ordinal")))
+    return ranked_in_order(keyed, [*within, "category"], ["key"])
 
 
 def pair_zip(left: DataFrame, right: DataFrame, on: list[str], order: str) -> DataFrame:
     """The k-th row of ``left`` with the k-th of ``right``, by ``order`` within groups: (on, pair_index, left id, right id); rows without partner are left out."""
-    rank = F.row_number().over(Window.partitionBy(*on).orderBy(order)) - 1
-    a = left.select(*on, F.col(order).alias("left_id"), rank.alias("pair_index"))
-    b = right.select(*on, F.col(order).alias("right_id"), rank.alias("pair_index"))
-    return a.join(b, [*on, "pair_index"])
+    side = lambda df, name: ranked_in_order(df.select(*on, F.col(order).alias(name)), on, [name], "pair_index")
+    return side(left, "left_id").join(side(right, "right_id"), [*on, "pair_index"])
 
 
 def select_flow(edges: dict[tuple[str, str], int], left: dict[str, int], right: dict[str, int]) -> dict[tuple[str, str], int]:
     """How many of each edge to take so that every left and right demand is met exactly.
 
-    A maximum flow by shortest augmenting paths, neighbours in order of name, on a graph
-    of phenomena. Raises ValueError if the demands differ or cannot be met.
+    A maximum flow over a matrix of what is left of each pipe between source, left names,
+    right names and sink; each round a breadth-first wave over its rows reaches the sink by
+    fewest pipes, names in order. A graph of phenomena is small. Raises ValueError if the
+    demands differ or cannot be met.
     """
-    total = sum(left.values())
-    if total != sum(right.values()):
+    if sum(left.values()) != sum(right.values()):
         raise ValueError("the two sides' demands differ")
-    start, end = (0, ""), (3, "")
-    room: dict[tuple, dict[tuple, int]] = {start: {}, end: {}}
-    for side, demand in ((1, left), (2, right)):
-        for name in demand:
-            room.setdefault((side, name), {})
-    for a, b in edges:
-        room.setdefault((1, a), {})
-        room.setdefault((2, b), {})
-    pipes = [(start, (1, a), n) for a, n in left.items()] + [((1, a), (2, b), n) for (a, b), n in edges.items()] + [((2, b), end, n) for b, n in right.items()]
-    for a, b, n in pipes:
-        room[a][b] = n
-        room[b].setdefault(a, 0)
-    sent = 0
-    while sent < total:
-        came = {start: start}
-        todo = deque([start])
-        while todo and end not in came:
-            at = todo.popleft()
-            for to in sorted(t for t, n in room[at].items() if n > 0 and t not in came):
-                came[to] = at
-                todo.append(to)
-        if end not in came:
+    a, b = sorted({h for h, _ in edges} | set(left)), sorted({e for _, e in edges} | set(right))
+    row, col = {n: 1 + i for i, n in enumerate(a)}, {n: 1 + len(a) + i for i, n in enumerate(b)}
+    end = 1 + len(a) + len(b)
+    room = np.zeros((end + 1, end + 1), dtype=np.int64)
+    for name, n in left.items():
+        room[0, row[name]] = n
+    for name, n in right.items():
+        room[col[name], end] = n
+    for (h, e), n in edges.items():
+        room[row[h], col[e]] = n
+    given = room.copy()
+    while room[0].any():
+        came = np.full(end + 1, -1)
+        came[0] = 0
+        wave = [0]
+        while wave and came[end] < 0:
+            reached = []
+            for at in wave:
+                new = np.flatnonzero((room[at] > 0) & (came < 0))
+                came[new] = at
+                reached += new.tolist()
+            wave = reached
+        if came[end] < 0:
             raise ValueError("the edges cannot meet the demands")
-        path = [end]
-        while path[-1] != start:
-            path.append(came[path[-1]])
-        steps = list(zip(path[1:], path))
-        n = min(total - sent, *(room[a][b] for a, b in steps))
-        for a, b in steps:
-            room[a][b] -= n
-            room[b][a] += n
-        sent += n
-    return {(a, b): n - room[(1, a)][(2, b)] for (a, b), n in edges.items()}
+        to = [end]
+        while to[-1]:
+            to.append(int(came[to[-1]]))
+        ways = list(zip(to[1:], to))
+        n = min(room[w] for w in ways)
+        for x, y in ways:
+            room[x, y] -= n
+            room[y, x] += n
+    return {(h, e): int(given[row[h], col[e]] - room[row[h], col[e]]) for h, e in edges}
+
+
+def role_edges(requests: DataFrame, keep: str = "hard_keep", edit: str = "single_minimal_edit") -> DataFrame:
+    """(role, hard, edit, n): how often each pair of phenomena meets when the members of each role are paired in stable order."""
+    ordered = stable_order(requests.where(F.col("category").isin(keep, edit)), ["role"], ["ordinal"])
+    a = ordered.where(F.col("category") == keep).select("role", "rank", F.col("phenomenon").alias("hard"))
+    b = ordered.where(F.col("category") == edit).select("role", "rank", F.col("phenomenon").alias("edit"))
+    return a.join(b, ["role", "rank"]).groupBy("role", "hard", "edit").agg(F.count("*").alias("n"))
 
 
 def pair_members(requests: DataFrame, keep: str = "hard_keep", edit: str = "single_minimal_edit") -> DataFrame:
-    """Counterfactual pairs (edge_index, hard, edit, hard_rank, edit_rank): members of the two categories drawn for each edge in stable order.
+    """Counterfactual pairs (edge, hard, edit, hard_rank, edit_rank, edge_rank): members of the two categories drawn for each edge in stable order.
 
     Pairing within roles decides how often each edge of phenomena occurs; members carry no
     role. Raises ValueError if the categories' counts differ in a role.
@@ -120,10 +127,7 @@ def pair_members(requests: DataFrame, keep: str = "hard_keep", edit: str = "sing
     counts = {(r["role"], r["category"]): r["n"] for r in rows.groupBy("role", "category").agg(F.count("*").alias("n")).collect()}
     if any(counts.get((r, keep), 0) != counts.get((r, edit), 0) for r, _ in counts):
         raise ValueError("the two categories' counts differ in a role")
-    ordered = stable_order(rows, ["role"], ["ordinal"])
-    a = ordered.where(F.col("category") == keep).select("role", "rank", F.col("phenomenon").alias("hard"))
-    b = ordered.where(F.col("category") == edit).select("role", "rank", F.col("phenomenon").alias("edit"))
-    edges = {(r.hard, r.edit): r.n for r in a.join(b, ["role", "rank"]).groupBy("hard", "edit").agg(F.count("*").alias("n")).collect()}
+    edges = {(r.hard, r.edit): r.n for r in role_edges(rows, keep, edit).groupBy("hard", "edit").agg(F.sum("n").alias("n")).collect()}
     used_a: dict[str, int] = {}
     used_b: dict[str, int] = {}
     ranges = []
@@ -140,38 +144,43 @@ def assign_roles(pairs: DataFrame, singles: DataFrame, requests: DataFrame) -> D
     """(family_id, role): pairs (family_id, hard, edit) and singles (family_id, category, phenomenon) under the quotas of ``requests``.
 
     Per role a flow chooses how many pairs of each edge it takes; the last role gets the
-    rest. Families take roles in order of id, by rank against cumulative quotas.
+    rest. Where the flows of earlier roles leave a later one without, each role takes of
+    every edge as many as the pairing within roles counted. Families take roles in order
+    of id, by rank against cumulative quotas.
     """
     spark = pairs.sparkSession
     q = {(r.category, r.phenomenon, r.role): r.n for r in quotas(requests).collect()}
-    left = {(r.hard, r.edit): r.n for r in pairs.groupBy("hard", "edit").agg(F.count("*").alias("n")).collect()}
-    at = dict.fromkeys(left, 0)
+    whole = {(r.hard, r.edit): r.n for r in pairs.groupBy("hard", "edit").agg(F.count("*").alias("n")).collect()}
+    demand = lambda role, c: {p: n for (cat, p, r), n in q.items() if cat == c and r == role}
+    left, took = dict(whole), {}
+    try:
+        for role in ROLES[:-1]:
+            took[role] = select_flow(left, demand(role, "hard_keep"), demand(role, "single_minimal_edit"))
+            left = {e: n - took[role][e] for e, n in left.items()}
+        took[ROLES[-1]] = select_flow(left, demand(ROLES[-1], "hard_keep"), demand(ROLES[-1], "single_minimal_edit"))
+    except ValueError:
+        counted = {(r.role, (r.hard, r.edit)): r.n for r in role_edges(requests).collect()}
+        took = {role: {e: counted.get((role, e), 0) for e in whole} for role in ROLES}
+        if any(sum(took[role][e] for role in ROLES) != n for e, n in whole.items()):
+            raise
+    at = dict.fromkeys(whole, 0)
     ranges = []
     for role in ROLES:
-        demand = lambda c: {p: n for (cat, p, r), n in q.items() if cat == c and r == role}
-        took = dict(left) if role == ROLES[-1] else select_flow(left, demand("hard_keep"), demand("single_minimal_edit"))
-        for edge, n in took.items():
-            if n:
+        for edge in sorted(whole):
+            if n := took[role][edge]:
                 ranges.append((edge[0], edge[1], role, at[edge], at[edge] + n))
-            at[edge] += n
-            left[edge] -= n
+                at[edge] += n
     by_edge = spark.createDataFrame(ranges, "hard string, edit string, role string, lo int, hi int")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("hard", "edit").orderBy("family_id")) - 1)
-    first = ranked.join(by_edge, ["hard", "edit"]).where("rank >= lo and rank < hi").select("family_id", "role")
+    placed = ranked_in_order(pairs.select("family_id", "hard", "edit"), ["hard", "edit"], ["family_id"])
+    first = placed.join(by_edge, ["hard", "edit"]).where("rank >= lo and rank < hi").select("family_id", "role")
     single_ranges, seen = [], {}
     for category, phenomenon, role in sorted(q, key=lambda k: (k[0], k[1], ROLES.index(k[2]))):
         lo = seen.get((category, phenomenon), 0)
         seen[category, phenomenon] = lo + q[category, phenomenon, role]
         single_ranges.append((category, phenomenon, role, lo, seen[category, phenomenon]))
     by_kind = spark.createDataFrame(single_ranges, "category string, phenomenon string, role string, lo int, hi int")
-    ranked = singles.withColumn("rank", F.row_number().over(Window.partitionBy("category", "phenomenon").orderBy("family_id")) - 1)
-    second = ranked.join(by_kind, ["category", "phenomenon"], "left").where("role is null or (rank >= lo and rank < hi)")
+    placed = ranked_in_order(singles.select("family_id", "category", "phenomenon"), ["category", "phenomenon"], ["family_id"])
+    second = placed.join(by_kind, ["category", "phenomenon"], "left").where("role is null or (rank >= lo and rank < hi)")
     second = second.select("family_id", F.coalesce("role", F.raise_error(F.lit("a family has no quota"))).alias("role"))
     return first.unionByName(second)
 
-
-def audit_plan(families: DataFrame, signals: list[str]) -> DataFrame:
-    """(signal, value, roles, n): signals of a plan (family_id, role, signals) found in more than one role."""
-    entries = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in signals])
-    rows = families.select("role", F.inline(entries)).where("value is not null")
-    return rows.groupBy("signal", "value").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.countDistinct("role").alias("k"), F.count("*").alias("n")).where("k > 1").drop("k")

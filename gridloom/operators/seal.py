@@ -42,7 +42,7 @@ def verify_checksums(spark: SparkSession, root: str, expected: DataFrame) -> Dat
 def verify_seals(spark: SparkSession, root: str) -> DataFrame:
     """(seal, artifact, expected, actual, crlf, status) of the ``.sha256`` and ``.seal.json`` files of a folder."""
     seals = files.seals(spark, root)
-    stored = files.binary(spark, root).select(F.col("path").alias("artifact"), F.sha2("content", 256).alias("actual"), (F.instr(F.hex("content"), "0D0A") > 0).alias("crlf"))
+    stored = files.binary(spark, root).select(F.col("path").alias("artifact"), F.sha2("content", 256).alias("actual"), (F.instr(F.decode("content", "ISO-8859-1"), "\r\n") > 0).alias("crlf"))
     joined = seals.join(stored, "artifact", "left")
     status = F.when(F.col("actual").isNull(), "MISSING").when(F.col("actual") == F.col("expected"), "MATCH").otherwise("MISMATCH")
     return joined.withColumn("status", status)

@@ -4,43 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.functions.hashing import deterministic_label
 from gridloom.functions.text import fold_key
-from gridloom.operators import generate, grid, nested, plan, seal
+from gridloom.operators import generate, grid, latent, nested, plan, seal
 from gridloom.plans import views
+from gridloom.session import cut
 from gridloom.sources.tables import table
 
-# A coverage of our own (category, gate, phenomenon, train, development, holdout).
-COVERAGE = [
-    ("exact_keep", "KEEP", "plain_grid", 40, 12, 6),
-    ("exact_keep", "KEEP", "header_band", 30, 8, 4),
-    ("hard_keep", "KEEP", "span_heavy", 21, 6, 3),
-    ("hard_keep", "KEEP", "empty_cells", 21, 6, 3),
-    ("hard_keep", "KEEP", "formula_mix", 14, 4, 2),
-    ("single_minimal_edit", "EDIT", "missing_merge", 28, 9, 4),
-    ("single_minimal_edit", "EDIT", "extra_split", 14, 4, 2),
-    ("single_minimal_edit", "EDIT", "row_or_column_assignment_error", 14, 3, 2),
-    ("complex_correction", "EDIT", "mixed_spans", 20, 5, 0),
-]
 SEED = 202608131000000
 #: So many seeds follow SEED; two of 100,000 requests share one in 1 of 200 corpora.
 SEEDS = 1_000_000_000_000
 
 
-def _coverage(spark: SparkSession) -> DataFrame:
-    rows = [(c, g, p, a + b + d, a, b, d) for c, g, p, a, b, d in COVERAGE]
-    return spark.createDataFrame(rows, "category string, gate_label string, phenomenon string, requested_count int, train_count int, development_count int, holdout_count int")
-
-
-def coverage_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.expand_coverage(_coverage(spark))
-
-
-def coverage_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.quotas(plan.expand_coverage(_coverage(spark)))
-
-
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = nested.latest(table(spark, sf_dir, "table_records"), "sample_id", "revised_at", ["category", "phenomenon", "role"])
     return last.where("category is not null and phenomenon is not null").withColumn("role", fold_key(F.col("role")))
@@ -57,35 +34,85 @@ def pair_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.pair_zip(m.where("category = 'hard_keep'"), m.where("category = 'single_minimal_edit'"), ["role"], "sample_id")
 
 
-def _families(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    requests = plan.expand_coverage(_coverage(spark))
-    pairs = plan.pair_members(requests).withColumn("family_id", F.format_string("pair-%s-%s-%05d", "hard", "edit", "edge_rank"))
-    singles = requests.where("category in ('exact_keep', 'complex_correction')").groupBy("category", "phenomenon").agg(F.count("*").alias("n"))
-    singles = singles.select("category", "phenomenon", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k")).withColumn("family_id", F.format_string("single-%s-%05d", "phenomenon", "k"))
-    return requests, pairs, singles
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir).where(F.col("category").isin(*plan.CATEGORIES) & F.col("role").isin(*plan.ROLES))
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coverage like the latest records: as many of each category, phenomenon and role, but as many single edits in a role as it has hard keeps.
+
+    So every hard keep can have its counterfactual. The edits of a role are shared among
+    phenomena in proportion to the records, by greatest remainder.
+    """
+    n = _known(spark, sf_dir).groupBy("category", "phenomenon", "role").agg(F.count("*").alias("n"))
+    wanted = n.where("category = 'hard_keep'").groupBy("role").agg(F.sum("n").alias("want"))
+    edits = n.where("category = 'single_minimal_edit'").join(wanted, "role")
+    have = F.sum("n").over(Window.partitionBy("role"))
+    edits = edits.withColumn("have", have).withColumn("whole", F.expr("(n * want) div have")).withColumn("over", F.expr("(n * want) % have"))
+    place = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("over"), "phenomenon"))
+    lacking = F.col("want") - F.sum("whole").over(Window.partitionBy("role"))
+    edits = edits.withColumn("n", F.col("whole") + F.when(place <= lacking, 1).otherwise(0)).select("category", "phenomenon", "role", "n")
+    counts = n.where("category != 'single_minimal_edit'").unionByName(edits.where("n > 0"))
+    gate = F.when(F.col("category").endswith("keep"), "KEEP").otherwise("EDIT")
+    per = [F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).cast("int").alias(f"{r}_count") for r in plan.ROLES]
+    return cut(counts.groupBy("category", gate.alias("gate_label"), "phenomenon").agg(F.sum("n").cast("int").alias("requested_count"), *per))
+
+
+def coverage_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.expand_coverage(_coverage(spark, sf_dir))
+
+
+def coverage_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.quotas(plan.expand_coverage(_coverage(spark, sf_dir)))
+
+
+def _families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    requests = plan.expand_coverage(_coverage(spark, sf_dir))
+    specs = cut(latent.family_specs(requests).withColumn("family_id", F.format_string("family-%09d", "family_index")))
+    return requests, specs.where("hard is not null"), specs.where("hard is null")
 
 
 def counterfactual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _families(spark)[1]
+    """How many pairs each edge of phenomena has."""
+    return plan.pair_members(plan.expand_coverage(_coverage(spark, sf_dir))).groupBy("hard", "edit").agg(F.count("*").alias("n"), F.min("hard_rank").alias("first_hard"), F.max("edit_rank").alias("last_edit"))
 
 
 def role_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests, pairs, singles = _families(spark)
+    requests, pairs, singles = _families(spark, sf_dir)
     return plan.assign_roles(pairs.select("family_id", "hard", "edit"), singles.select("family_id", "category", "phenomenon"), requests)
 
 
 def role_assignment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members per category, phenomenon and role: the quotas, if the assignment is right."""
-    requests, pairs, singles = _families(spark)
+    requests, pairs, singles = _families(spark, sf_dir)
     roles = plan.assign_roles(pairs.select("family_id", "hard", "edit"), singles.select("family_id", "category", "phenomenon"), requests)
     kinds = F.array(F.struct(F.lit("hard_keep").alias("category"), F.col("hard").alias("phenomenon")), F.struct(F.lit("single_minimal_edit").alias("category"), F.col("edit").alias("phenomenon")))
     members = pairs.select("family_id", F.inline(kinds)).unionByName(singles.select("family_id", "category", "phenomenon"))
     return members.join(roles, "family_id").groupBy("category", "phenomenon", "role").agg(F.count("*").alias("n"))
 
 
+def _latent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    requests = plan.expand_coverage(_coverage(spark, sf_dir))
+    return cut(latent.create_plan(requests, SEED, "planned")), requests
+
+
+def latent_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the latent plan per category, phenomenon and role, and how many distinct families and signatures they have."""
+    families, _ = _latent(spark, sf_dir)
+    one = F.inline(F.array(F.struct(F.element_at("members", 1)["category"].alias("category"), F.col("generative_family_key").alias("key"))))
+    keys = families.select(one).groupBy("category").agg(F.countDistinct("key").alias("n_keys"))
+    members = latent.member_rows(families).groupBy("category", "phenomenon", "role").agg(F.count("*").alias("n"), F.countDistinct("family_id").alias("n_families"))
+    return members.join(keys, "category", "left").withColumn("n_keys", F.coalesce("n_keys", F.lit(0)))
+
+
+def latent_plan_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine checks of the latent plan."""
+    return latent.audit_plan(*_latent(spark, sf_dir))
+
+
 def _record_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coverage of the latest records: how many of each category and phenomenon the roles hold."""
-    known = _members(spark, sf_dir).where(F.col("category").isin(*plan.CATEGORIES) & F.col("role").isin(*plan.ROLES))
+    known = _known(spark, sf_dir)
     gate = F.when(F.col("category").endswith("keep"), "KEEP").otherwise("EDIT")
     counts = [F.count_if(F.col("role") == r).cast("int").alias(f"{r}_count") for r in plan.ROLES]
     return known.groupBy("category", gate.alias("gate_label"), "phenomenon").agg(F.count("*").cast("int").alias("requested_count"), *counts)
@@ -125,15 +152,38 @@ def manifest_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seal.order_free_checksum(gold, F.concat("table_id", F.lit("\t"), grid.structure_text(F.col("rows"), F.col("columns"), F.col("gold"))))
 
 
-QUERIES = {q.__name__: q for q in (coverage_expand, coverage_quotas, stable_member_order, pair_zip, counterfactual_pairs, role_assignment, role_assignment_counts, generated_tables, deterministic_labels, record_contract, manifest_checksum)}
+QUERIES = {q.__name__: q for q in (coverage_expand, coverage_quotas, stable_member_order, pair_zip, counterfactual_pairs, role_assignment, role_assignment_counts, latent_plan_counts, latent_plan_checks, generated_tables, deterministic_labels, record_contract, manifest_checksum)}
 
-_COVER = "with cover(category, gate_label, phenomenon, t, d, h) as (values " + ", ".join(repr(r) for r in COVERAGE) + "), req as (select category, gate_label, phenomenon, 'train' as role, unnest(range(t)) as ordinal from cover union all select category, gate_label, phenomenon, 'development', unnest(range(d)) from cover union all select category, gate_label, phenomenon, 'holdout', unnest(range(h)) from cover)"
 _MEMBERS = r"with m as (select sample_id, t.category as category, t.phenomenon as phenomenon, lower(trim(t.role, E' \t\n\r')) as role from (select sample_id, max_by(table_records, revised_at) as t from table_records where sample_id is not null group by sample_id) where t.category is not null and t.phenomenon is not null)"
 
+_COVER = _MEMBERS + """, n as (
+  select category, phenomenon, role, count(*) as n from m where category in ('exact_keep', 'hard_keep', 'single_minimal_edit', 'complex_correction') and role in ('train', 'development', 'holdout') group by all
+), e as (
+  select phenomenon, role, (n * want) // have as whole, (n * want) % have as over_, want
+  from (select *, sum(n) over (partition by role)::bigint as have from n where category = 'single_minimal_edit') join (select role, sum(n)::bigint as want from n where category = 'hard_keep' group by role) using (role)
+), q as (
+  select * from n where category <> 'single_minimal_edit'
+  union all
+  select 'single_minimal_edit', phenomenon, role, whole + (row_number() over (partition by role order by over_ desc, phenomenon) <= want - sum(whole) over (partition by role))::int from e
+), req as (select category, case when ends_with(category, 'keep') then 'KEEP' else 'EDIT' end as gate_label, phenomenon, role, unnest(range(n::bigint)) as ordinal from q where n > 0)
+"""
+
+# Members of a category and role in stable order: the k-th of its phenomenon has the digest of that.
+_EDGES = _COVER + """, k as (
+  select category, phenomenon, role, sha256('{"category":"' || category || '","namespace":"component-first-family-pairing-2026.08.12.7","ordinal":' || ordinal || ',"phenomenon":"' || phenomenon || '"}') as key
+  from req where category in ('hard_keep', 'single_minimal_edit')
+), o as (select *, row_number() over (partition by category, role order by key) as i from k),
+edges as (select a.phenomenon as hard, b.phenomenon as edit, count(*) as n from o a join o b on a.role = b.role and a.i = b.i where a.category = 'hard_keep' and b.category = 'single_minimal_edit' group by all)
+"""
+
 SQL = {
     "coverage_expand": _COVER + "select category, gate_label, phenomenon, role, ordinal from req",
     "coverage_quotas": _COVER + "select category, phenomenon, role, count(*) as n from req group by all",
     "role_assignment_counts": _COVER + "select category, phenomenon, role, count(*) as n from req group by all",
+    "latent_plan_counts": _COVER + """, f as (select category, count(*) as n_keys from req where category <> 'single_minimal_edit' group by all)
+select category, phenomenon, role, count(*) as n, count(*) as n_families, coalesce(any_value(n_keys), 0) as n_keys from req left join f using (category) group by category, phenomenon, role""",
+    "counterfactual_pairs": _EDGES + """select hard, edit, n, coalesce(sum(n) over (partition by hard order by edit rows between unbounded preceding and 1 preceding), 0)::bigint as first_hard,
+  (sum(n) over (partition by edit order by hard) - 1)::bigint as last_edit from edges""",
     "stable_member_order": _MEMBERS + """, o as (select *, row_number() over (partition by category, phenomenon order by sample_id) - 1 as ordinal from m),
 k as (select *, sha256('{"category":"' || category || '","namespace":"component-first-family-pairing-2026.08.12.7","ordinal":' || ordinal || ',"phenomenon":"' || phenomenon || '"}') as key from o)
 select sample_id, category, phenomenon, ordinal, key, row_number() over (partition by category order by key) - 1 as rank from k""",

@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import generate, isolate, plan, seal
+from gridloom.functions import ranking
+from gridloom.operators import generate, isolate, latent, plan, seal
 from gridloom.sources import files
 
 COVER = [("hard_keep", "KEEP", "a", 3, 2, 1, 0), ("hard_keep", "KEEP", "b", 3, 1, 1, 1), ("single_minimal_edit", "EDIT", "x", 4, 2, 1, 1), ("single_minimal_edit", "EDIT", "y", 2, 1, 1, 0), ("exact_keep", "KEEP", "p", 5, 3, 2, 0), ("complex_correction", "EDIT", "q", 0, 0, None, 0)]
@@ -65,8 +66,63 @@ def test_generation(phenomenon):
 
 
 def test_isolated_families(spark):
-    found = generate.isolate_families([("plain", "exact_keep")] * 6, 1000, spark=spark)
-    assert all(len({f[s] for f in found}) == 6 for s in generate.SIGNATURES)
+    families = spark.createDataFrame([(i, "plain", "exact_keep") for i in range(6)] + [(i, "header_band", "hard_keep") for i in range(6, 12)], "family_index int, phenomenon string, category string")
+    got = sorted(generate.isolate_families(families, 1000).collect())
+    assert len(got) == 12 and all(len({f[s] for f in got}) == 12 for s in generate.SIGNATURES)
+    # One family after another, each with the first seed that no signature before it forbids.
+    used = set()
+    for i, r in enumerate(got):
+        tries = (generate.signatures(1000 + 100_000 * i + k, r.phenomenon, r.category) for k in range(100))
+        k, own = next((k, s) for k, t in enumerate(tries) if not (s := {(n, t[n]) for n in generate.SIGNATURES}) & used)
+        used |= own
+        assert (r.nonce, r.base_seed) == (k, 1000 + 100_000 * i + k)
+    assert generate.isolate_families(families.limit(0), 1000).count() == 0
+
+
+def test_families_that_collide(spark, monkeypatch):
+    # Shapes are few here: most first seeds collide, and all families still differ.
+    monkeypatch.setattr(generate, "signatures", lambda seed, p, c, assets: {"rows": 1, "columns": 1, **dict.fromkeys(generate.SIGNATURES, str(seed % 7 if seed % 100_000 < 7 else seed))})
+    families = spark.createDataFrame([(i, "p", "c") for i in range(9)], "family_index int, phenomenon string, category string")
+    got = generate.isolate_families(families, 0).collect()
+    assert len({r.structure_sha256 for r in got}) == 9
+
+
+def test_latent_plan(spark, tmp_path):
+    requests = plan.expand_coverage(spark.createDataFrame(COVER, SCHEMA))
+    families = latent.create_plan(requests, 5000, "d")
+    path = str(tmp_path / "plan")
+    report = latent.write_plan(families, requests, path)
+    assert report["status"] == "PASS" and report["planned_records"] == 17 and report["planned_families"] == 11
+    again = latent.verify_plan(spark, path, requests)
+    assert again["status"] == "PASS" and not again["mismatches"] and not again["disagreements"]
+    with pytest.raises(Exception, match="exists"):
+        latent.write_plan(families, requests, path)
+    held = latent.read_plan(spark, f"{path}/plan")
+    members = latent.member_rows(held)
+    assert sorted(r.sample_index for r in members.select("sample_index").collect()) == list(range(17))
+    # Each fault shows in its own check.
+    faults = lambda df, req=requests: {r.check for r in latent.audit_plan(df, req).where("not passed").collect()}
+    assert faults(held) == set()
+    assert "record_count" in faults(held.where("family_index > 0"))
+    assert {"role_counts", "phenomenon_role_counts"} <= faults(held.withColumn("role", F.lit("train")))
+    assert faults(held.withColumn("terminal_inputs_used", F.col("family_index") == 0)) == {"terminal_nonuse"}
+    assert faults(held.withColumn("structure_sha256", F.lit("x"))) == {"cross_role_signature_overlap"}
+    assert faults(held.withColumn("component_id", F.lit("x"))) == {"component_single_role"}
+    assert faults(held.withColumn("family_id", F.lit("x"))) == {"family_single_role"}
+    assert "counterfactual_groups" in faults(held.withColumn("members", F.transform("members", lambda m: F.struct(F.lit("hard_keep").alias("category"), m["phenomenon"], m["sample_index"], m["sample_id"]))))
+    assert latent.verify_plan(spark, path, requests.where("phenomenon != 'p'"))["disagreements"]
+    assert latent.overlaps(held.withColumn("text_sha256", F.lit("t"))).select("signal", "roles").collect() == [("text_sha256", "development,holdout,train")]
+
+
+def test_ranks_in_order(spark):
+    rows = [(i % 3 if i % 2 else 0, f"k{i * 7 % 50:02d}") for i in range(50)]
+    df = spark.createDataFrame(rows + [(None, "z")], "g int, k string")
+    for size in (1000, 5):
+        got = {(r.g, r.k): r["rank"] for r in ranking.ranked_in_order(df, ["g"], ["k"], rows=size).collect()}
+        want = {(g, k): sorted(x for h, x in rows if h == g).index(k) for g, k in rows}
+        assert got == {**want, (None, "z"): 0}
+        by_hash = ranking.ranked(df.where("g is not null"), "g", ["k"], rows=size).collect()
+        assert all(sorted(r["rank"] for r in by_hash if r.g == g) == list(range(sum(h == g for h, _ in rows))) for g in range(3))
 
 
 def test_isolation(spark):
@@ -116,6 +172,10 @@ def test_seals(spark, tmp_path):
     v = seal.verify_seals(spark, str(tmp_path))
     assert {(r.artifact, r.status, r.crlf) for r in v.collect()} == {("a.md", "MATCH", True), ("gone.md", "MISSING", None)}
     assert seal.seal_status(v) == "BLOCKED_MISSING_ARTIFACT"
+    (tmp_path / "z.md").write_text("0\u0420", encoding="utf-8")  # its bytes hold 0D 0A only across digits
+    (tmp_path / "z.sha256").write_text("0  z.md\n")
+    assert seal.verify_seals(spark, str(tmp_path)).where("artifact = 'z.md' and not crlf").count() == 1
+    (tmp_path / "z.sha256").unlink()
     (tmp_path / "a.md").write_bytes(b"y")
     assert seal.seal_status(seal.verify_seals(spark, str(tmp_path))) == "BLOCKED_CONTENT_MISMATCH"
 
