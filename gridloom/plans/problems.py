@@ -86,7 +86,7 @@ def p2_node_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> Orphans:
-    tokens = references_of(table(spark, sf_dir, "candidate_tokens"), "candidate_tokens", "candidate_id", "observed_at", "token_index")
+    tokens = references_of(table(spark, sf_dir, "candidate_tokens"), "candidate_tokens", "candidate_id", "observed_at", "token_index", "arrived_at")
     cells = references_of(table(spark, sf_dir, "raw_cells"), "raw_cells", "cell_key", "built_at", "ocr_token_indexes")
     return track_orphans(parents_of(table(spark, sf_dir, "table_manifest")), tokens.unionByName(cells))
 
@@ -100,6 +100,12 @@ def p5_orphans_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orphans(spark, sf_dir).orphans.groupBy("ref_table", F.date_format("used", "yyyy-MM").alias("month"), "ref_field", "orphan_state").agg(F.count("*").alias("n_orphans"))
 
 
+def p5_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references known at the end of each month, per table and month of use; ``pending`` ones may still find their parent."""
+    snaps = _orphans(spark, sf_dir).snapshots
+    return snaps.select(F.date_format("until", "yyyy-MM").alias("known_month"), "ref_table", F.date_format("period", "yyyy-MM").alias("used_month"), "orphan_state", "n")
+
+
 _P5_SQL = r"""
 with parents as (
   select lower(trim(sample_id, E' \t\n\r')) as key, registered_at as reg, withdrawn_at as gone, coalesce(len(ocr_tokens), 0) as n
@@ -129,6 +135,26 @@ with parents as (
 )
 """
 
+_P5_SNAPSHOTS_SQL = r"""
+with one as (
+  select lower(trim(sample_id, E' \t\n\r')) as key, registered_at as reg, max(struct_pack(g := coalesce(withdrawn_at, timestamp '9999-12-31'), n := coalesce(len(ocr_tokens), 0))) as v
+  from table_manifest where sample_id is not null and registered_at is not null group by all
+), refs as (
+  select distinct 'candidate_tokens' as ref_table, candidate_id as id, lower(trim(sample_id, E' \t\n\r')) as key, observed_at as used, coalesce(arrived_at, observed_at) as came, [token_index] as idxs from candidate_tokens where sample_id is not null
+  union
+  select distinct 'raw_cells', cell_key, lower(trim(sample_id, E' \t\n\r')), built_at, built_at, coalesce(ocr_token_indexes, []) from raw_cells where sample_id is not null
+), months as (
+  select distinct date_trunc('month', t) as m from (select came as t from refs union all select reg from one union all select v.g from one where v.g < timestamp '9999-01-01')
+), firsts as (select key, min(date_trunc('month', reg)) as m from one group by key),
+judged as (
+  select r.*, f.m as first_m, o.reg, o.v, case when o.reg is null then 'later' when o.v.g <= r.used then 'deleted' when len(list_filter(idxs, lambda i: i is not null and (i < 0 or i >= o.v.n))) > 0 then 'lacking' else 'ok' end as final
+  from refs r asof left join one o on r.key = o.key and r.used >= o.reg left join firsts f on f.key = r.key
+), known as (
+  select m.m, j.ref_table, date_trunc('month', j.used) as p, case when first_m is null or first_m > m.m then 'pending' else final end as state from judged j join months m on date_trunc('month', j.came) <= m.m
+)
+select strftime(m, '%Y-%m') as known_month, ref_table, strftime(p, '%Y-%m') as used_month, state as orphan_state, count(*) as n from known where state <> 'ok' group by all
+"""
+
 _P1_CTE = r"""
 with recursive files as (
   select distinct file_id, stream_id, trim(schema_release) as release, written_at,
@@ -229,6 +255,7 @@ QUERIES = {
     "p2_node_tables": p2_node_tables,
     "p5_found": p5_found,
     "p5_orphans_by_month": p5_orphans_by_month,
+    "p5_snapshots": p5_snapshots,
 }
 
 SQL = {
@@ -242,5 +269,6 @@ SQL = {
   i.generative_components.content.namespace as namespace, i.generative_components.content.phenomenon as content_phenomenon from (select sample_id, t.identity as i from latest)""",
     "p2_records": "with " + _LATEST_SQL + "select sample_id, t.schema_release, t.dataset_release, t.role, t.gate_label, t.category, t.phenomenon, t.revised_at from latest",
     "p5_found": _P5_SQL + "select ref_table, ref_id, ref_field, token_index, orphan_state from orphans",
+    "p5_snapshots": _P5_SNAPSHOTS_SQL,
     "p5_orphans_by_month": _P5_SQL + "select ref_table, strftime(used, '%Y-%m') as month, ref_field, orphan_state, count(*) as n_orphans from orphans group by all",
 }

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import orphans
 
@@ -51,14 +52,49 @@ def case(seed, hot):
 
 @pytest.mark.parametrize("light", [32, 2])
 def test_against_brute_force(spark, monkeypatch, light):
-    # With 2, keys of more than two versions in an epoch go by time slots.
+    # With 2, keys of more than two versions go by time slots; hot keys are shared out.
     monkeypatch.setattr(orphans, "LIGHT_VERSIONS", light)
+    monkeypatch.setattr(orphans, "HOT_ROWS", 20)
     manifest, refs = case(light, 0.4)
     got, rows = run(spark, manifest, refs)
     assert rows == brute(manifest, refs)
     assert got.orphans.count() == len(rows)
-    waiting = {r["count"] for r in got.snapshots.where("orphan_state = 'pending'").collect()}
-    assert waiting
+    assert not got.snapshots.where("orphan_state = 'pending'").isEmpty()
+
+
+def test_state_lasts_and_late_news_reopen(spark, tmp_path):
+    home = str(tmp_path / "state")
+    rng = random.Random(5)
+    manifest, refs = case(3, 0.3)
+    plain = lambda s: s and s.strip().lower()
+    # One row for each key and time of registration; withdrawals become known in a later batch than registrations.
+    rows = {(plain(s), at): (s, at, gone, toks) for s, at, gone, toks in manifest if s and at}
+    batches = [([], []) for _ in range(4)]
+    for s, at, gone, toks in rows.values():
+        k = rng.randrange(3)
+        batches[k][0].append((s, at, None, toks))
+        if gone:
+            batches[rng.randrange(k + 1, 4)][0].append((s, at, gone, toks))
+    for r in dict((r[0], r) for r in refs).values():
+        batches[rng.randrange(4)][1].append(r)
+    seen = ([], [])
+    for parents, used in batches:
+        state = orphans.OrphanState(spark, home)  # a new object, as in a new session
+        state.add(orphans.parents_of(spark.createDataFrame(parents, MANIFEST)), orphans.references_of(spark.createDataFrame(used, CELLS), "raw_cells", "cell_key", "built_at", "ocr_token_indexes"))
+        seen[0].extend(parents)
+        seen[1].extend(used)
+        now = {(plain(s), at): (s, at, gone, toks) for s, at, gone, toks in seen[0]}  # the last news counts
+        want = brute(list(now.values()), seen[1])
+        assert {(x.ref_id, x.ref_field, x.token_index, x.orphan_state) for x in state.orphans().collect()} == want
+        # The counts after this epoch are those of the orphans now.
+        last = len(state.epochs()) - 1
+        counts = {}
+        for r in state.snapshots().where(F.col("epoch") == last).collect():
+            counts[r.orphan_state] = counts.get(r.orphan_state, 0) + r.n
+        whole = lambda k: sum(x[3] == k and x[1] == "sample_id" for x in want)
+        assert (counts.get("pending", 0), counts.get("later", 0), counts.get("deleted", 0)) == (whole("missing"), whole("later"), whole("deleted"))
+        assert counts.get("lacking", 0) == len({x[0] for x in want if x[1] != "sample_id"})
+    assert len(state.epochs()) == 4
 
 
 def test_empty_tables(spark):
