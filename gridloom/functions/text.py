@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 
 #: Exactly the characters that Python's ``str.isspace`` and ``\\s`` accept.
 SPACE = r"[\s\u001c-\u001f\u0085\p{Z}]"
+#: The same characters, one by one.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Python's ``str.strip``; Spark's ``trim`` removes blanks only."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def fold_key(c: Column) -> Column:

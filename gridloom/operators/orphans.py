@@ -148,7 +148,7 @@ class OrphanState:
         known = lambda at, gone: F.struct(at.alias("known"), gone.alias("gone"))
         later = F.date_trunc(unit, "gone") > F.date_trunc(unit, "at")
         events = F.when(later & (F.col("gone") < far), F.array(known(F.col("at"), far), known(F.col("gone"), F.col("gone")))).otherwise(F.array(known(F.col("at"), F.col("gone"))))
-        parents = cut(last.select("key", "at", "n", F.inline(events)))
+        parents, references = cut(last.select("key", "at", "n", F.inline(events))), cut(references)
         ends = parents.select("known").union(references.select("known")).where(f"known < '{LAST_USE}'").select(F.date_trunc(unit, "known").alias("p")).distinct()
         self._load(parents, references, sorted(r.p for r in ends.collect()) or [None])
 
@@ -178,19 +178,20 @@ class OrphanState:
     def _advance(self, e: int, versions: DataFrame, refs: DataFrame, heavy: bool, hot: DataFrame | None, late: bool) -> None:
         now = lambda df: df.where(F.col("epoch") == e)
         known = versions.where(F.col("epoch") <= e)
-        work = now(refs).select(*REF_COLUMNS, F.lit(None).cast("string").alias("was")).distinct()
+        work = now(refs).select(*REF_COLUMNS, F.lit(None).cast("string").alias("was"))
         waiting = self._table("pending", REFERENCE + ", epoch int", e - 1).where(F.col("epoch") == e - 1).select(*REF_COLUMNS)
         touched = now(versions).groupBy("key").agg(F.min(F.least("v.at", "v.gone")).alias("since"))
         work = work.unionByName(waiting.join(touched, "key", "left_semi").withColumn("was", F.lit("pending")))
         if late:
             # References judged before, used at or after what is only now known of their parent.
-            past = refs.where(F.col("epoch") < e).select(*REF_COLUMNS).distinct().join(touched, "key").where("used >= since").drop("since")
+            past = refs.where(F.col("epoch") < e).select(*REF_COLUMNS).join(touched, "key").where("used >= since").drop("since")
             before = self._verdicts(e - 1).select(*REF_COLUMNS, "state")
             again = past.join(before, REF_COLUMNS, "left").select(*REF_COLUMNS, F.coalesce("state", F.lit("ok")).alias("was"))
             work = work.unionByName(again.where("was != 'pending'"))
         judged = _judge(_probe(work, known, heavy, hot))
         kept = judged.where("state != 'ok' or (was is not null and was != 'ok')").where("was is null or was != state or state = 'lacking'")
-        self._write(kept.withColumn("epoch", F.lit(e)), "verdicts")
+        # Repeated deliveries count once. Here, where few rows are left.
+        self._write(kept.distinct().withColumn("epoch", F.lit(e)), "verdicts")
         still = waiting.join(touched, "key", "left_anti").unionByName(now(self._table("verdicts", VERDICT, e)).where("state = 'pending'").select(*REF_COLUMNS))
         self._write(still.withColumn("epoch", F.lit(e)), "pending")
 
