@@ -168,12 +168,13 @@ class OrphanState:
         heavy = not versions.groupBy("key").agg(F.countDistinct("v.at").alias("n")).where(F.col("n") > LIGHT_VERSIONS).isEmpty()
         hot = refs.groupBy("key").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("shares")).where("shares > 1")
         hot = None if hot.isEmpty() else cut(hot)
-        seen = done[-1][2] if done else None
+        seen, log = done[-1][2] if done else None, []
         for e, start in zip(range(first, final + 1), starts):
             late = seen is not None and e in facts and facts[e].t <= seen
             self._advance(e, versions, refs, heavy, hot, late)
             seen = max((t for t in (seen, used.get(e)) if t is not None), default=None)
-            self.spark.createDataFrame([(e, start, seen)], "epoch int, until timestamp_ntz, last_used timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{self.home}/log")
+            log.append((e, start, seen))
+        self.spark.createDataFrame(log, "epoch int, until timestamp_ntz, last_used timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{self.home}/log")
 
     def _advance(self, e: int, versions: DataFrame, refs: DataFrame, heavy: bool, hot: DataFrame | None, late: bool) -> None:
         now = lambda df: df.where(F.col("epoch") == e)
