@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import pick
+from gridloom.functions.ranking import ranked
 from gridloom.functions.text import fold_key
-from gridloom.llm.ranking import ranked
 from gridloom.operators.nested import latest
 from gridloom.session import cut
 
@@ -21,9 +21,6 @@ from gridloom.session import cut
 FILLERS = ("", "n/a", "none", "unknown")
 PREFIX = r"^(?:document-|pair-)"
 KEYS = ("document_cluster_id", "counterfactual_pair_id", "generative_family_key")
-MOST_ROUNDS = 60
-#: Samples in the groups over which a subset-sum bitset runs, at most.
-EXACT_TOTAL = 4_000_000
 
 
 def link_key(c: Column) -> Column:
@@ -52,18 +49,19 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.join(hubs.select("key", "hub"), "key").where("sample != hub").select("sample", "hub").distinct()
     edges = cut(edges)
     parent = cut(edges.select("sample", F.col("hub").alias("root")).unionByName(edges.select(F.col("hub").alias("sample"), F.col("hub").alias("root"))).groupBy("sample").agg(F.min("root").alias("root")))
-    for _ in range(MOST_ROUNDS):
-        # Hook: across each edge, the greater root learns of the lesser.
-        a = edges.join(parent.select("sample", F.col("root").alias("ra")), "sample").select("hub", "ra")
+    while True:  # ends: roots only ever become less
+        # Hook: across each edge, the greater root learns of the lesser. A hub's samples are
+        # taken together by root first, so that a hot hub meets its own root in few rows.
+        a = edges.join(parent.select("sample", F.col("root").alias("ra")), "sample").select("hub", "ra").distinct()
         ends = a.join(parent.select(F.col("sample").alias("hub"), F.col("root").alias("rb")), "hub").where("ra != rb")
         hooks = ends.groupBy(F.greatest("ra", "rb").alias("sample")).agg(F.min(F.least("ra", "rb")).alias("to"))
-        hooked = parent.join(hooks, "sample", "left").select("sample", F.least("root", "to").alias("root"))
-        # Shortcut: the parent's parent.
-        jumped = cut(hooked.join(hooked.select(F.col("sample").alias("root"), F.col("root").alias("up")), "root").select("sample", F.least("root", "up").alias("root")))
-        if jumped.join(parent.withColumnRenamed("root", "was"), "sample").where("root != was").isEmpty():
-            return jumped
-        parent = jumped
-    raise RuntimeError(f"components did not settle within {MOST_ROUNDS} rounds")
+        hooked = parent.join(hooks, "sample", "left").select("sample", F.col("root").alias("was"), F.least("root", "to").alias("root"))
+        # Shortcut: the parent's parent. The root before is carried along, to see what changed.
+        up = hooked.where("root != sample").select(F.col("sample").alias("root"), F.col("root").alias("up"))
+        jumped = cut(hooked.join(up, "root", "left").select("sample", "was", F.least("root", "up").alias("root")))
+        parent = jumped.select("sample", "root")
+        if jumped.where("root != was").isEmpty():
+            return parent
 
 
 def choose_sizes(sizes: dict[int, int], shares: dict[str, float]) -> dict[str, dict[int, int]]:
@@ -71,12 +69,12 @@ def choose_sizes(sizes: dict[int, int], shares: dict[str, float]) -> dict[str, d
 
     sizes: size -> number of groups of that size; there are at most about the square root
     of twice the number of samples. For each role but the one with the greatest share,
-    least share first, a bitset of reachable totals (bit t set if t samples can be
-    reached) is grown by the sizes left, their multiplicities split into powers of two;
-    the reachable total closest to the target is taken and traced back. Beyond
-    EXACT_TOTAL samples the greatest groups are placed greedily, and the bitset runs over
-    the small ones that fill the gap, so the driver's memory stays bounded. The last role
-    gets the rest.
+    least share first: every size gives its share of groups, what is lacking is shared out
+    again among sizes that still fit, and a bitset of reachable totals (bit t set if t
+    samples can be reached) over the groups left, their multiplicities split into powers
+    of two, closes the small rest. If that misses the target, a bitset over all groups
+    finds the total closest to it. The last role gets the rest. The greatest bitset has
+    two bits for each sample wanted; a few of that length are held at a time.
     """
     total = sum(s * n for s, n in sizes.items())
     weight = sum(shares.values()) or 1.0
@@ -86,11 +84,10 @@ def choose_sizes(sizes: dict[int, int], shares: dict[str, float]) -> dict[str, d
         want = round(total * shares[role] / weight)
         here = sum(s * n for s, n in left.items())
         share = want / here if here else 0.0
-        # Of each size its share, and the bitset for what is lacking; if that misses the
-        # target, a choice among all groups may come closer.
-        even = {s: int(n * share) for s, n in left.items()}
-        tries = [_fill(left, even, want), _fill(left, {}, want)]
-        picked = min(tries, key=lambda p: abs(want - sum(s * n for s, n in p.items())))
+        picked = _fill(left, {s: int(n * share) for s, n in left.items()}, want)
+        if sum(s * n for s, n in picked.items()) != want:
+            whole = subset_sum(left, want)
+            picked = min(picked, whole, key=lambda p: abs(want - sum(s * n for s, n in p.items())))
         for size, n in picked.items():
             left[size] -= n
         chosen[role] = picked
@@ -104,48 +101,77 @@ def _fill(left: dict[int, int], base: dict[int, int], want: int) -> dict[int, in
     picked = {s: n for s, n in base.items() if n}
     gap = want - sum(s * n for s, n in picked.items())
     free = {s: n - picked.get(s, 0) for s, n in left.items()}
-    small, held = {}, 0
-    for size in sorted(free):  # the small groups, for the bitset
-        n = min(free[size], max(0, EXACT_TOTAL - held) // size)
-        if n:
-            small[size] = n
-            held += n * size
-    for size in sorted(free, reverse=True):
-        n = min(free[size] - small.get(size, 0), gap // size)
-        if n > 0:
-            picked[size] = picked.get(size, 0) + n
-            gap -= n * size
-    for size, n in subset_sum(small, gap).items():
-        picked[size] = picked.get(size, 0) + n
+    while True:  # each time at most one group of each size is lacking; ends as the gap shrinks
+        fits = {s: n for s, n in free.items() if n and s <= gap}
+        held = sum(s * n for s, n in fits.items())
+        more = {s: k for s, n in fits.items() if (k := n * min(gap, held) // held)}
+        if not more:
+            break
+        for s, k in more.items():
+            picked[s] = picked.get(s, 0) + k
+            free[s] -= k
+            gap -= s * k
+    for s, k in subset_sum({s: n for s, n in free.items() if n and s <= gap}, gap).items():
+        picked[s] = picked.get(s, 0) + k
     return picked
 
 
+def _reach(pieces: list[int], limit: int) -> int:
+    """The bitset of totals of some of the pieces, up to ``limit``."""
+    bits, mask = 1, (1 << (limit + 1)) - 1
+    for p in pieces:
+        if p <= limit:
+            bits = (bits | (bits << p)) & mask
+    return bits
+
+
+def _mirrored(bits: int, at: int) -> int:
+    """Bit t of ``bits`` as bit at - t, for t up to ``at``."""
+    n = at // 8 + 1
+    table = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+    turned = int.from_bytes((bits & ((1 << (at + 1)) - 1)).to_bytes(n, "little").translate(table)[::-1], "little")
+    return turned >> (8 * n - 1 - at)
+
+
+def _choose(pieces: list[int], at: int) -> list[int]:
+    """Places of pieces that sum to ``at``, which some do. By halves: a total of one half that the other completes; so no more than a few bitsets are held."""
+    out, todo = [], [(0, len(pieces), at)]
+    while todo:
+        lo, hi, at = todo.pop()
+        if not at:
+            continue
+        if hi - lo == 1:
+            out.append(lo)
+            continue
+        mid = (lo + hi) // 2
+        both = _reach(pieces[lo:mid], at) & _mirrored(_reach(pieces[mid:hi], at), at)
+        first = both.bit_length() - 1
+        todo += [(lo, mid, first), (mid, hi, at - first)]
+    return out
+
+
 def subset_sum(sizes: dict[int, int], want: int) -> dict[int, int]:
     """A choice size -> number, within the multiplicities, whose total is closest to ``want``; of two equally close the lesser."""
-    pieces = []
+    parts = []  # (size, how many of it together), powers of two
     for size in sorted(sizes, reverse=True):
         n, part = sizes[size], 1
         while n > 0:
-            pieces.append((size, min(part, n)))
+            parts.append((size, min(part, n)))
             n -= min(part, n)
             part *= 2
-    limit = (1 << (want + max(sizes, default=0) + 1)) - 1
-    reach = [1]
-    for size, take in pieces:
-        reach.append((reach[-1] | (reach[-1] << (size * take))) & limit)
-    below = (reach[-1] & ((1 << (want + 1)) - 1)).bit_length() - 1
-    above = reach[-1] >> want
-    at = below
+    pieces = [size * take for size, take in parts]
+    # Nothing above twice the target is closer than nothing at all.
+    reach = _reach(pieces, min(2 * want, sum(pieces)))
+    at = (reach & ((1 << (want + 1)) - 1)).bit_length() - 1
+    above = reach >> want
     if above:
         up = (above & -above).bit_length() - 1
-        if up < want - below:
+        if up < want - at:
             at = want + up
     picked: dict[int, int] = {}
-    for k in range(len(pieces), 0, -1):
-        if not reach[k - 1] >> at & 1:
-            size, take = pieces[k - 1]
-            picked[size] = picked.get(size, 0) + take
-            at -= size * take
+    for k in _choose(pieces, at):
+        size, take = parts[k]
+        picked[size] = picked.get(size, 0) + take
     return picked
 
 

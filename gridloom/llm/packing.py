@@ -17,17 +17,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import pick
-from gridloom.llm.ranking import ranked
+from gridloom.functions.ranking import ranked
 from gridloom.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text into the pieces over which byte pairs are merged.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are tokenized in segments of about so many characters, cut before white space.
+#: The same pieces as the tokenizer finds them, whose white space is that of Unicode.
+_PIECE = regex.compile(PATTERN.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+#: Longer texts are tokenized in segments of about so many characters, cut between pieces: the tokenizer's own search gives up on very long runs of white space.
 SEGMENT = 500_000
 
 
@@ -45,13 +48,14 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
     if len(text) <= SEGMENT:
         return len(enc.encode_ordinary(text))
     n, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + SEGMENT)
-        while at + SEGMENT // 2 < end < len(text) and not text[end].isspace():
-            end -= 1
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return n
+    for m in _PIECE.finditer(text):
+        if m.end() - m.start() > SEGMENT:
+            n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(m[0]))
+            at = m.end()
+        elif m.end() - at >= SEGMENT:
+            n += len(enc.encode_ordinary(text[at : m.end()]))
+            at = m.end()
+    return n + len(enc.encode_ordinary(text[at:]))
 
 
 def token_lengths(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, cosine_join, leaks, overlap, packing, ranking, sentences
+from gridloom.llm import components, cosine_join, leaks, overlap, packing, sentences
 
 IDENTITY = "identity struct<document_cluster_id:string,counterfactual_pair_id:string,generative_family_key:string>"
 SIGS = "sample_id string, role string, source_id string, perceptual_hash string, table_sha256 string, structure_sha256 string, registered_at timestamp_ntz"
@@ -119,24 +119,32 @@ def test_roles(spark, monkeypatch):
     df = records(spark, rows)
     groups = components.components(components.key_links(df))
     targets = spark.createDataFrame([("train", 0.7), ("development", 0.2), ("holdout", 0.1)], "role string, share double")
-    for most in (4_000_000, 20):  # the second places the great groups greedily
-        monkeypatch.setattr(components, "EXACT_TOTAL", most)
-        got = components.assign_roles(df.select(F.col("sample_id").alias("sample")), groups, targets)
-        assert {r.role: r["count"] for r in got.groupBy("role").count().collect()} == {"train": 140, "development": 40, "holdout": 20}
-        assert got.groupBy("group_first").agg(F.countDistinct("role").alias("n")).where("n > 1").count() == 0
+    got = components.assign_roles(df.select(F.col("sample_id").alias("sample")), groups, targets)
+    assert {r.role: r["count"] for r in got.groupBy("role").count().collect()} == {"train": 140, "development": 40, "holdout": 20}
+    assert got.groupBy("group_first").agg(F.countDistinct("role").alias("n")).where("n > 1").count() == 0
     none = components.assign_roles(df.select(F.col("sample_id").alias("sample")), groups, targets.limit(0))
     assert none.count() == 200 and none.where("role is not null").count() == 0
     empty = components.components(components.key_links(df.limit(0)))
     assert components.assign_roles(df.limit(0).select(F.col("sample_id").alias("sample")), empty, targets).count() == 0
 
 
-def test_ranks(spark):
-    df = spark.range(500).withColumn("v", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 3))
-    got = ranking.ranked(df, "v", ["id"], buckets=8).groupBy("v").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.max("rank").alias("m"), F.min("rank").alias("l"))
-    assert all(r.n == r.d == r.m + 1 and r.l == 0 for r in got.collect())
+def test_choice_beyond_millions():
+    """Totals far beyond any bitset of earlier bounds, met exactly, by the share of each size or by all groups."""
+    sizes = {1: 3_000_000, 2: 500_000, 7: 90_000, 1000: 700, 2_000_000: 1, 12_345: 3}
+    total = sum(s * n for s, n in sizes.items())
+    shares = {"train": 0.8, "development": 0.1, "holdout": 0.1}
+    got = components.choose_sizes(sizes, shares)
+    sums = {r: sum(s * n for s, n in p.items()) for r, p in got.items()}
+    assert all(sum(got[r].get(s, 0) for r in got) == n for s, n in sizes.items())
+    assert sums["development"] == round(total * 0.1) and sums["holdout"] == round(total * 0.1)
+    odd = {s: 1 for s in range(1001, 5000, 2)} | {2000: 40}  # few of each: the whole bitset of six million is needed
+    want = round(sum(s * n for s, n in odd.items()) * 0.13)
+    assert sum(s * n for s, n in components.subset_sum(odd, want).items()) == want
 
 
-# Problem 6
+def test_shares_of_groups_of_even_size():
+    got = components.choose_sizes({4: 10, 6: 5}, {"a": 0.5, "b": 0.25, "c": 0.25})
+    assert sorted(sum(s * n for s, n in p.items()) for p in got.values()) in ([16, 18, 36], [16, 20, 34], [18, 18, 34])
 
 
 def test_patterns_use_up_all_items():
@@ -201,6 +209,19 @@ def test_tokens(spark):
     assert abs(packing.count_tokens(text) - 200_000) < 10
 
 
+def test_long_texts_count_as_whole(monkeypatch):
+    """Cut between the tokenizer's own pieces, a text has the tokens of the whole, with white space anywhere, everywhere or nowhere."""
+    rng = random.Random(4)
+    marks = ["a", "Be", " ", "  ", "\n", "\t ", "\x1f", "\u3000", "é", "語", "12", "!?", "'s", "...", "\u0301"]
+    texts = ["".join(rng.choice(marks) for _ in range(400)) for _ in range(60)] + ["x" * 300, " " * 300 + "a", "語" * 300, "a" + " " * 300]
+    whole = [packing.count_tokens(t) for t in texts]
+    for size in (1, 7, 50):
+        monkeypatch.setattr(packing, "SEGMENT", size)
+        assert [packing.count_tokens(t) for t in texts] == whole
+    monkeypatch.undo()
+    assert packing.count_tokens("a" + " " * 3_000_000 + "b") > 1
+
+
 # Problem 7
 
 ITEM = "Which of the 49 headers does Zorthaxdre share with Pélsarnrud if a blurred stub is read after Ekkowextov?"
