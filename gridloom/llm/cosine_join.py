@@ -3,9 +3,10 @@
 Vectors are rows (id, term, weight) of unit length. Terms are ordered by document
 frequency, most frequent first. A prefix of a vector whose dot product with any vector of
 the other side stays below the threshold - by the greatest weights of its terms there, or
-by its own norm - is left out of the inverted lists: any pair that reaches the threshold
-still meets in some list. Pairs met are pruned by what their unlisted parts could add,
-and the rest get their exact dot product.
+by its own norm, whichever is less - is left out of the inverted lists: any pair that
+reaches the threshold still meets in some list, and the longest lists are those left out.
+Pairs met are pruned by what their unlisted parts could add at most, and the rest get
+their exact dot product.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ EPS = 1e-9
 
 
 def _lists(own: DataFrame, stats: DataFrame, other_max: str, threshold: float) -> DataFrame:
-    """own with ``rest``, the norm of the unlisted prefix; listed rows only."""
+    """own with ``rest``, the most that the unlisted prefix can add to a dot product; listed rows only."""
     upto = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
     rows = own.join(stats, "term").withColumn("reach", F.least(F.sum(F.col("weight") * F.col(other_max)).over(upto), F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(upto))))
     rows = rows.withColumn("listed", F.col("reach") >= threshold - EPS)
-    whole = Window.partitionBy("id")
-    rest = F.sqrt(F.coalesce(F.sum(F.when(~F.col("listed"), F.col("weight") * F.col("weight"))).over(whole), F.lit(0.0)))
+    rest = F.coalesce(F.max(F.when(~F.col("listed"), F.col("reach"))).over(Window.partitionBy("id")), F.lit(0.0))
     return rows.withColumn("rest", rest).where("listed").select("id", "term", "weight", "rest")
 
 
@@ -44,13 +44,11 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     y = _lists(right, stats, "max_left", threshold).select(F.col("id").alias("right_id"), "term", F.col("weight").alias("wy"), F.col("rest").alias("ry"))
     met = x.join(y, "term").groupBy("left_id", "right_id").agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"), F.max(F.greatest("rx", "ry")).alias("rest"))
     kept = cut(met.where(F.col("dot") + F.col("rest") >= threshold - EPS))
+    # Without a rest the dot product is whole; the others' vectors are joined in full.
     whole = kept.where("rest = 0").select("left_id", "right_id", "dot")
-    if kept.where("rest > 0").isEmpty():
-        exact = whole
-    else:
-        pairs = kept.where("rest > 0").select("left_id", "right_id")
-        lt = left.select(F.col("id").alias("left_id"), "term", F.col("weight").alias("wx"))
-        rt = right.select(F.col("id").alias("right_id"), "term", F.col("weight").alias("wy"))
-        dots = pairs.join(lt, "left_id").join(rt, ["right_id", "term"]).groupBy("left_id", "right_id").agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
-        exact = whole.unionByName(dots)
+    pairs = kept.where("rest > 0").select("left_id", "right_id")
+    lt = left.select(F.col("id").alias("left_id"), "term", F.col("weight").alias("wx"))
+    rt = right.select(F.col("id").alias("right_id"), "term", F.col("weight").alias("wy"))
+    dots = pairs.join(lt, "left_id").join(rt, ["right_id", "term"]).groupBy("left_id", "right_id").agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
+    exact = whole.unionByName(dots)
     return exact.where(F.col("dot") >= threshold - EPS).select("left_id", "right_id", F.col("dot").alias("cosine"))

@@ -2,14 +2,17 @@
 
 Copies are taken together first: a class is all samples of a split with the same value.
 Exact overlap is a join of one-term vectors. For near overlap, a class (structure, 64-bit
-hash) is a vector of block terms: the hash is cut into BLOCKS blocks, and each choice of
-BLOCKS - 3 of them, with their bits and the structure, is a term of equal weight. Two
-hashes that differ in at most 3 bits agree in at least one whole choice, so their cosine
-reaches 1 over the number of terms; a count of differing bits then checks the pair.
+hash) is a vector: the hash is cut into BLOCKS blocks, and each pair of blocks, with its
+bits and the structure, is a term. Terms of a pair of blocks weigh as much as they are
+rare, by the chance that two classes have the same bits there. Two hashes that differ in
+at most 3 bits agree in at least three blocks, so share the three terms of these: their
+cosine reaches the least weight of three such terms, the threshold of the join. The exact
+cosine over single bits, 1 - differing bits / 64, then decides.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +30,8 @@ SPELLINGS = {
     "holdout": ("holdout", "heldout", "holdoutset", "test", "testing", "testset"),
 }
 NEAR_BITS = 3
-BLOCKS = 5
+#: Blocks of a hash, and how many of them make a term.
+BLOCKS, TOGETHER = 6, 2
 
 
 def role_of(c: Column) -> Column:
@@ -64,22 +68,42 @@ def class_id() -> Column:
     return F.when(F.col("structure").isNotNull() & F.col("bits").isNotNull(), F.struct(F.xxhash64("structure").alias("a"), F.xxhash64(F.lit(1), "structure").alias("b"), F.col("bits").alias("bits")))
 
 
-def block_terms(near_bits: int = NEAR_BITS, blocks: int = BLOCKS) -> list[int]:
-    """Masks of the choices of blocks - near_bits of the blocks of 64 bits."""
+def block_masks(blocks: int = BLOCKS) -> list[int]:
+    """Masks of the blocks of 64 bits."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(masks, blocks - near_bits)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def block_vectors(classes: DataFrame) -> DataFrame:
-    """(id, term, weight) of classes (id: from ``class_id``)."""
-    masks = block_terms()
-    terms = F.array(*[F.xxhash64("id.a", "id.b", F.lit(i), F.col("id.bits").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
-    return classes.select("id", F.explode(terms).alias("term")).withColumn("weight", F.lit(len(masks) ** -0.5)).groupBy("id", "term").agg(F.max("weight").alias("weight"))
+def block_terms(classes: DataFrame) -> DataFrame:
+    """(id, k, term) of classes (id: from ``class_id``): a term for each k-th choice of TOGETHER blocks."""
+    masks = [sum(c) for c in combinations(block_masks(), TOGETHER)]
+    terms = F.array(*[F.struct(F.lit(i).alias("k"), F.xxhash64("id.a", "id.b", F.lit(i), F.col("id.bits").bitwiseAND(F.lit(_signed(m)))).alias("term")) for i, m in enumerate(masks)])
+    return classes.select("id", F.inline(terms))
+
+
+def rarity(terms: DataFrame) -> list[float]:
+    """The square of the weight of each choice of blocks; they sum to 1. By the chance that two classes have the same term: minus its logarithm."""
+    n = len(list(combinations(range(BLOCKS), TOGETHER)))
+    counts = terms.groupBy("k", "term").agg(F.count("*").alias("n")).groupBy("k").agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("chance"))
+    chance = {r.k: r.chance for r in counts.collect()}
+    rare = [1.0 - math.log(chance.get(k, 1.0)) for k in range(n)]
+    return [r / sum(rare) for r in rare]
+
+
+def least_cosine(squares: list[float], near_bits: int = NEAR_BITS) -> float:
+    """The least cosine of two hashes that differ in ``near_bits`` bits: that of the lightest choice of blocks left equal."""
+    place = {c: i for i, c in enumerate(combinations(range(BLOCKS), TOGETHER))}
+    return min(sum(squares[place[c]] for c in combinations(equal, TOGETHER)) for equal in combinations(range(BLOCKS), BLOCKS - near_bits))
+
+
+def block_vectors(terms: DataFrame, squares: list[float]) -> DataFrame:
+    """(id, term, weight)."""
+    weight = F.element_at(F.array(*[F.lit(math.sqrt(x)) for x in squares]), F.col("k") + 1)
+    return terms.select("id", "term", weight.alias("weight"))
 
 
 def exact_classes(sigs: DataFrame) -> DataFrame:
@@ -90,8 +114,13 @@ def exact_classes(sigs: DataFrame) -> DataFrame:
 
 def near_classes(sigs: DataFrame) -> DataFrame:
     """(left_id, right_id, distance): class ids of train and of the other splits with the same structure and hashes at most NEAR_BITS apart."""
-    side = lambda cond: sigs.where(cond).where("cls is not null").select(F.col("cls").alias("id")).distinct()
-    met = cosine_join(block_vectors(side("role = 'train'")), block_vectors(side("role != 'train'")), 1 / len(block_terms()))
+    sides = sigs.where("cls is not null").select(F.col("cls").alias("id"), (F.col("role") == "train").alias("left")).distinct()
+    # A structure of one split only has no partners: its classes are no vectors.
+    both = sides.groupBy("id.a", "id.b").agg(F.countDistinct("left").alias("n")).where("n = 2").select(F.struct("a", "b").alias("structure"))
+    sides = cut(sides.withColumn("structure", F.struct("id.a", "id.b")).join(both, "structure", "left_semi").select("id", "left"))
+    squares = rarity(block_terms(sides))
+    side = lambda left: block_vectors(block_terms(sides.where(F.col("left") == left)), squares)
+    met = cosine_join(side(True), side(False), least_cosine(squares))
     apart = F.bit_count(F.col("left_id.bits").bitwiseXOR(F.col("right_id.bits")))
     return met.where("left_id.a = right_id.a and left_id.b = right_id.b").select("left_id", "right_id", apart.cast("int").alias("distance")).where(F.col("distance") <= NEAR_BITS)
 
@@ -115,3 +144,29 @@ def overlaps(table: DataFrame) -> DataFrame:
     # The structures themselves are compared here, not their digests.
     near = near_classes(sigs).join(sides["left"], "left_id").join(sides["right"], "right_id").where("left_structure = right_structure and (left_key is null or right_key is null or left_key != right_key)").withColumn("overlap_kind", F.lit("near"))
     return exact.select(*out).unionByName(near.select(*out))
+
+
+def overlap_counts(table: DataFrame) -> DataFrame:
+    """(role, source_id, overlap_kind, n_pairs, n_samples): the pairs of ``overlaps``, and the development or holdout samples in them, per role and source of these.
+
+    Counted from the sizes of classes, without forming the pairs: two classes with sizes a
+    and b give a x b, less those pairs of them that are exact already.
+    """
+    sigs = cut(signatures(table))
+    train, other = sigs.where("role = 'train'"), sigs.where("role != 'train'")
+    by = ["role", "source_id"]
+    out = [*by, "overlap_kind", "n_pairs", "n_samples"]
+    keys = train.where("table_key is not null").groupBy("table_key").agg(F.count("*").alias("a"))
+    same = exact_classes(sigs).select(F.col("left_id").alias("table_key"))
+    exact = other.groupBy(*by, "table_key").agg(F.count("*").alias("b")).join(keys.join(same, "table_key", "left_semi"), "table_key")
+    exact = exact.groupBy(*by).agg(F.sum(F.col("a") * F.col("b")).alias("n_pairs"), F.sum("b").alias("n_samples")).withColumn("overlap_kind", F.lit("exact"))
+    # Per class of the other splits: samples of train near it, and of these those with each table value.
+    near = cut(near_classes(sigs).select("left_id", "right_id"))
+    held = near.join(train.where("cls is not null").groupBy(F.col("cls").alias("left_id"), "table_key").agg(F.count("*").alias("a")), "left_id").groupBy("right_id", "table_key").agg(F.sum("a").alias("a"))
+    held = cut(held)
+    total = held.groupBy("right_id").agg(F.sum("a").alias("total"))
+    of_key = held.where("table_key is not null").select("right_id", F.col("table_key").alias("key"), "a")
+    rows = other.where("cls is not null").groupBy(F.col("cls").alias("right_id"), *by, F.col("table_key").alias("key")).agg(F.count("*").alias("b"))
+    rows = rows.join(total, "right_id").join(of_key, ["right_id", "key"], "left").withColumn("partners", F.col("total") - F.coalesce("a", F.lit(0)))
+    counted = rows.where("partners > 0").groupBy(*by).agg(F.sum(F.col("partners") * F.col("b")).alias("n_pairs"), F.sum("b").alias("n_samples")).withColumn("overlap_kind", F.lit("near"))
+    return exact.select(*out).unionByName(counted.select(*out))

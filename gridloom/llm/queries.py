@@ -19,8 +19,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs and samples per role and source of the development or holdout sample."""
-    pairs = overlap.overlaps(table(spark, sf_dir, "table_signatures"))
-    return pairs.groupBy("role", "source_id", "overlap_kind").agg(F.count("*").alias("n_pairs"), F.countDistinct("other_sample").alias("n_samples"))
+    return overlap.overlap_counts(table(spark, sf_dir, "table_signatures"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
