@@ -1,13 +1,16 @@
 """Sentence boundaries across languages and scripts.
 
 Boundary rules are compiled into a finite transducer. A lexer turns text into few
-events - marks that may end a sentence, brackets and quotation marks, blank lines - whose
-symbols hold all that their surroundings say (abbreviations, numbers, what follows). The
-transducer's states are the open brackets and quotes, whether a quote opened its unit,
-and whether a unit has just begun. Long documents are cut into chunks: each chunk is a
-function from states to states, the functions are composed by a parallel prefix scan, and
-each chunk then emits its boundaries from its known first state. What two open levels or
-the surroundings of a chunk cannot tell is settled on the whole text.
+events - marks that may end a sentence, brackets and quotation marks, blank lines - and
+classes of what surrounds them: of the word or number before a point, found by a trie of
+abbreviations walked backwards from it, of the word before that, and of what follows. The
+rules are a table over these classes; the first that matches a combination of classes
+makes it a symbol that ends a sentence or one that doesn't. The transducer's states are
+the open brackets and quotes, whether a quote opened its unit, and whether a unit has just
+begun. Long documents are cut into chunks: each chunk is a function from states to states,
+the functions are composed by a parallel prefix scan, and each chunk then emits its
+boundaries from its known first state. A chunk is read with some text around it; where
+that, or two open levels, don't suffice to tell an event's classes, the whole text is run.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from enum import IntFlag, auto
 from functools import cache
 
 import numpy as np
@@ -28,25 +32,29 @@ from pyspark.sql.window import Window
 from gridloom.functions.columns import pick
 from gridloom.session import cut, spread
 
+#: Characters of a chunk, and with how many before and after it is read.
 CHUNK, LEFT, RIGHT = 8192, 256, 2048
 #: A closing mark is sought in so many characters first; beyond, among the places of all marks.
 NEAR = 1500
 
 # Abbreviations, without their last point, by what they do.
 #: Followed by a name; never end a unit.
-TITLES = frozenset("mr mrs ms dr prof st sr sra srta dra hr fr frau herr mme mlle mgr rev gen col sgt capt lt hon pres gov sen rep dipl ing डॉ प्रो श्री г-н г-жа акад проф".split())
+TITLES = frozenset("mr mrs ms dr prof st sr sra srta dra hr fr frau herr mme mlle mgr rev gen col sgt capt lt hon pres gov sen rep dipl ing डॉ प्रो श्री श्रीमती सुश्री कु ดร ผศ รศ г-н г-жа акад проф".split())
 #: Followed by a number; end a unit otherwise.
-REFS = frozenset("p pp s ss fig figs abb tab tabl sect sec no nos nr núm num cap kap pág pag págs art col vol bd ch chap eq ver v abs ziff rn рис табл стр с гл п пп разд см ص पृ चित्र ex ann anm app anh".split())
+REFS = frozenset("p pp s ss fig figs abb tab tabl sect sec no nos nr núm num cap kap pág pag págs art col vol bd ch chap eq ver v abs ziff rn рис табл стр с гл п пп разд см ص पृ चित्र सं क्र ex ann anm app anh".split())
 #: Within a sentence; never end a unit.
-INNER = frozenset("cf vgl vs ca approx aprox env e.g i.e z.b d.h u.a o.ä p.ex p.ej c.-à-d bzw resp incl inkl sog evtl ggf см ср т.е напр viz siehe".split())
+INNER = frozenset("cf vgl vs ca approx aprox env e.g i.e z.b d.h u.a o.ä p.ex p.ej c.-à-d bzw resp incl inkl sog evtl ggf см ср т.е напр viz siehe พ.ศ ค.ศ ม.ค ก.พ มี.ค เม.ย พ.ค มิ.ย ก.ค ส.ค ก.ย ต.ค พ.ย ธ.ค น.ส ق.م".split())
 #: May also end a sentence; do so unless what follows is lower case.
-ENDABLE = frozenset("etc usw al ltd inc co corp jr bros mm cm km kg px ms min max проц год г гг др т.д т.п тыс млн млрд руб u.s a.m p.m u.k ph.d мм см кг uvm".split())
+ENDABLE = frozenset("etc usw al ltd inc co corp jr bros mm cm km kg px ms min max проц год г гг др т.д т.п тыс млн млрд руб u.s a.m p.m u.k ph.d мм см кг uvm إلخ الخ इत्यादि".split())
 #: Of these, ones after which a number goes on.
 ENDABLE_NUMBER = frozenset("al u.s max min".split())
 #: Nouns before a letter that is a name of its own, not an initial.
 LABELS = frozenset("plan option version type class part appendix variant group case step table figure section level vitamin item list column row sheet fall klasse typ anhang gruppe plano opción anexo grupo tipo classe annexe groupe вариант план тип группа приложение".split())
 MONTHS = frozenset("jan feb mär märz apr april mai jun juni jul juli aug august sep sept september okt oktober nov november dez dezember januar februar".split())
 
+#: Of these, ones that may also begin a sentence, in lower case.
+STARTERS = frozenset("approx ca".split())
+
 _ABBREVIATIONS = TITLES | REFS | INNER | ENDABLE | MONTHS
 #: Second parts of abbreviations whose parts may be set apart.
 _SECOND = frozenset(a.partition(".")[2] for a in INNER | ENDABLE if "." in a)
@@ -63,130 +71,326 @@ _EVENT = regex.compile(rf"(?P<blank>\n[^\S\n]*\n)|(?P<term>[.!?…。！？؟।
 _BLANK = regex.compile(r"\n[^\S\n]*\n")
 _CLOSING = regex.compile(rf"[{regex.escape(''.join(sorted({c for _, closers in KINDS.values() for c in closers})))}]")
 _NONSPACE = regex.compile(r"\S")
-_BEFORE = regex.compile(rf"([{_LETTERS}\d]+)(\.?)[^\S\n]*\n?[^\S\n]*$")
-_LIST_NUMBER = regex.compile(r"(?:^|\n[^\S\n]*\n|[.!?…。！？؟।:\"”»][^\S\n]*\n)\s*\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})$")
+_SCRIPT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _WORD = regex.compile(rf"[\w{_LETTERS}]+\.?")
 _VOWELS = regex.compile(r"[aeiouyäöüáéíóúàèâêîôûëïаеёиоуыэюя]", regex.I)
 
 
-def _next(text: str, j: int) -> int:
-    """The place of the next character that is no white space, or -1."""
-    m = _NONSPACE.search(text, j)
-    return m.start() if m else -1
+class Kind(IntFlag):
+    """Classes of what stands before a point. PARTS: of letters with points between them, together with the letter before if parts are set apart."""
+
+    NONE = auto()  # no word
+    NUMBER = auto()
+    SMALL = auto()  # of one or two digits
+    LISTED = auto()  # at the begin of a list item
+    LETTERS = auto()  # a lone letter, or letters with points between them
+    SCRIPT = auto()  # of a script whose letters are words
+    DOTTED = auto()
+    LONG_LAST = auto()  # more than one letter after the last point within
+    CAPS = auto()  # the last part is in capitals
+    BRIEF = auto()  # its last part is no longer than a letter
+    LABELLED = auto()  # the word before makes the letter a name
+    PARTS_INNER = auto()
+    PARTS_ENDABLE = auto()
+    PARTS_DOTTED = auto()
+    PARTS_NUMBER = auto()
+    DATED = auto()  # a number stands before
+    STUCK = auto()  # a digit stands directly before
+    TITLE = auto()
+    REF = auto()
+    INNER = auto()
+    ENDABLE = auto()
+    ENDABLE_NUMBER = auto()
+    MONTH = auto()
+    SECOND = auto()  # may be the second part of an abbreviation
+    VOWELLESS = auto()  # short and without vowels
+
+
+class Then(IntFlag):
+    """Classes of what follows a mark."""
+
+    END = auto()  # nothing
+    GAP = auto()  # after white space
+    DIGIT = auto()
+    LOWER = auto()
+    GOES_ON = auto()  # lower case that begins no sentence
+    UPPER = auto()
+    ALPHA = auto()
+    UNCASED = auto()
+    OPENER = auto()
+    CLOSER = auto()
+    BINDS = auto()  # , ; :
+    JOINS = auto()  # what goes on within a word, name or number
+    REF_OPENER = auto()  # ( # §
+    MONTH = auto()
+    CAPITALS = auto()  # its second letter is a capital too
+
+
+K, N = Kind, Then
+# The rules for a single point, in order: classes that must all be there, classes of which none may
+# be there, classes of what follows of which one must be there (0: any), whether a sentence ends.
+_NO_GAP = [
+    (0, 0, N.CLOSER, True),
+    (0, 0, N.DIGIT | N.BINDS | N.JOINS | N.LOWER, False),
+    *[(k, 0, N.ALPHA, False) for k in (K.BRIEF, K.TITLE, K.REF, K.INNER)],
+    (K.CAPS, 0, N.CAPITALS, False),
+    (0, 0, 0, True),
+]
+_WITH_GAP = [
+    (0, 0, N.BINDS, False),
+    (K.NONE, 0, 0, True),
+    (K.NUMBER | K.LISTED, 0, 0, False),
+    (K.NUMBER | K.SMALL, 0, N.MONTH, False),
+    (K.NUMBER, 0, 0, True),
+    (K.LETTERS | K.PARTS_INNER, 0, 0, False),
+    (K.LETTERS | K.SCRIPT, 0, 0, True),
+    (K.LETTERS | K.PARTS_ENDABLE | K.PARTS_DOTTED, 0, N.GOES_ON, False),
+    (K.LETTERS | K.PARTS_ENDABLE | K.PARTS_DOTTED | K.PARTS_NUMBER, 0, N.DIGIT, False),
+    (K.LETTERS | K.PARTS_ENDABLE | K.PARTS_DOTTED, 0, 0, True),
+    (K.LETTERS | K.DOTTED, 0, N.GOES_ON | N.DIGIT, False),
+    (K.LETTERS | K.DOTTED | K.LONG_LAST, 0, 0, True),
+    (K.LETTERS | K.DOTTED, 0, 0, False),
+    (K.LETTERS | K.LABELLED, 0, 0, True),
+    (K.LETTERS | K.PARTS_ENDABLE, 0, N.GOES_ON, False),
+    (K.LETTERS | K.PARTS_ENDABLE, 0, 0, True),
+    (K.LETTERS, 0, 0, False),
+    (K.MONTH | K.DATED, 0, N.GOES_ON | N.DIGIT, False),
+    (K.MONTH | K.DATED, 0, 0, True),
+    (K.STUCK, K.ENDABLE, 0, True),  # "1st.", "30px."
+    (K.TITLE, K.REF, 0, False),
+    (K.TITLE, 0, N.ALPHA, False),
+    (K.ENDABLE, 0, N.GOES_ON, False),
+    (K.ENDABLE | K.ENDABLE_NUMBER, 0, N.DIGIT, False),
+    (K.ENDABLE, 0, 0, True),
+    (K.INNER, 0, 0, False),
+    (K.REF, 0, N.DIGIT | N.REF_OPENER | N.GOES_ON, False),
+    (K.REF, 0, 0, True),
+    (K.VOWELLESS, 0, N.GOES_ON | N.DIGIT, False),
+    (0, 0, 0, True),
+]
 
 
-def _is_lower(c: str) -> bool:
-    return c.islower()
+@cache
+def ends_after_point(before: int, then: int) -> bool:
+    """The compiled rules: whether a point with these classes around it ends a sentence."""
+    if then & N.END:
+        return True
+    rules = _WITH_GAP if then & N.GAP else _NO_GAP
+    return next(ends for all_, none, follow, ends in rules if before & all_ == all_ and not before & none and (not follow or then & follow))
 
 
-def _cased(c: str) -> bool:
-    return c.islower() or c.isupper() or c.istitle()
+@cache
+def ends_after_dots(then: int) -> bool:
+    """Whether an ellipsis, or several marks none of which ends a sentence by itself, end one: if a new sentence follows."""
+    if then & N.END:
+        return True
+    if then & N.DIGIT and not then & N.GAP:
+        return False
+    return bool(then & (N.UPPER | N.OPENER | N.DIGIT | N.UNCASED))
 
 
-def ends_sentence(text: str, i: int, j: int) -> bool:
-    """Whether the marks text[i:j], outside of any bracket or quote, end a sentence."""
-    marks = text[i:j]
-    if not HARD.isdisjoint(marks):
-        return True
-    k = _next(text, j)
-    if k < 0:
-        return True
-    n = text[k]
-    if "…" in marks or len(marks) > 1:
-        if n.isdigit() and k == j:
-            return False
-        return n.isupper() or n.istitle() or n in _OPENERS or n.isdigit() or (n.isalpha() and not _cased(n))
-    return _point_ends(text, i, j, k, n)
+@cache
+def abbreviations() -> dict:
+    """The trie of abbreviations, spelled backwards: character -> node; '' -> the classes of the word that ends there."""
+    root: dict = {}
+    lists = [(TITLES, K.TITLE), (REFS, K.REF), (INNER, K.INNER), (ENDABLE, K.ENDABLE), (ENDABLE_NUMBER, K.ENDABLE_NUMBER), (MONTHS, K.MONTH), (_SECOND, K.SECOND)]
+    for words, kind in lists:
+        for word in words:
+            node = root
+            for c in reversed(word):
+                node = node.setdefault(c, {})
+            node[""] = int(node.get("", 0) | kind)
+    return root
+
+
+_LONGEST = max(map(len, _ABBREVIATIONS))
+
+
+def _kinds(word: str) -> int:
+    """The classes of a whole word in the trie."""
+    node = abbreviations()
+    for c in reversed(word):
+        node = node.get(c)
+        if node is None:
+            return 0
+    return node.get("", 0)
+
+
+class View:
+    """A text, or a part of one whose ends are open. ``beyond``: something was asked that only the text beyond an open end can tell."""
+
+    def __init__(self, text: str, open_left: bool = False, open_right: bool = False):
+        self.text, self.open_left, self.open_right = text, open_left, open_right
+        self.beyond = False
+        self.closers = _Closers(text)
+
+    def at_left(self, p: int) -> None:
+        self.beyond |= p <= 0 and self.open_left
+
+    def at_right(self, p: int) -> None:
+        self.beyond |= p >= len(self.text) and self.open_right
+
+    def next(self, j: int) -> int:
+        """The place of the next character that is no white space, or -1."""
+        m = _NONSPACE.search(self.text, j)
+        if m is None:
+            self.at_right(len(self.text))
+            return -1
+        return m.start()
+
+    def spaces_before(self, p: int) -> int:
+        """Where the white space that ends at p begins."""
+        while p and self.text[p - 1].isspace():
+            p -= 1
+        self.at_left(p)
+        return p
 
 
 def _is_letter(c: str) -> bool:
     return c.isalpha() or (c > "\x7f" and unicodedata.category(c)[0] == "M")
 
 
-def _last_token(head: str) -> tuple[str, int]:
-    """The word, words joined by points and hyphens, or number at the end of ``head``, and its place; '' if there is none."""
-    p = len(head)
-    if not p:
-        return "", 0
-    if head[-1].isdecimal():
-        while p and (head[p - 1].isdecimal() or head[p - 1] in ".,:/-"):
-            p -= 1
-    else:
-        while p and (_is_letter(head[p - 1]) or (p < len(head) and head[p - 1] in ".-" and p > 1 and _is_letter(head[p - 2]) and _is_letter(head[p]))):
-            p -= 1
-    return head[p:], p
+def _cased(c: str) -> bool:
+    return c.islower() or c.isupper() or c.istitle()
 
 
-def _point_ends(text: str, i: int, j: int, k: int, n: str) -> bool:
-    if k == j + 1 and n.isupper() and i and text[i - 1].islower():  # the plain case: a word, a space, a capital
+def _follows(view: View, j: int) -> int:
+    """The classes of what follows the marks that end at j."""
+    text, k = view.text, view.next(j)
+    if k < 0:
+        return N.END
+    n, out = text[k], N.GAP if k > j else 0
+    if n.isdigit():
+        out |= N.DIGIT
+    if n in ",;:":
+        out |= N.BINDS
+    if n in "-–—/|_@%":
+        out |= N.JOINS
+    if n in ")]":
+        out |= N.CLOSER
+    if n in _OPENERS:
+        out |= N.OPENER
+    if n in "(#§":
+        out |= N.REF_OPENER
+    if n.isalpha():
+        out |= N.ALPHA if _cased(n) else N.ALPHA | N.UNCASED
+        if n.isupper() and text[k + 1 : k + 2].isupper():
+            out |= N.CAPITALS
+        view.at_right(k + 1)
+    if n.isupper() or n.istitle():
+        out |= N.UPPER
+    follow = _WORD.match(text, k)
+    if follow:
+        view.at_right(follow.end())
+        word = follow[0].casefold()
+        if n.islower():
+            out |= N.LOWER if "_" in word or (word[-1] == "." and word[:-1] in STARTERS) else N.LOWER | N.GOES_ON
+        if word.rstrip(".") in MONTHS:
+            out |= N.MONTH
+    elif n.islower():
+        out |= N.LOWER | N.GOES_ON
+    return int(out)
+
+
+def _number_before(view: View, i: int) -> int:
+    """The classes of the number that ends at i."""
+    text, p = view.text, i
+    while p and i - p < 4 and text[p - 1].isdecimal():
+        p -= 1
+    view.at_left(p)
+    digits = i - p
+    out = K.NUMBER
+    joined = p and text[p - 1] in ".,:/-"
+    if digits <= 2 and not joined:
+        out |= K.SMALL
+    if digits <= 3:
+        q = p - 1 if p and text[p - 1] == "(" else p
+        r = view.spaces_before(q)
+        gap = text[r:q]
+        if r == 0 or _BLANK.search(gap) or ("\n" in gap and text[r - 1] in '.!?…。！？؟।:"”»'):
+            out |= K.LISTED
+    return int(out)
+
+
+def _word_before(view: View, p: int) -> tuple[str, bool]:
+    """The word or number before p, with at most one line break between, and whether it has a point; '' if there is none."""
+    text, q = view.text, view.spaces_before(p)
+    if text.count("\n", q, p) > 1:
+        return "", False
+    point = bool(q) and text[q - 1] == "."
+    end = q - point
+    r = end
+    while r and (text[r - 1].isdecimal() or _is_letter(text[r - 1])):
+        r -= 1
+    view.at_left(r)
+    return text[r:end], point
+
+
+def _before(view: View, i: int) -> int:
+    """The classes of what stands before a point at i."""
+    text = view.text
+    if not i or not (text[i - 1].isdecimal() or _is_letter(text[i - 1])):
+        view.at_left(i)
+        return int(K.NONE | K.BRIEF)
+    if text[i - 1].isdecimal():
+        return _number_before(view, i)
+    p, last = i, -1
+    while p:
+        c = text[p - 1]
+        if not _is_letter(c):
+            if c not in ".-" or p < 2 or p == i or not _is_letter(text[p - 2]) or not _is_letter(text[p]):
+                break
+            if c == "." and last < 0:
+                last = p
+            if last >= 0 and i - p > _LONGEST:  # no abbreviation is as long, and nothing else counts here
+                break
+        p -= 1
+    view.at_left(p - 1 if p < 2 else p)
+    token = text[p:i]
+    word = token.casefold()
+    tail = text[last:i] if last >= 0 else token
+    kinds = _kinds(word)
+    out = kinds
+    if last >= 0:
+        out |= K.DOTTED
+    out |= K.LONG_LAST if len(tail) > 1 else K.BRIEF
+    if tail.isupper():
+        out |= K.CAPS
+    lone = len(tail) == 1
+    before, point = _word_before(view, p) if lone or kinds & (K.SECOND | K.MONTH) else ("", False)
+    parts = f"{before.casefold()}.{word}" if point and len(before) == 1 and last < 0 else word  # parts set apart: "z. B."
+    held = _kinds(parts)
+    if lone or last >= 0 or (parts != word and held & (K.INNER | K.ENDABLE)):
+        out |= K.LETTERS
+        if lone and not _cased(tail) and _SCRIPT.match(tail):
+            out |= K.SCRIPT
+        out |= (K.PARTS_INNER if held & K.INNER else 0) | (K.PARTS_ENDABLE if held & K.ENDABLE else 0) | (K.PARTS_NUMBER if held & K.ENDABLE_NUMBER else 0) | (K.PARTS_DOTTED if "." in parts else 0)
+        if before and not point and before.casefold() in LABELS:
+            out |= K.LABELLED
+    if before.isdigit():
+        out |= K.DATED
+    if p and text[p - 1].isdecimal():
+        out |= K.STUCK
+    if len(word) <= 4 and _cased(word[0]) and not _VOWELS.search(word):
+        out |= K.VOWELLESS
+    return int(out)
+
+
+def ends(view: View, i: int, j: int) -> bool:
+    """Whether the symbol of the marks at i to j, outside of any bracket or quote, ends a sentence."""
+    text = view.text
+    marks = text[i:j]
+    if not HARD.isdisjoint(marks):
+        return True
+    if "…" in marks or len(marks) > 1:
+        return ends_after_dots(_follows(view, j))
+    if text[j : j + 1] == " " and text[j + 1 : j + 2].isupper() and i and text[i - 1].islower():  # the plain case, without classes: a word, a space, a capital
         p = i - 1
         while p and text[p - 1].islower():
             p -= 1
-        if i - p > 2 and (not p or text[p - 1].isspace()) and text[p:i].casefold() not in _ABBREVIATIONS:
+        if i - p > 2 and p and text[p - 1].isspace() and not _kinds(text[p:i].casefold()) & ~K.SECOND:
             return True
-    head = text[max(0, i - 80) : i]
-    token, at = _last_token(head)
-    word = token.casefold()
-    if k == j:  # no space after the point
-        if n.isdigit() or n in ",;:-–—/|_@)]%" or _is_lower(n):
-            return n in ")]"
-        if n.isalpha():
-            last = token.rpartition(".")[2]
-            if len(last) <= 1 and not last.isdigit() or word in TITLES or word in REFS or word in INNER:
-                return False
-            return not (n.isupper() and last.isupper() and text[k + 1 : k + 2].isupper())
-        return True
-    if not token:
-        return n not in ",;:"
-    if n in ",;:":
-        return False
-    follow = _WORD.match(text, k)
-    follow = follow[0] if follow else ""
-    # A lower-case name of its own may begin a sentence: an identifier, or an abbreviation.
-    starts = "_" in follow or follow.casefold() in ("approx.", "ca.")
-    if token[-1].isdigit():
-        if _LIST_NUMBER.search(head):
-            return False
-        return not (token.isdigit() and len(token) <= 2 and follow.rstrip(".").casefold() in MONTHS)
-    goes_on = _is_lower(n) and not starts
-    last = token.rpartition(".")[2]
-    before = _BEFORE.search(head[:at]) if len(last) == 1 or word in _SECOND or word in MONTHS else None
-    pair = f"{before[1].casefold()}.{word}" if before and before[2] and len(before[1]) == 1 and "." not in token else word  # parts set apart: "z. B."
-    if len(last) == 1 or "." in token or (pair != word and (pair in INNER or pair in ENDABLE)):
-        return _letter_ends(n, token, pair, before, goes_on)
-    if word in MONTHS and before and before[1].isdigit():
-        return not goes_on and not n.isdigit()
-    if head[:at][-1:].isdigit() and word not in ENDABLE:  # "1st.", "30px."
-        return True
-    if word in TITLES and not (word in REFS and not n.isalpha()):
-        return False
-    if word in ENDABLE:
-        return not goes_on and not (n.isdigit() and word in ENDABLE_NUMBER)
-    if word in INNER:
-        return False
-    if word in REFS:
-        return not (n.isdigit() or n in "(#§" or goes_on)
-    if goes_on or n.isdigit():
-        return not (len(word) <= 4 and _cased(word[0]) and not _VOWELS.search(word))
-    return True
-
-
-def _letter_ends(n: str, token: str, pair: str, before, goes_on: bool) -> bool:
-    """For a point after a single letter, or after letters with points between them; pair: these in lower case."""
-    last = token.rpartition(".")[2]
-    if not _cased(last[0]) and len(last) == 1 and regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", last):
-        return True
-    if pair in INNER:
-        return False
-    if pair in ENDABLE and "." in pair:
-        return not goes_on and not (n.isdigit() and pair in ENDABLE_NUMBER)
-    if "." in token:
-        return not goes_on and not n.isdigit() and len(last) > 1
-    if before and not before[2] and before[1].casefold() in LABELS:
-        return True
-    if pair in ENDABLE:
-        return not goes_on
-    return False
+    return ends_after_point(_before(view, i), _follows(view, j))
 
 
 def _apostrophe(text: str, i: int) -> bool:
@@ -220,30 +424,30 @@ class _Closers:
         return bool(ends) and (blank < 0 or min(ends) < blank)
 
 
-def _symbol(text: str, m: regex.Match, closers: _Closers) -> int:
+def _symbol(view: View, m: regex.Match) -> int:
     """The symbol of an event: -1 for marks that end nothing."""
+    text = view.text
     i, j = m.span()
     kind = m.lastgroup
+    view.at_right(j)
     if kind == "blank":
         return _index()["blank"]
     if kind == "thai":
         return _index()["end"]
     if kind == "term":
-        return _index()["end"] if ends_sentence(text, i, j) else -1
+        return _index()["end"] if ends(view, i, j) else -1
     mark = text[i]
     if _apostrophe(text, i):
         return -1
     opens = 0
     for o, c in KINDS.values():
         if mark in o:
-            opens |= closers.closed(j, c)
-    back = i - 1
-    while back >= 0 and text[back].isspace():
-        back -= 1
+            opens |= view.closers.closed(j, c)
+    back = view.spaces_before(i) - 1
     adjacent = back < 0 or text[back] in _CLOSERS or text[back] in HARD or text[back] in ".…" or "\n\n" in text[back:i] or (i - back > 1 and "ก" <= text[back] <= "๎")
     after = 0
     if back >= 0 and (text[back] in HARD or text[back] in ".…"):
-        k = _next(text, j)
+        k = view.next(j)
         if k < 0 or text[k] in _OPENERS and text[k] not in "(（[［":
             after = 1
         elif text[k].isupper() or text[k].istitle() or text[k].isdigit():
@@ -302,40 +506,36 @@ def _step(state, key):
     return (stack, led, False), False
 
 
-def lex(text: str, start: int = 0, end: int | None = None, closers: _Closers | None = None) -> Iterator[tuple[int, int, int]]:
+def lex(view: View, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int]]:
     """(start, end, symbol) of the events that start in text[start:end]."""
+    text = view.text
     end = len(text) if end is None else end
-    closers = closers or _Closers(text)
+    if view.open_right and len(text.rstrip()) < end:
+        view.beyond = True  # white space that may be an event goes on beyond
     for m in _EVENT.finditer(text):
         if m.start() >= end:
             return
         if m.start() >= start:
-            s = _symbol(text, m, closers)
+            s = _symbol(view, m)
             if s >= 0:
                 yield m.start(), m.end(), s
 
 
-def part_boundaries(text: str, state: int, start: int, end: int, ends_here: bool) -> tuple[list[int], bool]:
-    """Places after which a unit ends, for the events that start in text[start:end], begun in ``state``; and whether the states or, if the document goes on, the text don't suffice to tell."""
+def part_boundaries(view: View, state: int, start: int, end: int) -> tuple[list[int], bool]:
+    """Places after which a unit ends, for the events that start in text[start:end], begun in ``state``; and whether the states or the view don't suffice to tell."""
     _, _, nxt, out, deep = transducer()
     found, beyond = [], False
-    closers = _Closers(text)
-    for _, j, s in lex(text, start, end, closers):
+    for _, j, s in lex(view, start, end):
         if out[state][s]:
             found.append(j)
         beyond |= deep[state][s]
         state = nxt[state][s]
-    return found, beyond or (closers.undecided and not ends_here)
-
-
-def boundaries(text: str, state: int = 0, start: int = 0, end: int | None = None) -> list[int]:
-    """Places after which a unit ends, as far as two open levels tell."""
-    return part_boundaries(text, state, start, len(text) if end is None else end, True)[0]
+    return found, beyond or view.beyond or (view.closers.undecided and view.open_right)
 
 
 def whole_boundaries(text: str) -> list[int]:
     """Places of a whole text after which a unit ends, at any depth."""
-    found, beyond = part_boundaries(text, 0, 0, len(text), True)
+    found, beyond = part_boundaries(View(text), 0, 0, len(text))
     return nested_boundaries(text) if beyond else found
 
 
@@ -345,7 +545,7 @@ def nested_boundaries(text: str) -> list[int]:
     stack: list[str] = []
     depths: dict[str, list[int]] = {k: [] for k in KINDS}
     led, just, found = False, True, []
-    for _, j, s in lex(text):
+    for _, j, s in lex(View(text)):
         key = keys[s]
         if key == "blank" or (key == "end" and not stack):
             stack, depths, led, just = [], {k: [] for k in KINDS}, False, True
@@ -380,7 +580,7 @@ def chunk_function(text: str, start: int, end: int) -> list[int]:
     """The state after the chunk, for each state before it."""
     nxt = transducer()[0]
     at = np.arange(len(nxt), dtype=np.int32)
-    for _, _, s in lex(text, start, end):
+    for _, _, s in lex(View(text), start, end):
         at = nxt[at, s]
     return at.tolist()
 
@@ -413,8 +613,8 @@ def sentence_units(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no units. Documents of up to CHUNK characters are
     run through the transducer at once; longer ones chunk by chunk, see the module's text.
-    Rules look at 256 characters before and 2048 after an event. Texts with brackets or
-    quotes more than two deep, or not closed within what a chunk sees, are run as a whole.
+    A chunk is read with LEFT characters before and RIGHT after it; texts in which an event
+    cannot be told from that, or with brackets or quotes more than two deep, are run whole.
     """
     docs = pick(documents, "doc_id", "text").where("text is not null")
     kind = docs.schema["doc_id"].dataType
@@ -430,19 +630,26 @@ def sentence_units(documents: DataFrame) -> DataFrame:
 
 def _long_units(docs: DataFrame, schema: T.StructType) -> DataFrame:
     keyed = docs.withColumn("h", F.xxhash64("text"))
-    n = F.ceil(F.length("text") / CHUNK).cast("int")
-    chunks = keyed.select("doc_id", "h", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    first = F.greatest(F.col("k") * CHUNK - LEFT, F.lit(0))
-    chunks = chunks.select("doc_id", "h", "k", first.alias("first"), F.expr(f"substring(text, greatest(k * {CHUNK} - {LEFT}, 0) + 1, least(k * {CHUNK}, {LEFT}) + {CHUNK + RIGHT})").alias("piece")).distinct()
-    chunks = cut(chunks)
+    size, left, right = CHUNK, LEFT, RIGHT
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column(1)):
+                text = text.as_py()
+                ks = range(-(-len(text) // size))
+                firsts = [max(k * size - left, 0) for k in ks]
+                at = pa.array([i] * len(ks), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(ks, pa.int32()), pa.array(firsts, pa.int32()), pa.array([text[f : (k + 1) * size + right] for k, f in zip(ks, firsts)], pa.string())], names=["doc_id", "h", "k", "first", "piece"])
+
+    kind = schema["doc_id"].dataType
+    key = [T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("k", T.IntegerType())]
+    chunks = cut(keyed.dropDuplicates(["doc_id", "h"]).mapInArrow(pieces, T.StructType([*key, T.StructField("first", T.IntegerType()), T.StructField("piece", T.StringType())])))
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [chunk_function(p, k * CHUNK - f, (k + 1) * CHUNK - f) for k, f, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made, pa.list_(pa.int32()))], names=["doc_id", "h", "k", "f"])
 
-    kind = schema["doc_id"].dataType
-    key = [T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("k", T.IntegerType())]
     scanned = cut(chunks.mapInArrow(functions, T.StructType([*key, T.StructField("f", T.ArrayType(T.IntegerType()))])))
     # Prefix scan by doubling: after the step of distance d, f spans up to 2 d chunks.
     order = Window.partitionBy("doc_id", "h").orderBy("k")
@@ -457,7 +664,7 @@ def _long_units(docs: DataFrame, schema: T.StructType) -> DataFrame:
         for b in batches:
             made, beyond = [], []
             for k, f, p, s in zip(*(b.column(c).to_pylist() for c in range(2, 6))):
-                found, more = part_boundaries(p, s, k * CHUNK - f, (k + 1) * CHUNK - f, len(p) < (k + 1) * CHUNK - f + RIGHT)
+                found, more = part_boundaries(View(p, f > 0, len(p) == (k + 1) * CHUNK - f + RIGHT), s, k * CHUNK - f, (k + 1) * CHUNK - f)
                 made.append([f + e for e in found])
                 beyond.append(more)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64())), pa.array(beyond, pa.bool_())], names=["doc_id", "h", "ends", "beyond"])

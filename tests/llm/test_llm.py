@@ -391,7 +391,7 @@ def test_chunks_compose(spark, monkeypatch):
         for size in (97, 400):
             state, ends = 0, []
             for k in range(0, len(t), size):
-                ends += sentences.boundaries(t, state, k, k + size)
+                ends += sentences.part_boundaries(sentences.View(t), state, k, k + size)[0]
                 state = sentences.chunk_function(t, k, k + size)[state]
             assert sentences.units(t, ends) == sentences.split_text(t)
     docs = [(i, t) for i, t in enumerate(texts)] + [(7, None), (8, ""), (9, "  "), (1, texts[1]), (1, "another"), (None, texts[4])]
@@ -413,8 +413,9 @@ def test_far_closers_and_deep_nesting(spark, monkeypatch):
     rng = random.Random(16)
     for _ in range(200):
         t = random_text(rng, 15)
-        if not sentences.part_boundaries(t, 0, 0, len(t), True)[1]:
-            assert sentences.nested_boundaries(t) == sentences.boundaries(t)
+        found, beyond = sentences.part_boundaries(sentences.View(t), 0, 0, len(t))
+        if not beyond:
+            assert sentences.nested_boundaries(t) == found
     texts = [far * 3, far.replace("” Then", " Then") * 3, "x. " * 2000 + deep * 40, deep + "y. " * 3000, blank * 4]
     want = {(i, a, b) for i, t in enumerate(texts) for a, b in sentences.split_text(t)}
     monkeypatch.setattr(sentences, "CHUNK", 500)
@@ -422,6 +423,43 @@ def test_far_closers_and_deep_nesting(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_windows_lose_nothing(spark, monkeypatch):
+    """What lies beyond a chunk's surroundings is told from the whole text: long gaps, words, numbers and runs of marks at chunk edges."""
+    rng = random.Random(18)
+    odd = [" " * 30, "a.b." * 12, "9" * 30, "." * 25, "x" * 30 + ".", "\n" + " " * 20 + "\n", "z." + " " * 20 + "B.", "12." + " " * 25 + "Mai", "ไทย" + " " * 20 + "ไทย", "”" + " " * 30, "Dr." + "\n" * 25, "१" * 20 + "."]
+    texts = ["".join(rng.choice([random_text(rng, 2), rng.choice(odd)]) for _ in range(n)) for n in (10, 30, 60, 60, 60, 60)]
+    monkeypatch.setattr(sentences, "CHUNK", 90)
+    monkeypatch.setattr(sentences, "LEFT", 8)
+    monkeypatch.setattr(sentences, "RIGHT", 12)
+    for t in texts:  # a chunk that is not sure says so
+        n = len(sentences.transducer()[2])
+        whole = sentences.part_boundaries(sentences.View(t), 0, 0, len(t))[0]
+        state = 0
+        for k in range(0, len(t), 90):
+            f = max(k - 8, 0)
+            piece = t[f : k + 102]
+            found, beyond = sentences.part_boundaries(sentences.View(piece, f > 0, len(piece) == k + 102 - f), state, k - f, k + 90 - f)
+            if beyond:
+                break
+            assert [f + e for e in found] == sentences.part_boundaries(sentences.View(t), state, k, k + 90)[0]
+            state = sentences.chunk_function(t, k, k + 90)[state]
+        assert n > 100 and whole
+    want = {(i, a, b) for i, t in enumerate(texts) for a, b in sentences.split_text(t)}
+    got = [(r.doc_id, r.start_char, r.end_char) for r in sentences.sentence_units(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rules_are_compiled():
+    split = lambda t: [t[a:b] for a, b in sentences.split_text(t)]
+    assert split("ดร. สมชาย มา พ.ศ. 2568 แล้ว") and "พ.ศ. 2568" in " ".join(split("เริ่มใน พ.ศ. 2568 ที่นี่"))
+    assert split("सं. 12 देखें। फिर।") == ["सं. 12 देखें।", "फिर।"]
+    assert split("Jan.\n\nb") == ["Jan.", "b"]
+    # The trie holds each abbreviation, backwards, with its classes.
+    assert sentences._kinds("z.b") == sentences.Kind.INNER and sentences._kinds("b") == sentences.Kind.SECOND and sentences._kinds("zz") == 0
+    long = "a.b." * 100_000  # no rule looks back over all of it
+    assert len(sentences.split_text(long)) == 1
+
+
 # Further columns, whatever their names
 
 
