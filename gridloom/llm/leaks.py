@@ -1,10 +1,11 @@
 """Evaluation texts leaking into training text.
 
 The n-grams of the evaluation items - 12 words, or 24 letters and digits for items in
-languages without spaces - are broadcast as a hash set, in batches of bounded size; each
-document is scanned once per batch. The scan looks up blocks of half the length, at
-strides of that length: a whole n-gram always covers one such block. A hit is verified by
-looking up the whole n-grams around it.
+languages without spaces - are broadcast as a hash set, a sorted array of 64-bit hashes, in
+batches of bounded size; each document is scanned once per batch. The scan looks up blocks
+of half the length, at strides of that length, all blocks of a text at once: a whole
+n-gram always covers one such block. A hit is verified by looking up the whole n-grams
+around it and comparing their words, so equal hashes of different n-grams find nothing.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,7 @@ from gridloom.session import cut
 WORDS, CHARS = 12, 24
 #: Languages whose items are compared by letters and digits.
 UNSPACED = ("zh", "ja")
-#: Characters of the items of one broadcast; there are as many n-grams at most.
+#: Characters of the items of one broadcast. There are about as many n-grams at most, of some 30 bytes each.
 BATCH_CHARS = 4_000_000
 
 #: Markup of any length, and tags only if short: what lies between two signs far apart may be text.
@@ -94,57 +97,135 @@ def words_of(folded: str) -> list[str]:
     return _WORD.findall(folded)
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _hashes(texts: Iterable[str]) -> np.ndarray:
+    return np.fromiter(map(_hash, texts), dtype=np.uint64)
+
+
+def _mixed_readings(folded: str) -> Iterator[list[str]]:
+    """Runs of WORDS words of a text that touch a MARK, with every mix of closing up and parting at the MARKs in them."""
+    at = [m.span() for m in _WORD.finditer(folded)]
+    words = [folded[a:b] for a, b in at]
+    joins = [not folded[b:c].strip(MARK) for (_, b), (c, _) in zip(at, at[1:])] + [False]
+    near = [i for i, j in enumerate(joins) if j]
+    for first in sorted({i for j in near for i in range(max(0, j - WORDS), j + 2) if i < len(words)}):
+        todo = [(first, [])]
+        while todo:
+            i, grown = todo.pop()
+            if len(grown) == WORDS:
+                yield grown
+            elif i < len(words):
+                word = words[i]
+                todo.append((i + 1, [*grown, word]))
+                while joins[i]:
+                    i += 1
+                    word += words[i]
+                    todo.append((i + 1, [*grown, word]))
+
+
+class HashSet:
+    """Hashes of texts in a sorted array; each with where it stands, a sequence and a place in it."""
+
+    def __init__(self, hashes: list[np.ndarray], sequence: list[int], place: list[np.ndarray]):
+        every = np.concatenate(hashes) if hashes else np.array([], dtype=np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.sequence = np.repeat(np.array(sequence, dtype=np.int32), [len(h) for h in hashes])[order] if hashes else np.array([], dtype=np.int32)
+        self.place = np.concatenate(place)[order].astype(np.int32) if place else np.array([], dtype=np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def holds(self, asked: np.ndarray) -> np.ndarray:
+        """Which of the hashes asked are there."""
+        at = np.searchsorted(self.hashes, asked)
+        at[at == len(self.hashes)] = 0
+        return self.hashes[at] == asked if len(self.hashes) else np.zeros(len(asked), dtype=bool)
+
+    def find(self, asked: int) -> Iterator[tuple[int, int]]:
+        lo, hi = (np.searchsorted(self.hashes, np.uint64(asked), side=s) for s in ("left", "right"))
+        return zip(self.sequence[lo:hi].tolist(), self.place[lo:hi].tolist())
+
+
 class Grams:
-    """The n-grams of a batch of items, and the scan for them."""
+    """The n-grams of a batch of items, and the scan for them.
+
+    ``sequences`` are the items' words, or their letters and digits as one text. An item is
+    read with each hyphen at a line break closed and as a separator, in any mix.
+    """
 
     def __init__(self, items: Iterable[tuple[int, str, str]]):
-        self.by_words: dict[str, set] = {}
-        self.by_chars: dict[str, set] = {}
+        self.items: list = []
+        self.sequences: list = []
+        seen: set = set()
+        grams: dict[bool, tuple[list, list, list]] = {True: ([], [], []), False: ([], [], [])}
+        blocks: dict[bool, list[np.ndarray]] = {True: [], False: []}
+
+        def add(item, held, by_chars: bool) -> None:
+            size = CHARS if by_chars else WORDS
+            if len(held) < size or (item, by_chars, key := held if by_chars else " ".join(held)) in seen:
+                return
+            seen.add((item, by_chars, key))
+            join = (lambda x: x) if by_chars else " ".join
+            n = len(held) - size + 1
+            hashes, sequence, place = grams[by_chars]
+            hashes.append(_hashes(join(held[i : i + size]) for i in range(n)))
+            sequence.append(len(self.sequences))
+            place.append(np.arange(n))
+            blocks[by_chars].append(_hashes(join(held[i : i + size // 2]) for i in range(len(held) - size // 2 + 1)))
+            self.items.append(item)
+            self.sequences.append(held)
+
         for item, text, lang in items:
-            folded = variants(text)[0]
-            if (lang or "").strip().lower()[:2] in UNSPACED:
-                chars = "".join(words_of(folded))
-                for i in range(len(chars) - CHARS + 1):
-                    self.by_chars.setdefault(chars[i : i + CHARS], set()).add(item)
-            else:
+            by_chars = (lang or "").strip().lower()[:2] in UNSPACED
+            for folded in variants(text)[:2]:
                 words = words_of(folded)
-                for i in range(len(words) - WORDS + 1):
-                    self.by_words.setdefault(" ".join(words[i : i + WORDS]), set()).add(item)
-        half = WORDS // 2
-        self.word_blocks = {" ".join(p) for g in self.by_words for w in [g.split(" ")] for p in (w[:half], w[half:])}
-        self.word_blocks |= {" ".join(w[k : k + half]) for g in self.by_words for w in [g.split(" ")] for k in range(1, half)}
-        self.char_blocks = {g[k : k + CHARS // 2] for g in self.by_chars for k in range(CHARS // 2 + 1)}
-        self.vocabulary = {w for g in self.by_words for w in g.split(" ")}
+                add(item, "".join(words) if by_chars else words, by_chars)
+                if folded.count(MARK) > 1 and not by_chars:
+                    for mixed in _mixed_readings(folded):
+                        add(item, mixed, False)
+        self.by_words, self.by_chars = HashSet(*grams[False]), HashSet(*grams[True])
+        self.word_blocks, self.char_blocks = (HashSet(blocks[k], [0] * len(blocks[k]), [np.zeros(len(h)) for h in blocks[k]]) for k in (False, True))
+        self.vocabulary = {w for held in self.sequences if isinstance(held, list) for w in held}
         self.longest = max(map(len, self.vocabulary), default=0)
-        self.only_cjk = all(_CJK.search(b) for b in self.char_blocks)
+        self.only_cjk = all(_CJK.search(held[i : i + CHARS // 2]) for held in self.sequences if isinstance(held, str) for i in range(len(held) - CHARS // 2 + 1))
+
+    def _of(self, found: HashSet, gram) -> set:
+        """The items that hold the n-gram, words or characters."""
+        asked = _hash(gram if isinstance(gram, str) else " ".join(gram))
+        return {self.items[k] for k, i in found.find(asked) if self.sequences[k][i : i + len(gram)] == gram}
+
+    def _search(self, held, size: int, blocks: HashSet, grams: HashSet) -> Iterator[tuple[object, int]]:
+        """(item, place) of the n-grams of ``held``, words or characters."""
+        half, n = size // 2, len(held)
+        if n < size or not len(grams):
+            return
+        join = (lambda x: x) if isinstance(held, str) else " ".join
+        at = range(0, n - half + 1, half)
+        done = 0
+        for b in np.flatnonzero(blocks.holds(_hashes(join(held[i : i + half]) for i in at))).tolist():
+            i = at[b]
+            for j in range(max(done, i - half), min(i, n - size) + 1):
+                for item in self._of(grams, held[j : j + size]):
+                    yield item, j
+            done = max(done, i + 1)
 
     def scan(self, text: str) -> dict[object, list[tuple[int, int, int, bool]]]:
         """item -> hits (variant, first, last, by characters), positions of words or of letters and digits."""
         found: dict[object, list] = {}
         for v, folded in enumerate(variants(text)):
             words = words_of(folded)
-            half, n = WORDS // 2, len(words)
-            done = 0
-            if n >= WORDS and self.by_words:
-                for i in range(0, n - half + 1, half):
-                    if " ".join(words[i : i + half]) in self.word_blocks:
-                        for j in range(max(done, i - half), min(i, n - WORDS) + 1):
-                            for item in self.by_words.get(" ".join(words[j : j + WORDS]), ()):
-                                found.setdefault(item, []).append((v, j, j + WORDS, False))
-                        done = max(done, i + 1)
-            if folded.count(MARK) > 1 and self.by_words:
+            for item, j in self._search(words, WORDS, self.word_blocks, self.by_words):
+                found.setdefault(item, []).append((v, j, j + WORDS, False))
+            if folded.count(MARK) > 1 and len(self.by_words):
                 for item, first, last in self._mixed(folded):
                     found.setdefault(item, []).append((v, first, last, False))
-            if self.by_chars and (not self.only_cjk or _CJK.search(folded)):
-                chars = "".join(words)
-                half, n = CHARS // 2, len(chars)
-                done = 0
-                for i in range(0, n - half + 1, half):
-                    if chars[i : i + half] in self.char_blocks:
-                        for j in range(max(done, i - half), min(i, n - CHARS) + 1):
-                            for item in self.by_chars.get(chars[j : j + CHARS], ()):
-                                found.setdefault(item, []).append((v, j, j + CHARS, True))
-                        done = max(done, i + 1)
+            if len(self.by_chars) and (not self.only_cjk or _CJK.search(folded)):
+                for item, j in self._search("".join(words), CHARS, self.char_blocks, self.by_chars):
+                    found.setdefault(item, []).append((v, j, j + CHARS, True))
         return found
 
     def _mixed(self, folded: str) -> Iterator[tuple[object, int, int]]:
@@ -158,10 +239,10 @@ class Grams:
         joins = [not folded[b:c].strip(MARK) for (_, b), (c, _) in zip(at, at[1:])] + [False]
 
         def follow(i: int, grown: list[str]) -> Iterator[tuple[object, int]]:
-            if len(grown) == WORDS // 2 and " ".join(grown) not in self.word_blocks:
+            if len(grown) == WORDS // 2 and not self.word_blocks.holds(_hashes([" ".join(grown)]))[0]:
                 return
             if len(grown) == WORDS:
-                for item in self.by_words.get(" ".join(grown), ()):
+                for item in self._of(self.by_words, grown):
                     yield item, i
                 return
             word = ""
