@@ -310,10 +310,10 @@ def test_hyphens_of_items_are_read_both_ways():
     words = "the well known head rows of a wide table stand above all other rows here".split()
     plain = " ".join(words)
     closed = plain.replace("well known", "wellknown")
-    grams = leaks.Grams([(1, plain.replace("well known", "well-\nknown"), "en"), (2, plain.replace("well known", "well-\nknown").replace("other rows", "oth-\ner rows"), "en")])
+    grams = leaks.Grams([(1, plain.replace("well known", "well-\nknown"), "en"), (2, plain.replace("well known", "well-\nknown").replace("table", "ta-\nble"), "en")])
     assert set(grams.scan(plain)) == {1, 2} and set(grams.scan(closed)) == {1, 2}
-    assert set(grams.scan(plain.replace("other", "oth er"))) == {2}
-    assert set(leaks.Grams([(1, plain, "en")]).scan(plain.replace("other", "oth er"))) == set()
+    assert set(grams.scan(plain.replace("table", "ta ble"))) == {2}
+    assert set(leaks.Grams([(1, plain, "en")]).scan(plain.replace("table", "ta ble"))) == set()
 
 
 def test_equal_hashes_find_nothing(monkeypatch):
