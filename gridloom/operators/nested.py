@@ -24,8 +24,11 @@ KEYED = ("tokens", "cells")
 KEY = "@key"
 
 
+_encode = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def _text(v) -> str:
-    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return v if isinstance(v, str) else _encode(v)
 
 
 def label_nodes(doc, keyed: tuple[str, ...] = KEYED, keep: frozenset[str] | None = None) -> list[tuple]:
@@ -177,25 +180,77 @@ def token_links(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
     A cell lists a token (an item below its ``token_ids``), holds it (a token whose parent
     label is the cell's), or the token names the cell. Both ends must be described in the
-    same document; links to nothing are dropped. All links of a document meet in one
-    group no larger than the document, which was one row of the input.
+    same document; links to nothing are dropped. Joins on document and label, or document
+    and id, so neither long documents nor many links of one are held together.
     """
-    node = F.struct(
-        F.col("dewey"),
-        F.col("parent"),
-        F.when(is_cell(), cell_name()).alias("cell"),
-        F.when(is_token(), token_name()).alias("token"),
-        F.when(is_token(), F.col("attrs")["owner_cell_id"]).alias("owner"),
-        F.when((F.col("kind") == "item") & (F.col("name") == "token_ids"), F.col("value")).alias("listed"),
-    )
-    ends = nodes.select(*keys, node.alias("n")).where("n.cell is not null or n.token is not null or n.listed is not null")
-    docs = ends.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("n.cell").isNotNull(), F.struct("n.dewey", "n.cell"))).alias("cells"),
-        F.collect_set("n.token").alias("tokens"),
-        F.collect_list(F.when(F.col("n.cell").isNull(), F.struct("n.parent", F.coalesce("n.token", "n.listed").alias("token"), "n.owner"))).alias("ends"),
-    )
-    at = F.map_from_entries(F.col("cells"))
-    named = F.array_distinct(F.transform("cells", lambda c: c["cell"]))
-    docs = docs.select(*keys, at.alias("at"), named.alias("named"), "tokens", F.explode("ends").alias("e"))
-    linked = docs.where(F.array_contains("tokens", F.col("e.token"))).select(*keys, F.col("e.token").alias("token_id"), F.explode(F.array(F.try_element_at("at", F.col("e.parent")), F.when(F.array_contains("named", F.col("e.owner")), F.col("e.owner")))).alias("cell_id"))
-    return linked.where("cell_id is not null").distinct()
+    doc = F.struct(*keys).alias("doc")
+    listed = F.when((F.col("kind") == "item") & (F.col("name") == "token_ids"), F.col("value"))
+    rows = nodes.select(doc, "dewey", "parent", F.when(is_cell(), cell_name()).alias("cell"), F.when(is_token(), token_name()).alias("token"), F.when(is_token(), F.col("attrs")["owner_cell_id"]).alias("owner"), listed.alias("listed"))
+    cells_at = rows.where("cell is not null").select("doc", F.col("dewey").alias("parent"), "cell")
+    described = rows.where("token is not null").select("doc", "token").distinct()
+    ends = rows.where("cell is null").select("doc", "parent", F.coalesce("token", "listed").alias("token"), "owner").where("token is not null")
+    placed = ends.join(cells_at, ["doc", "parent"]).select("doc", "cell", "token")
+    named = ends.select("doc", F.col("owner").alias("cell"), "token").where("cell is not null").join(cells_at.select("doc", "cell").distinct(), ["doc", "cell"], "left_semi")
+    links = placed.unionByName(named).distinct().join(described, ["doc", "token"], "left_semi")
+    return links.select(*[F.col(f"doc.`{k}`").alias(k) for k in keys], F.col("cell").alias("cell_id"), F.col("token").alias("token_id"))
+
+
+def _parent(dewey: str, path: str) -> str:
+    """As ``parent_label``."""
+    at = len(path)
+    drop = 1
+    while path[at - 2 : at] in ("[]", "{}"):
+        drop += 1
+        at -= 2
+    return dewey.rsplit(".", drop)[0]
+
+
+def link_nodes(nodes: list[tuple]) -> set[tuple[str, str]]:
+    """(cell_id, token_id) of the nodes of one document, by the rules of ``token_links``, in one pass over their labels."""
+    at: dict[str, str] = {}
+    described, ends = set(), []
+    for dewey, path, kind, name, value, attrs in nodes:
+        if kind == "item":
+            if name == "token_ids":
+                ends.append((dewey, path, value, None))
+            continue
+        own = dict(attrs)
+        token = own.get("token_id", own.get(KEY) if path.endswith(".tokens{}") else None)
+        if token is not None:
+            described.add(token)
+            ends.append((dewey, path, token, own.get("owner_cell_id")))
+        elif (cell := own.get("cell_id", own.get(KEY) if path.endswith(".cells{}") else None)) is not None:
+            at[dewey] = cell
+    named = set(at.values())
+    found = set()
+    for dewey, path, token, owner in ends:
+        if token in described:
+            if (cell := at.get(_parent(dewey, path))) is not None:
+                found.add((cell, token))
+            if owner in named:
+                found.add((owner, token))
+    return found
+
+
+def document_links(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...] = KEYED) -> DataFrame:
+    """``token_links`` straight from documents: a document's nodes are labelled and linked where it is read, so nothing is shuffled. Each row is a document of its own."""
+    slim = pick(df, *keys, json_col).withColumnRenamed(json_col, "__json")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", cell_id string, token_id string"
+    keep = frozenset(LINKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                of, links = [], []
+                for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    doc = parse_json(text)
+                    if isinstance(doc, (dict, list)):
+                        found = link_nodes(label_nodes(doc, keyed, keep))
+                        links += found
+                        of += [i] * len(found)
+                take = pa.array(of, pa.int32())
+                cells_, tokens_ = zip(*links) if links else ((), ())
+                yield pa.RecordBatch.from_arrays([part.column(k).take(take) for k in range(part.num_columns - 1)] + [pa.array(cells_, pa.string()), pa.array(tokens_, pa.string())], names=[*part.schema.names[:-1], "cell_id", "token_id"])
+
+    return slim.mapInArrow(run, schema)

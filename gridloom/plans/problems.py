@@ -49,7 +49,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = nested.states(table(spark, sf_dir, "table_records"), links_only=True)
-    return nested.token_links(nested.shred(docs, DOC, "doc", keep=nested.LINKS), DOC).select(*DOC, "cell_id", "token_id")
+    return nested.document_links(docs, DOC, "doc")
 
 
 def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,12 @@ def p2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.tokens(_nodes(spark, sf_dir), DOC).withColumn("attrs", F.to_json("attrs"))
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of ``p2_found``, from the flat tables by joins on their labels and ids."""
+    nodes = cut(_nodes(spark, sf_dir).select(*DOC, "dewey", "parent", "schema_path", "kind", "name", "value", F.map_filter("attrs", lambda k, v: k.isin(nested.KEY, *nested.LINKS)).alias("attrs")))
+    return nested.token_links(nodes, DOC)
+
+
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat records: the scalar members of each sample's latest revision."""
     cols = ["schema_release", "dataset_release", "role", "gate_label", "category", "phenomenon", "revised_at"]
@@ -250,6 +256,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_cells": p2_cells,
     "p2_tokens": p2_tokens,
+    "p2_links": p2_links,
     "p2_records": p2_records,
     "p2_identities": p2_identities,
     "p2_node_tables": p2_node_tables,
@@ -263,6 +270,7 @@ SQL = {
     "p1_lineages": _P1_CTE + _P1_COLUMNS + 'select file_id, path, "column" from schema join names using (path)',
     "p1_unified_cells": _P1_CTE + _P1_COLUMNS + """select file_id, line_id, "column", json_extract_string(value::json, '$') as value from kept join names using (path)""",
     "p2_found": _P2_SQL,
+    "p2_links": _P2_SQL,
     "p2_identities": "with " + _LATEST_SQL + """select sample_id, i.generation_seed, i.document_cluster_id, i.source_family_id, i.template_family_id, i.content_family_id, i.renderer_family_id, i.font_family_id,
   i.counterfactual_pair_id, i.counterfactual_group_id, i.generative_family_key, i.family_nonce::varchar as family_nonce, i.base_seed::varchar as base_seed, i.generative_components.structure."rows" as "rows", i.generative_components.structure."columns" as "columns",
   i.generative_components.structure.header_depth as header_depth, i.generative_components.structure.span_profile.horizontal as horizontal, i.generative_components.structure.span_profile.vertical as vertical,

@@ -63,6 +63,8 @@ def test_links_against_walk(spark):
     df = spark.createDataFrame([(str(i), json.dumps(d)) for i, d in enumerate(docs)], "id string, doc string")
     got = {(r.id, r.cell_id, r.token_id) for r in nested.token_links(nested.shred(df, ["id"], "doc"), ["id"]).collect()}
     assert got == {(str(i), c, t) for i, d in enumerate(docs) for c, t in links(d)}
+    rows = nested.document_links(df, ["id"], "doc").collect()
+    assert len(rows) == len(got) and {(r.id, r.cell_id, r.token_id) for r in rows} == got
 
 
 def test_labels_and_parents(spark):
@@ -85,6 +87,16 @@ def test_broken_empty_and_deep(spark):
     assert {r.id for r in nodes.where("kind = 'object'").collect()} == {None}
     assert [(r.cell_id, r.token_id) for r in nested.token_links(nodes, ["id"]).collect()] == [("c", "t")]
     assert nested.token_links(nested.shred(df.limit(0), ["id"], "doc"), ["id"]).count() == 0
+    assert [tuple(r) for r in nested.document_links(df.withColumn("ID2", F.lit(1)), ["id"], "doc").collect()] == [(None, "c", "t")]
+    assert nested.document_links(df.limit(0), ["id"], "doc").count() == 0
+
+
+def test_long_documents_link_in_one_pass(spark):
+    n = 40_000  # every link would once look through all cells
+    doc = {"cells": [{"cell_id": f"c{i}", "token_ids": [f"t{i}"]} for i in range(n)], "tokens": [{"token_id": f"t{i}", "owner_cell_id": f"c{i + 1}"} for i in range(n)]}
+    df = spark.createDataFrame([("a", json.dumps(doc))], "id string, doc string")
+    assert nested.document_links(df, ["id"], "doc").count() == 2 * n - 1
+    assert nested.token_links(nested.shred(df, ["id"], "doc"), ["id"]).count() == 2 * n - 1
 
 
 def test_latest(spark):
