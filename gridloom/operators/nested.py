@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +83,6 @@ def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...]
     columns = ["dewey", "schema_path", "kind", "name", "value", "attrs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string()] * 5 + [pa.map_(pa.string(), pa.string())]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -96,7 +96,11 @@ def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...]
                         of += [i] * len(nodes)
                 take = pa.array(of, pa.int32())
                 kept = [part.column(k).take(take) for k in range(part.num_columns - 1)]
-                made = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+                *flat, attrs = zip(*rows) if rows else ((),) * 6
+                offsets = np.cumsum([0, *map(len, attrs)], dtype=np.int32)
+                pairs = [a for held in attrs for a in held]
+                made = [pa.array(c, pa.string()) for c in flat]
+                made.append(pa.MapArray.from_arrays(pa.array(offsets), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())))
                 yield pa.RecordBatch.from_arrays(kept + made, names=[*part.schema.names[:-1], *columns])
 
     return slim.mapInArrow(run, schema).withColumn("parent", parent_label(F.col("dewey"), F.col("schema_path")))

@@ -64,7 +64,8 @@ def p2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of ``p2_found``, from the flat tables by joins on their labels and ids."""
-    nodes = cut(_nodes(spark, sf_dir).select(*DOC, "dewey", "parent", "schema_path", "kind", "name", "value", F.map_filter("attrs", lambda k, v: k.isin(nested.KEY, *nested.LINKS)).alias("attrs")))
+    docs = nested.states(table(spark, sf_dir, "table_records"), links_only=True)
+    nodes = cut(nested.shred(docs, DOC, "doc", keep=nested.LINKS))
     return nested.token_links(nodes, DOC)
 
 
