@@ -32,11 +32,11 @@ def _text(v) -> str:
     return v if isinstance(v, str) else _encode(v)
 
 
-def label_nodes(doc, keyed: tuple[str, ...] = KEYED, keep: frozenset[str] | None = None) -> list[tuple]:
+def label_nodes(doc, keyed: tuple[str, ...] = KEYED, keep: frozenset[str] | None = None, items: frozenset[str] | None = None) -> list[tuple]:
     """(dewey, schema_path, kind, name, value, attrs) of each object and of each scalar that is an array element.
 
     An object's scalar members are its attrs, all or those to ``keep``; null members are
-    left out. The walk keeps its own stack, so depth is bounded by memory only.
+    left out. items: the names of arrays whose scalars are wanted as nodes, by default all. The walk keeps its own stack, so depth is bounded by memory only.
     """
     out: list[tuple] = []
     stack = [("0", "$", "", doc, None)]
@@ -54,7 +54,8 @@ def label_nodes(doc, keyed: tuple[str, ...] = KEYED, keep: frozenset[str] | None
                     attrs.append((k, _text(v)))
             out.append((dewey, path, "object", name, None, attrs))
         elif isinstance(node, list):
-            stack.extend((f"{dewey}.{i}", path + "[]", name, v, None) for i, v in enumerate(node))
+            wanted = items is None or name in items
+            stack.extend((f"{dewey}.{i}", path + "[]", name, v, None) for i, v in enumerate(node) if wanted or isinstance(v, (dict, list)))
         elif node is not None:
             out.append((dewey, path, "item", name, _text(node), []))
     return out
@@ -70,16 +71,16 @@ def parse_json(text: str | None):
         return None
 
 
-def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...] = KEYED, keep: tuple[str, ...] | None = None) -> DataFrame:
+def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...] = KEYED, keep: tuple[str, ...] | None = None, items: tuple[str, ...] | None = None) -> DataFrame:
     """One row per node of ``json_col``: ``keys`` and the columns of NODE_SCHEMA, with ``parent``.
 
     Null, empty and broken texts give no rows; a scalar document gives one item. Equal
     members of an object count as in JSON text, the last wins. Key columns may hold nulls.
-    keep: the scalar members wanted, by default all.
+    keep: the scalar members wanted, items: the arrays whose scalars are, by default all.
     """
     slim = pick(df, *keys, json_col).withColumnRenamed(json_col, "__json")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", " + NODE_SCHEMA
-    kept_members = None if keep is None else frozenset(keep)
+    kept_members, kept_items = (None if x is None else frozenset(x) for x in (keep, items))
     columns = ["dewey", "schema_path", "kind", "name", "value", "attrs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +92,7 @@ def shred(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[str, ...]
                 for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
                     doc = parse_json(text)
                     if doc is not None:
-                        nodes = label_nodes(doc, keyed, kept_members)
+                        nodes = label_nodes(doc, keyed, kept_members, kept_items)
                         rows += nodes
                         of += [i] * len(nodes)
                 take = pa.array(of, pa.int32())
@@ -250,7 +251,7 @@ def document_links(df: DataFrame, keys: list[str], json_col: str, keyed: tuple[s
                 for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
                     doc = parse_json(text)
                     if isinstance(doc, (dict, list)):
-                        found = link_nodes(label_nodes(doc, keyed, keep))
+                        found = link_nodes(label_nodes(doc, keyed, keep, frozenset(["token_ids"])))
                         links += found
                         of += [i] * len(found)
                 take = pa.array(of, pa.int32())

@@ -43,8 +43,8 @@ def p1_unified_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOC = ["sample_id", "table_state"]
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.shred(nested.states(table(spark, sf_dir, "table_records")), DOC, "doc")
+def _nodes(spark: SparkSession, sf_dir: str, items: tuple[str, ...] | None = None) -> DataFrame:
+    return nested.shred(nested.states(table(spark, sf_dir, "table_records")), DOC, "doc", items=items)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,18 +54,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat cells of both states; ``parent`` is the label of the object around the cell, ``attrs`` its scalar members as JSON."""
-    return nested.cells(_nodes(spark, sf_dir), DOC).withColumn("attrs", F.to_json("attrs"))
+    return nested.cells(_nodes(spark, sf_dir, items=()), DOC).withColumn("attrs", F.to_json("attrs"))
 
 
 def p2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat tokens of both states."""
-    return nested.tokens(_nodes(spark, sf_dir), DOC).withColumn("attrs", F.to_json("attrs"))
+    return nested.tokens(_nodes(spark, sf_dir, items=()), DOC).withColumn("attrs", F.to_json("attrs"))
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of ``p2_found``, from the flat tables by joins on their labels and ids."""
     docs = nested.states(table(spark, sf_dir, "table_records"), links_only=True)
-    nodes = cut(nested.shred(docs, DOC, "doc", keep=nested.LINKS))
+    nodes = cut(nested.shred(docs, DOC, "doc", keep=nested.LINKS, items=("token_ids",)))
     return nested.token_links(nodes, DOC)
 
 

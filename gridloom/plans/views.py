@@ -25,7 +25,7 @@ def gold_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prior_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_id, raw): the canonical cells of the prior state, whatever its shape."""
     last = nested.latest(table(spark, sf_dir, "table_records"), "sample_id", "revised_at", ["prior_json"])
-    cells = nested.cells(nested.shred(last, ["sample_id"], "prior_json"), ["sample_id"])
+    cells = nested.cells(nested.shred(last, ["sample_id"], "prior_json", items=()), ["sample_id"])
     a = lambda k: F.col("attrs")[k]
     n = lambda k: a(k).try_cast("int")
     cell = F.struct(
