@@ -15,7 +15,6 @@ SIGNALS = ("image_sha256", "pixel_sha256", "table_sha256", "structure_sha256", "
 HARD_SIGNALS = ("image_sha256", "pixel_sha256", "table_sha256")
 SAMPLES_SHOWN = 8
 NEAR_BITS = 2
-MOST_ROUNDS = 60
 
 
 def digest(c: Column) -> Column:
@@ -72,37 +71,63 @@ def duplicate_members(sigs: DataFrame) -> DataFrame:
     return sizes.groupBy("signal").agg(F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("n_members"))
 
 
-def near_overlaps(sigs: DataFrame, near_bits: int = NEAR_BITS) -> DataFrame:
-    """(first, second, distance, text_same, grid_same): pairs across roles with hashes at most ``near_bits`` apart and equal text, or equal structure and geometry.
+_CLASS = ("role", "bits", "text_sha256", "structure_sha256", "geometry_sha256")
+
+
+def near_classes(sigs: DataFrame, near_bits: int = NEAR_BITS) -> DataFrame:
+    """(a, b, distance, text_same, grid_same): pairs of classes, a's role before b's, with hashes at most ``near_bits`` apart and equal text, or equal structure and geometry.
 
-    Only equal texts, or equal structures with equal geometry, are ever compared: two
-    joins on those blocks, cut further by a term of the hash - of near_bits + 1 blocks of
-    bits two near hashes have one in common. Each pair once, the lesser sample first.
+    A class, the struct of _CLASS, is all samples of a role that agree in these. Only equal
+    texts, or equal structures with equal geometry, are ever compared: two joins on those
+    blocks, cut further by a term of the hash - of near_bits + 1 blocks of bits two near
+    hashes have one in common. Each pair once.
     """
-    rows = sigs.where("perceptual_hash is not null and role is not null").withColumn("bits", hex_to_long(F.col("perceptual_hash")))
+    rows = sigs.where("perceptual_hash is not null and role is not null").withColumn("bits", hex_to_long(F.col("perceptual_hash"))).select(F.struct(*_CLASS).alias("c")).distinct()
     edges = [round(64 * i / (near_bits + 1)) for i in range(near_bits + 2)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    terms = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("bits").bitwiseAND(F.lit(m)).alias("b")) for i, m in enumerate(signed)]))
+    terms = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("c.bits").bitwiseAND(F.lit(m)).alias("b")) for i, m in enumerate(signed)]))
     found = None
     for block in (["text_sha256"], ["structure_sha256", "geometry_sha256"]):
-        keyed = rows.where(" and ".join(f"{c} is not null" for c in block)).withColumn("term", terms)
-        cols = ["sample_id", "role", "bits", *("text_sha256", "structure_sha256", "geometry_sha256")]
-        a = keyed.select(*block, "term", F.struct(*cols).alias("a"))
-        b = keyed.select(*block, "term", F.struct(*cols).alias("b"))
-        met = a.join(b, [*block, "term"]).where("a.sample_id < b.sample_id and a.role != b.role")
-        near = met.withColumn("distance", F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))).where(F.col("distance") <= near_bits)
-        part = near.select(F.col("a.sample_id").alias("first"), F.col("b.sample_id").alias("second"), "distance", F.coalesce(F.col("a.text_sha256") == F.col("b.text_sha256"), F.lit(False)).alias("text_same"), F.coalesce((F.col("a.structure_sha256") == F.col("b.structure_sha256")) & (F.col("a.geometry_sha256") == F.col("b.geometry_sha256")), F.lit(False)).alias("grid_same"))
-        found = part if found is None else found.unionByName(part)
-    return found.dropDuplicates(["first", "second"])
+        keyed = rows.where(" and ".join(f"c.{c} is not null" for c in block)).withColumn("term", terms)
+        keys = [F.col(f"c.{c}").alias(f"k{i}") for i, c in enumerate(block)]
+        on = [f"k{i}" for i in range(len(block))] + ["term"]
+        met = keyed.select(*keys, "term", F.col("c").alias("a")).join(keyed.select(*keys, "term", F.col("c").alias("b")), on).where("a.role < b.role")
+        near = met.withColumn("distance", F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))).where(F.col("distance") <= near_bits).select("a", "b", "distance")
+        found = near if found is None else found.unionByName(near)
+    same = lambda *cs: F.coalesce(F.expr(" and ".join(f"a.{c} = b.{c}" for c in cs)), F.lit(False))
+    return found.distinct().select("a", "b", "distance", same("text_sha256").alias("text_same"), same("structure_sha256", "geometry_sha256").alias("grid_same"))
+
+
+def _of_class(sigs: DataFrame) -> DataFrame:
+    return sigs.where("perceptual_hash is not null and role is not null").withColumn("bits", hex_to_long(F.col("perceptual_hash"))).withColumn("c", F.xxhash64(*_CLASS))
+
+
+def near_overlaps(sigs: DataFrame, near_bits: int = NEAR_BITS) -> DataFrame:
+    """(first, second, distance, text_same, grid_same): the pairs of samples of ``near_classes``, each once, the lesser sample first. As many rows as there are pairs; ``near_classes`` has one per pair of classes."""
+    pairs = near_classes(sigs, near_bits).withColumn("ca", F.xxhash64(*[f"a.{c}" for c in _CLASS])).withColumn("cb", F.xxhash64(*[f"b.{c}" for c in _CLASS]))
+    held = _of_class(sigs)
+    side = lambda x: held.select(F.col("c").alias(f"c{x}"), F.struct(*_CLASS).alias(f"{x}2"), F.col("sample_id").alias(f"s{x}"))
+    met = pairs.join(side("a"), "ca").join(side("b"), "cb").where("a <=> a2 and b <=> b2")
+    return met.select(F.least("sa", "sb").alias("first"), F.greatest("sa", "sb").alias("second"), "distance", "text_same", "grid_same")
+
+
+def near_count(sigs: DataFrame, near_bits: int = NEAR_BITS) -> DataFrame:
+    """One row (n): how many pairs ``near_overlaps`` has, from the sizes of the classes."""
+    sizes = _of_class(sigs).groupBy(F.struct(*_CLASS).alias("k")).agg(F.count("*").alias("n"))
+    code = lambda x: F.xxhash64(*[f"{x}.{c}" for c in _CLASS])
+    pairs = near_classes(sigs, near_bits).withColumn("ca", code("a")).withColumn("cb", code("b"))
+    side = lambda x: sizes.select(code("k").alias(f"c{x}"), F.col("k").alias(f"{x}2"), F.col("n").alias(f"n{x}"))
+    met = pairs.join(side("a"), "ca").join(side("b"), "cb").where("a <=> a2 and b <=> b2")
+    return met.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("n"))
 
 
 def audit(sigs: DataFrame, near_bits: int = NEAR_BITS) -> DataFrame:
     """One row: n_signatures, n_exact, n_family, n_near, status (PASS if no overlap)."""
-    parts = {"n_signatures": sigs, "n_exact": exact_overlaps(sigs), "n_family": family_overlaps(sigs), "n_near": near_overlaps(sigs, near_bits)}
+    parts = {"n_signatures": sigs, "n_exact": exact_overlaps(sigs), "n_family": family_overlaps(sigs), "n_near": near_count(sigs, near_bits)}
     counts = None
     for name, df in parts.items():
-        n = df.agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        n = (df if name == "n_near" else df.agg(F.count("*").alias("n"))).withColumn("name", F.lit(name))
         counts = n if counts is None else counts.unionByName(n)
     row = counts.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
     return row.withColumn("status", F.when(F.col("n_exact") + F.col("n_family") + F.col("n_near") == 0, "PASS").otherwise("FAIL"))
@@ -119,17 +144,15 @@ def duplicate_components(sigs: DataFrame, signals: tuple[str, ...] = SIGNALS) ->
     shared = rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     links = cut(rows.join(shared, "value", "left_semi"))
     labels = cut(sigs.select("sample_id", F.col("sample_id").alias("label")))
-    for _ in range(MOST_ROUNDS):
+    while True:  # ends: labels only ever become less
         by_value = links.join(labels, "sample_id").groupBy("value").agg(F.min("label").alias("least"))
         by_sample = links.join(by_value, "value").groupBy("sample_id").agg(F.min("least").alias("least"))
-        lower = labels.join(by_sample, "sample_id", "left").select("sample_id", F.least("label", "least").alias("label"))
-        after = cut(lower.join(lower.select(F.col("sample_id").alias("label"), F.col("label").alias("up")), "label", "left").select("sample_id", F.least("label", "up").alias("label")))
-        settled = after.join(labels.withColumnRenamed("label", "was"), "sample_id").where("label != was").isEmpty()
-        labels = after
-        if settled:
+        lower = labels.join(by_sample, "sample_id", "left").select("sample_id", F.col("label").alias("was"), F.least("label", "least").alias("label"))
+        up = lower.where("label != sample_id").select(F.col("sample_id").alias("label"), F.col("label").alias("up"))
+        after = cut(lower.join(up, "label", "left").select("sample_id", "was", F.least("label", "up").alias("label")))
+        labels = after.select("sample_id", "label")
+        if after.where("label != was").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle within {MOST_ROUNDS} rounds")
     sizes = labels.groupBy("label").agg(F.count("*").alias("component_size"))
     return labels.join(sizes, "label").select("sample_id", F.col("label").alias("component"), "component_size")
 
