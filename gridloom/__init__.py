@@ -6,3 +6,7 @@ expressed as DataFrame plans; training-data operators for general data live in
 """
 
 __version__ = "0.1.0"
+
+from gridloom.operators.govern import COMPLETE_TABLE, EXPLICIT, complete_candidates, explicit_candidates, replay, select_complete_table, select_explicit
+
+__all__ = ["COMPLETE_TABLE", "EXPLICIT", "complete_candidates", "explicit_candidates", "replay", "select_complete_table", "select_explicit"]

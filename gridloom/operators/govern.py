@@ -15,6 +15,7 @@ from gridloom.functions.text import SPACE
 
 #: One record's table: interval cells; ocr_token_indexes is null where ownership isn't stated.
 TABLE = "struct<rows:int,cols:int,cells:array<struct<cell_id:string,row_start:int,row_end:int,col_start:int,col_end:int,text:string,tag:string,bbox:array<double>,tokens:array<int>>>>"
+CELLS = "array<struct<cell_id:string,row_start:int,row_end:int,col_start:int,col_end:int,text:string,tag:string,bbox:array<double>,tokens:array<int>>>"
 # Fields and words of provenance, forbidden fields, and the views of a candidate.
 PROVENANCE_FIELDS = ("sample_id", "producer", "producer_release", "purpose", "input_image_sha256")
 FORBIDDEN_WORDS = ("private-evaluation", "restricted-evaluation")
@@ -96,8 +97,8 @@ def provenance_issues(p: Column) -> Column:
     return F.when(p.isNull(), F.array(F.lit("PROVENANCE_MISSING"))).otherwise(held)
 
 
-def text_issues(raw: Column, cand: Column, raw_texts: Column, cand_texts: Column, ocr: Column, policy: Policy) -> Column:
-    """Issue codes of tokens and texts. *_texts: the cells' texts normalised, in order; ocr: the normalised token texts, or null."""
+def text_issues(raw: Column, cand: Column, raw_texts: Column, cand_texts: Column, ocr: Column, said_texts: Column, policy: Policy) -> Column:
+    """Issue codes of tokens and texts. *_texts: the cells' texts normalised, in order; ocr: the token texts, or null; said_texts: what each candidate cell's tokens say, normalised."""
     rc, cc = raw["cells"], cand["cells"]
     owned = lambda c: F.coalesce(c["tokens"].isNotNull() & F.forall(c["tokens"], lambda t: F.coalesce(t >= 0, F.lit(False))), F.lit(False))
     both = F.concat(F.coalesce(rc, F.array()), F.coalesce(cc, F.array()))
@@ -107,7 +108,7 @@ def text_issues(raw: Column, cand: Column, raw_texts: Column, cand_texts: Column
     on = active & whole
     code = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), name)
     outside = lambda c: F.exists(c["tokens"], lambda t: t >= F.size(ocr))
-    said = F.zip_with(cc, cand_texts, lambda c, t: ~outside(c) & (F.array_join(F.transform(c["tokens"], lambda i: F.get(ocr, i)), "") != t))
+    said = F.transform(cc, lambda c, i: ~outside(c) & (F.get(said_texts, i) != F.get(cand_texts, i)))
     codes = [
         code(active & ~whole, "TOKEN_OWNERSHIP_PARTIAL"),
         code(on & (F.size(F.array_distinct(rf)) < F.size(rf)), "RAW_TOKEN_OWNERSHIP_DUPLICATED"),
@@ -127,9 +128,8 @@ def text_issues(raw: Column, cand: Column, raw_texts: Column, cand_texts: Column
 def validate_candidates(df: DataFrame, policy: Policy) -> DataFrame:
     """``df`` (raw, cand: TABLE; ocr: token texts or null; provenance if the policy asks for it) with ``issues``, sorted, each once."""
     texts = lambda c: plain_texts(F.transform(F.coalesce(c["cells"], F.array()), lambda x: F.coalesce(x["text"], F.lit(""))))
-    step = df.withColumn("__rt", texts(F.col("raw"))).withColumn("__ct", texts(F.col("cand"))).withColumn("__ot", plain_texts(F.col("ocr")))
-    # Joining normalised pieces is normalising the join but for marks that compose across tokens.
-    parts = [shape_issues(F.col("cand"), policy), text_issues(F.col("raw"), F.col("cand"), F.col("__rt"), F.col("__ct"), F.col("__ot"), policy)]
+    step = df.withColumn("__rt", texts(F.col("raw"))).withColumn("__ct", texts(F.col("cand"))).withColumn("__ot", plain_texts(F.transform(F.coalesce("cand.cells", F.array().cast(CELLS)), lambda c: F.array_join(F.transform(c["tokens"], lambda i: F.get("ocr", i)), ""))))
+    parts = [shape_issues(F.col("cand"), policy), text_issues(F.col("raw"), F.col("cand"), F.col("__rt"), F.col("__ct"), F.col("ocr"), F.col("__ot"), policy)]
     if policy.provenance:
         parts.append(provenance_issues(F.col("provenance")))
     return step.withColumn("issues", F.array_sort(F.array_distinct(F.filter(F.concat(*parts), lambda x: x.isNotNull())))).drop("__rt", "__ct", "__ot")
@@ -338,6 +338,98 @@ def audit_sidecars(manifest: DataFrame, candidates: DataFrame, threshold: float,
     return counts.groupBy("issue").agg(F.sum("n").alias("n"))
 
 
+def select_explicit(df: DataFrame) -> DataFrame:
+    """Issues and decision on explicit candidates, under the policy of that route (``validate_candidates``, ``decide``)."""
+    return decide(validate_candidates(df, EXPLICIT), EXPLICIT)
+
+
+def select_complete_table(df: DataFrame) -> DataFrame:
+    """Issues and decision on candidates that are a model's complete table, under the policy of that route."""
+    return decide(validate_candidates(df, COMPLETE_TABLE), COMPLETE_TABLE)
+
+
+# The provenance a sidecar must state, whatever its run.
+SIDECAR_PROVENANCE = {
+    "gold_trigger_visible_to_proposal": False,
+    "gold_text_visible_to_recognizer": False,
+    "gold_geometry_visible_to_recognizer": False,
+    "candidate_text_frozen_before_gold_matching": True,
+    "restricted_evaluation_visible": False,
+    "crop_geometry_source": "frozen_paddleocr_token_bbox_only",
+    "logical_projection_bbox_forbidden": True,
+    "role": "public_training_candidates_only",
+    "trigger_source": "frozen_ocr_token_confidence",
+}
+# Members of provenance that repeat what the run's audit states, and the names there.
+AUDITED_PROVENANCE = {
+    "candidate_proposal_policy": "candidate_proposal_policy",
+    "candidate_proposal_mode": "candidate_proposal_mode",
+    "proposal_gate_threshold": "proposal_gate_threshold",
+    "token_confidence_threshold": "token_confidence_threshold",
+    "maximum_candidates_per_table": "maximum_candidates_per_table",
+    "frozen_config_sha256": "frozen_config_sha256",
+    "model_artifact_sha256": "model_artifact_sha256",
+    "geometry_checkpoint_sha256": "geometry_checkpoint_sha256",
+}
+IMAGE_DIGEST = "input_image_sha256"
+
+
+def _states(v: Column, path: str, expected) -> Column:
+    """Whether a variant states just this value at a path; nothing and null state None."""
+    held = F.try_variant_get(v, path, "variant")
+    kind = F.schema_of_variant(held)
+    if expected is None:
+        return held.isNull() | (kind == "VOID")
+    if isinstance(expected, bool):
+        same = (kind == "BOOLEAN") & (F.try_variant_get(v, path, "boolean") == expected)
+    elif isinstance(expected, (int, float)):
+        same = kind.rlike("^(BIGINT|DOUBLE|DECIMAL)") & (F.try_variant_get(v, path, "double") == float(expected))
+    else:
+        same = (kind == "STRING") & (F.try_variant_get(v, path, "string") == str(expected))
+    return F.coalesce(same, F.lit(False))
+
+
+def audit_files(manifest: DataFrame, sidecars: DataFrame, audit: dict) -> DataFrame:
+    """(issue, n): issues of whole sidecar files, beside those of their tokens (``audit_sidecars``).
+
+    manifest: (table_id, image), rows as they came; sidecars: (path, key, text, issue) from
+    ``files.json_directory``; audit: what the run states of itself. Provenance is compared
+    member by member; an absent one is null.
+    """
+    given = {**SIDECAR_PROVENANCE, **{name: audit.get(a) for name, a in AUDITED_PROVENANCE.items()}}
+    rows = manifest.groupBy("table_id").agg(F.count("*").alias("n"), F.first(f"image.{IMAGE_DIGEST}", ignorenulls=True).alias("digest"))
+    whole = sidecars.where("issue is null").select(F.col("key").alias("table_id"), "text", F.try_parse_json("text").alias("v"))
+    met = whole.join(rows, "table_id")
+    code = lambda cond, name: F.when(F.coalesce(cond, F.lit(True)), name)
+    own = [code(~_states(F.col("v"), f"$.provenance.{name}", value), f"provenance_{name}_mismatch") for name, value in given.items()]
+    said = F.try_variant_get("v", f"$.provenance.{IMAGE_DIGEST}", "string")
+    own.append(code(~said.eqNullSafe(F.col("digest")), f"provenance_{IMAGE_DIGEST}_mismatch"))
+    listed = F.try_variant_get("v", "$.token_candidates", "array<variant>")
+    own.append(F.when(has_forbidden_field(F.col("text")), "forbidden_target_field"))
+    own.append(F.when(listed.isNull(), "token_candidates_not_list").when(~F.coalesce(F.try_variant_get("v", "$.proposal_count", "bigint") == F.size(listed), F.lit(False)), "proposal_count_mismatch"))
+    found = met.select(F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    again = rows.where("n > 1").agg(F.sum(F.col("n") - 1).alias("n")).where("n > 0").select(F.lit("duplicate_manifest_sample_id").alias("issue"), "n")
+    return found.unionByName(again).unionByName(sidecars.where("issue is not null").groupBy("issue").agg(F.count("*").alias("n")))
+
+
+def integrity_checks(manifest: DataFrame, sidecars: DataFrame, candidates: DataFrame, audit: dict, expected_tables: int, recognizer: str) -> DataFrame:
+    """(check, passed): the seven checks over a folder of sidecars. candidates: their tokens, as in ``audit_sidecars``."""
+    issues = audit_files(manifest, sidecars, audit).unionByName(audit_sidecars(manifest.dropDuplicates(["table_id"]), candidates, float(audit.get("token_confidence_threshold", -1.0)), int(audit.get("maximum_candidates_per_table", -1)), recognizer))
+    held = {r.issue: r.n for r in issues.groupBy("issue").agg(F.sum("n").alias("n")).collect()}
+    keys = sidecars.where("issue is null").select(F.col("key").alias("table_id")).distinct()
+    views = {r.n_views: r.n for r in view_histogram(candidates).collect()}
+    checks = {
+        "candidate_audit_pass": audit.get("status") == "PASS",
+        "manifest_count": manifest.count() == expected_tables,
+        "unique_sidecar_count": keys.count() == expected_tables,
+        "all_sidecars_match_manifest": keys.join(manifest, "table_id", "left_anti").isEmpty() and manifest.join(keys, "table_id", "left_anti").isEmpty(),
+        "zero_semantic_issues": not any(held.values()),
+        "candidate_pool_nonempty": bool(views),
+        "two_views_per_candidate": set(views) <= {2},
+    }
+    return manifest.sparkSession.createDataFrame(list(checks.items()), "check string, passed boolean")
+
+
 def view_histogram(candidates: DataFrame) -> DataFrame:
     """(n_views, n): candidate tokens by their number of views; null views count as -1."""
     return candidates.groupBy(F.coalesce(F.size("candidates"), F.lit(-1)).alias("n_views")).agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.hashing import deterministic_label
 from gridloom.functions.text import fold_key
-from gridloom.operators import generate, grid, latent, nested, plan, seal
+from gridloom.operators import corpus, generate, grid, latent, nested, plan, seal
 from gridloom.plans import views
 from gridloom.session import cut
 from gridloom.sources.tables import table
@@ -118,6 +118,20 @@ def _record_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.groupBy("category", gate.alias("gate_label"), "phenomenon").agg(F.count("*").cast("int").alias("requested_count"), *counts)
 
 
+def corpus_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates of the corpus of the latent plan; its records are generated, not written."""
+    families, requests = _latent(spark, sf_dir)
+    recs = cut(corpus.records(families))
+    checks = corpus.gates(recs, requests)
+    return spark.createDataFrame(sorted(checks.items()), "gate string, passed boolean")
+
+
+def corpus_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the corpus of the latent plan per category, phenomenon, role and gate."""
+    families, _ = _latent(spark, sf_dir)
+    return corpus.records(families).groupBy("category", "phenomenon", "role", "gate_label").agg(F.count("*").alias("n"))
+
+
 def generated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold and prior grids of the records' coverage, one seed per request, with their difference."""
     rows = plan.expand_coverage(_record_coverage(spark, sf_dir))
@@ -152,7 +166,7 @@ def manifest_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seal.order_free_checksum(gold, F.concat("table_id", F.lit("\t"), grid.structure_text(F.col("rows"), F.col("columns"), F.col("gold"))))
 
 
-QUERIES = {q.__name__: q for q in (coverage_expand, coverage_quotas, stable_member_order, pair_zip, counterfactual_pairs, role_assignment, role_assignment_counts, latent_plan_counts, latent_plan_checks, generated_tables, deterministic_labels, record_contract, manifest_checksum)}
+QUERIES = {q.__name__: q for q in (coverage_expand, coverage_quotas, stable_member_order, pair_zip, counterfactual_pairs, role_assignment, role_assignment_counts, latent_plan_counts, latent_plan_checks, corpus_gates, corpus_record_counts, generated_tables, deterministic_labels, record_contract, manifest_checksum)}
 
 _MEMBERS = r"with m as (select sample_id, t.category as category, t.phenomenon as phenomenon, lower(trim(t.role, E' \t\n\r')) as role from (select sample_id, max_by(table_records, revised_at) as t from table_records where sample_id is not null group by sample_id) where t.category is not null and t.phenomenon is not null)"
 
@@ -182,6 +196,7 @@ SQL = {
     "role_assignment_counts": _COVER + "select category, phenomenon, role, count(*) as n from req group by all",
     "latent_plan_counts": _COVER + """, f as (select category, count(*) as n_keys from req where category <> 'single_minimal_edit' group by all)
 select category, phenomenon, role, count(*) as n, count(*) as n_families, coalesce(any_value(n_keys), 0) as n_keys from req left join f using (category) group by category, phenomenon, role""",
+    "corpus_record_counts": _COVER + "select category, phenomenon, role, gate_label, count(*) as n from req group by all",
     "counterfactual_pairs": _EDGES + """select hard, edit, n, coalesce(sum(n) over (partition by hard order by edit rows between unbounded preceding and 1 preceding), 0)::bigint as first_hard,
   (sum(n) over (partition by edit order by hard) - 1)::bigint as last_edit from edges""",
     "stable_member_order": _MEMBERS + """, o as (select *, row_number() over (partition by category, phenomenon order by sample_id) - 1 as ordinal from m),

@@ -102,7 +102,26 @@ def forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(priors).groupBy("id").agg(F.max("forbidden").alias("forbidden"))
 
 
-QUERIES = {q.__name__: q for q in (candidate_issues, grounding_issues, candidate_decision, explicit_candidate, assemble_table_only, issue_counts, view_histogram, eligible_tokens, forbidden_fields)}
+def route_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance issues of every table of the manifest as a candidate of the explicit route: the digest of its image may be lacking."""
+    raw = views.manifest(spark, sf_dir).select("table_id", F.struct(F.col("table_id").alias("sample_id"), F.col("image.input_image_sha256").alias("input_image_sha256")).alias("raw"))
+    p = raw.withColumn("p", govern.route_provenance("explicit-topology", "structure-candidate", F.col("raw"), F.sha2("table_id", 256)))
+    p = p.withColumn("p", F.struct("p.*", F.to_json("p").alias("json")))
+    return p.select("table_id", F.explode(F.filter(govern.provenance_issues(F.col("p")), lambda x: x.isNotNull())).alias("issue"))
+
+
+def explicit_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision of the explicit route on each table of raw cells as its own candidate, with its provenance."""
+    image = views.manifest(spark, sf_dir).select("table_id", F.col("image.input_image_sha256").alias("digest"))
+    both = _grounded(spark, sf_dir).join(image, "table_id", "left")
+    source = F.struct(F.col("table_id").alias("sample_id"), F.col("digest").alias("input_image_sha256"))
+    p = both.withColumn("p", govern.route_provenance("explicit-topology", "structure-candidate", source, F.sha2("table_id", 256)))
+    p = p.withColumn("provenance", F.struct("p.*", F.to_json("p").alias("json"))).withColumn("raw_sha", F.lit("raw")).withColumn("cand_sha", F.lit("candidate"))
+    p = p.withColumn("gain", F.lit(0.1)).withColumn("gain_source", F.lit("NONTERMINAL_DEVELOPMENT")).withColumn("protocol_id", F.lit("fixed-gain"))
+    return govern.select_explicit(p).select("table_id", "decision", F.array_join("reasons", ",").alias("reasons"))
+
+
+QUERIES = {q.__name__: q for q in (route_issues, explicit_decision, candidate_issues, grounding_issues, candidate_decision, explicit_candidate, assemble_table_only, issue_counts, view_histogram, eligible_tokens, forbidden_fields)}
 
 _CAND = r"""
 with c as (select * from (select distinct on (candidate_id) *, lower(trim(sample_id, E' \t\n\r')) as table_id from candidate_tokens) where sample_id is not null),
@@ -160,7 +179,15 @@ union all select table_id, 'TOKEN_INDEX_OUT_OF_RANGE' from j where active and wh
 union all select table_id, 'CANDIDATE_TEXT_NOT_OCR_GROUNDED' from j where active and whole and odd
 """
 
+_ROUTE = r"""select lower(trim(sample_id, E' \t\n\r')) as table_id, 'PROVENANCE_INPUT_IMAGE_SHA256_MISSING' as issue from table_manifest where sample_id is not null
+group by 1 having coalesce(trim(max_by(table_manifest, registered_at).image.input_image_sha256, E' \t\n\r'), '') = ''"""
+
 SQL = {
+    "route_issues": _ROUTE,
+    "explicit_decision": "with g as (" + _GROUND + "), tables as (select distinct lower(trim(sample_id, E' \\t\\n\\r')) as table_id from raw_cells where sample_id is not null), known as (select lower(trim(sample_id, E' \\t\\n\\r')) as k from table_manifest where sample_id is not null), p as (" + _ROUTE + """),
+i as (select table_id, issue from g union select table_id, issue from p union select table_id, 'PROVENANCE_INPUT_IMAGE_SHA256_MISSING' from tables where table_id not in (select k from known)),
+codes as (select table_id, string_agg(issue, ',' order by issue) as codes from (select table_id, issue from i union select table_id, 'VALIDATION_FAILED' from i) group by table_id)
+select table_id, case when codes is null then 'ACCEPT' else 'ROLLBACK' end as decision, coalesce(codes, 'VALID_AND_POSITIVE_EXPECTED_GAIN') as reasons from tables left join codes using (table_id)""",
     "grounding_issues": _GROUND,
     "candidate_decision": _ISSUES + """, rs as (select table_id, string_agg(concat_ws(chr(1), "row", rowspan, col, colspan, text, tag), chr(2) order by idx) as s from r group by table_id),
 gs as (select table_id, string_agg(concat_ws(chr(1), "row", rowspan, col, colspan, text, tag), chr(2) order by idx) as s, count(*) as n from g group by table_id),

@@ -69,7 +69,7 @@ def structure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label bundle of every legal gold grid, arrays as JSON."""
     gold = views.gold_tables(spark, sf_dir).select("table_id", "gold", F.col("tokens").alias("ocr_tokens"))
     made = labels.structure_labels(gold, F.lit(WIDTH), F.lit(HEIGHT))
-    names = ["owner", "merge_right", "merge_down", "header", "row_boundaries", "column_boundaries", "missing_row_separators", "missing_column_separators", "pointer"]
+    names = ["owner", "merge_right", "merge_down", "header", "row_boundaries", "column_boundaries", "row_separators", "column_separators", "missing_row_separators", "missing_column_separators", "pointer", "primitive_grid", "header_policy", "cell_crops", "cell_payload"]
     return made.select("table_id", "n_rows", "n_cols", *[F.to_json(n).alias(n) for n in names])
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import ranking
-from gridloom.operators import generate, isolate, latent, plan, seal
+from gridloom.operators import corpus, generate, isolate, latent, plan, seal
 from gridloom.sources import files
 
 COVER = [("hard_keep", "KEEP", "a", 3, 2, 1, 0), ("hard_keep", "KEEP", "b", 3, 1, 1, 1), ("single_minimal_edit", "EDIT", "x", 4, 2, 1, 1), ("single_minimal_edit", "EDIT", "y", 2, 1, 1, 0), ("exact_keep", "KEEP", "p", 5, 3, 2, 0), ("complex_correction", "EDIT", "q", 0, 0, None, 0)]
@@ -114,6 +114,33 @@ def test_latent_plan(spark, tmp_path):
     assert latent.overlaps(held.withColumn("text_sha256", F.lit("t"))).select("signal", "roles").collect() == [("text_sha256", "development,holdout,train")]
 
 
+def test_corpus(spark, tmp_path):
+    requests = plan.expand_coverage(spark.createDataFrame(COVER, SCHEMA))
+    families = latent.create_plan(requests, 7000, "d")
+    path = str(tmp_path / "corpus")
+    report = corpus.build(families, requests, path)
+    assert report["status"] == "PASS" and report["generated"] == 17 and all(report["checks"][g] for g in corpus.GATES)
+    assert corpus.verify(spark, path, requests)["status"] == "PASS"
+    recs = spark.read.parquet(f"{path}/records")
+    pairs = recs.where("counterfactual_group_id is not null").groupBy("counterfactual_group_id").agg(F.countDistinct("gold_sha256").alias("g"), F.countDistinct("prior_sha256").alias("p")).collect()
+    assert len(pairs) == 6 and all((r.g, r.p) == (1, 2) for r in pairs)
+    gates = lambda df, req=requests: {g for g, ok in corpus.gates(df, req).items() if not ok}
+    assert gates(recs.limit(16)) >= {"count", "categories", "roles"}
+    assert gates(recs.withColumn("prior_sha256", F.col("gold_sha256"))) == {"contract"}
+    assert "overlap" in gates(recs.withColumn("gold_sha256", F.lit("x")).withColumn("prior_sha256", F.when(F.col("gate_label") == "KEEP", "x").otherwise("y")))
+    assert "pairs" in gates(recs.withColumn("counterfactual_group_id", F.coalesce("counterfactual_group_id", F.lit("lone"))))
+    with pytest.raises(Exception, match="exists"):
+        corpus.build(families, requests, path)
+    # A seed whose corruption is impossible fails the corpus; it is not replaced.
+    with pytest.raises(RuntimeError, match="contract"):
+        corpus.build(latent.create_plan(requests, 5000, "d"), requests, str(tmp_path / "failed"))
+    part = next((tmp_path / "corpus" / "roles").glob("part-*.json"))
+    part.with_name(f".{part.name}.crc").unlink()
+    part.write_text(part.read_text().replace("train", "holdout"))
+    again = corpus.verify(spark, path, requests)
+    assert again["status"] == "FAIL" and again["mismatches"] and again["unlisted"]
+
+
 def test_ranks_in_order(spark):
     rows = [(i % 3 if i % 2 else 0, f"k{i * 7 % 50:02d}") for i in range(50)]
     df = spark.createDataFrame(rows + [(None, "z")], "g int, k string")

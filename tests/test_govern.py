@@ -1,6 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
+import gridloom
 from gridloom.operators import govern
+from gridloom.sources import files
 
 BASE = (1, 2, [("a", 0, 1, 0, 1, "A", "td", [0.0, 0.0, 10.0, 10.0], [0]), ("b", 0, 1, 1, 2, "B", "td", [10.0, 0.0, 20.0, 10.0], [1])])
 PROV = ("s", "p", "1", "use", "x" * 64, False, '{"a":1}')
@@ -50,6 +54,49 @@ def test_token_issues(spark):
     assert issues(spark, none, raw=none, ocr=None) == []
 
 
+def test_tokens_that_compose(spark):
+    """Tokens are joined before they are normalised: a mark at the begin of one composes with the end of the one before."""
+    cells = change(cells=[(*BASE[2][0][:5], "\u00e9", *BASE[2][0][6:8], [0, 1])])
+    cells = (1, 1, cells[2])
+    assert issues(spark, cells, govern.EXPLICIT, ocr=("e", "\u0301"), raw=cells) == []
+
+
+def test_routes(spark):
+    assert gridloom.select_explicit is govern.select_explicit and set(gridloom.__all__) <= set(dir(gridloom))
+    df = spark.createDataFrame([("x", BASE, BASE, ["A", "B"], PROV, "r", "c", 0.5, "NONTERMINAL_DEVELOPMENT", "p")], SCHEMA + ", raw_sha string, cand_sha string, gain double, gain_source string, protocol_id string")
+    for select in (govern.select_explicit, govern.select_complete_table):
+        assert select(df).first().decision == "ACCEPT" and select(df.withColumn("cand_sha", F.lit(None).cast("string"))).first().decision == "ROLLBACK"
+        assert select(df.withColumn("ocr", F.array(F.lit("Z"), F.lit("B")))).first().decision == "ROLLBACK"
+
+
+def test_sidecar_files(spark, tmp_path):
+    audit = {"status": "PASS", "candidate_proposal_policy": "low", "candidate_proposal_mode": None, "proposal_gate_threshold": 0.5, "token_confidence_threshold": 0.7, "maximum_candidates_per_table": 5, "frozen_config_sha256": "c", "model_artifact_sha256": "m"}
+    stated = {**govern.SIDECAR_PROVENANCE, **{k: audit.get(v) for k, v in govern.AUDITED_PROVENANCE.items()}, "input_image_sha256": "i"}
+    views = [{"view": "tight", "text": "A", "confidence": 0.5, "model_id": "r"}, {"view": "padded", "text": "A", "confidence": 0.5, "model_id": "r"}]
+    token = {"token_index": 0, "source_text": "A", "source_confidence": 0.2, "absolute_bbox": [0, 0, 5, 5], "candidates": views}
+    base = {"sample_id": "t", "proposal_count": 1, "token_candidates": [token], "provenance": stated}
+    schema = "table_id string, token_index int, source_text string, source_confidence double, absolute_bbox array<double>, candidates array<struct<view:string,text:string,confidence:double,model_id:string>>"
+    tokens = spark.createDataFrame([("t", 0, "A", 0.2, [0.0, 0.0, 5.0, 5.0], [tuple(v.values()) for v in views])], schema)
+    manifest = spark.createDataFrame([("t", (10, 10, "i"), [("A", 0.2, [0.0, 0.0, 5.0, 5.0])])], "table_id string, image struct<width:int,height:int,input_image_sha256:string>, ocr_tokens array<struct<text:string,confidence:double,bbox:array<double>>>")
+
+    def found(doc, m=manifest):
+        (tmp_path / "a.json").write_text(json.dumps(doc))
+        return {r.issue: r.n for r in govern.audit_files(m, files.json_directory(spark, str(tmp_path)), audit).collect()}
+
+    assert found(base) == {}
+    checks = govern.integrity_checks(manifest, files.json_directory(spark, str(tmp_path)), tokens, audit, 1, "r").collect()
+    assert len(checks) == 7 and all(c.passed for c in checks)
+    assert found(base | {"provenance": {}}).keys() == {f"provenance_{k}_mismatch" for k, v in stated.items() if v is not None}
+    assert found(base | {"provenance": stated | {"logical_projection_bbox_forbidden": "true", "token_confidence_threshold": 0.8, "candidate_proposal_mode": "x", "input_image_sha256": "j"}}).keys() == {f"provenance_{k}_mismatch" for k in ("logical_projection_bbox_forbidden", "token_confidence_threshold", "candidate_proposal_mode", "input_image_sha256")}
+    assert found(base | {"x": [{"gold_text": 1}], "proposal_count": 3}) == {"forbidden_target_field": 1, "proposal_count_mismatch": 1}
+    assert found(base | {"token_candidates": {}}) == {"token_candidates_not_list": 1}
+    assert found(base, manifest.union(manifest)) == {"duplicate_manifest_sample_id": 1}
+    (tmp_path / "b.json").write_text("{broken")
+    assert found(base) == {"invalid_sidecar_json": 1}
+    failed = {c.check for c in govern.integrity_checks(manifest, files.json_directory(spark, str(tmp_path)), tokens.limit(0), audit | {"status": "FAIL"}, 2, "r").collect() if not c.passed}
+    assert failed == {"candidate_audit_pass", "manifest_count", "unique_sidecar_count", "zero_semantic_issues", "candidate_pool_nonempty"}
+
+
 def test_provenance(spark):
     assert issues(spark, BASE, prov=None) == ["PROVENANCE_MISSING"]
     assert issues(spark, BASE, prov=(" ", *PROV[1:5], True, "Private-Evaluation set")) == ["PROVENANCE_RESTRICTED_EVALUATION_REFERENCE_FORBIDDEN", "PROVENANCE_RESTRICTED_EVALUATION_VISIBILITY_NOT_FALSE", "PROVENANCE_SAMPLE_ID_MISSING"]
