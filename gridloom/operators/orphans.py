@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.columns import pick
 from gridloom.functions.text import fold_key
-from gridloom.session import cut, shared_dir
+from gridloom.session import own_dir, cut
 
 #: Versions of one key that are held in one array; keys with more go by time slots.
 LIGHT_VERSIONS = 32
@@ -114,11 +114,11 @@ def _in_force_by_slot(refs: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 class OrphanState:
-    """The state in a folder that all executors share; without a name, one of its own below ``spark.checkpoint.dir``."""
+    """The state in a folder that all executors share; without a name, one among the application's copies (``session.clear``)."""
 
     def __init__(self, spark: SparkSession, home: str | None = None):
         self.spark = spark
-        self.home = (home or f"{shared_dir(spark)}/orphans-{uuid.uuid4().hex}").rstrip("/")
+        self.home = (home or f"{own_dir(spark)}/orphans-{uuid.uuid4().hex}").rstrip("/")
 
     def epochs(self) -> list[tuple[int, object, object]]:
         """(epoch, its end, the latest use seen by then) of the epochs that are done; what a broken run left is not among them."""

@@ -38,11 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     only their columns, and Spark knows its size when it plans joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's copies within the shared one."""
+    return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes this application's copies. For when no DataFrame made so far is needed any more; whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if it is read in fewer parts than there are.
 

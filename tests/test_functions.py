@@ -68,3 +68,10 @@ def test_pick(spark):
     assert pick(df, "text").columns == ["text"] and pick(df, "text").first()[0] == 1
     assert pick(df.toDF("x", "text", "text"), "text", "x").first() == (2, 1)
     assert json.dumps(sys.version)
+
+
+def test_copies_are_cleared(spark, tmp_path):
+    from gridloom import session
+
+    held = session.cut(spark.range(3))
+    assert held.count() == 3 and session.clear(spark) and not session.clear(spark)

@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 
+#: Queries that find nothing in the smallest data.
+EMPTY = {"residual_merge_edges"}
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CORE = {n: q for m in entry._MODULES if ".llm." not in m.__name__ for n, q in m.QUERIES.items()}
 
@@ -35,7 +37,7 @@ def compare(spark, duck, name):
     got = df.select(*cols).toPandas()
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert len(df.columns) > 0
+        assert len(got) > 0 or name in EMPTY
         return
     want = duck.execute(sql).fetchdf()
     assert sorted(want.columns) == cols
