@@ -42,11 +42,12 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A coverage like the latest records: as many of each category, phenomenon and role, but as many single edits in a role as it has hard keeps.
 
     So every hard keep can have its counterfactual. The edits of a role are shared among
-    phenomena in proportion to the records, by greatest remainder.
+    phenomena in proportion to all records that are single edits, by greatest remainder.
     """
     n = _known(spark, sf_dir).groupBy("category", "phenomenon", "role").agg(F.count("*").alias("n"))
     wanted = n.where("category = 'hard_keep'").groupBy("role").agg(F.sum("n").alias("want"))
-    edits = n.where("category = 'single_minimal_edit'").join(wanted, "role")
+    edits = n.where("category = 'single_minimal_edit'").groupBy("category", "phenomenon").agg(F.sum("n").alias("n"))
+    edits = edits.withColumn("role", F.explode(F.array(*[F.lit(r) for r in plan.ROLES]))).join(wanted, "role")
     have = F.sum("n").over(Window.partitionBy("role"))
     edits = edits.withColumn("have", have).withColumn("whole", F.expr("(n * want) div have")).withColumn("over", F.expr("(n * want) % have"))
     place = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("over"), "phenomenon"))
@@ -174,7 +175,7 @@ _COVER = _MEMBERS + """, n as (
   select category, phenomenon, role, count(*) as n from m where category in ('exact_keep', 'hard_keep', 'single_minimal_edit', 'complex_correction') and role in ('train', 'development', 'holdout') group by all
 ), e as (
   select phenomenon, role, (n * want) // have as whole, (n * want) % have as over_, want
-  from (select *, sum(n) over (partition by role)::bigint as have from n where category = 'single_minimal_edit') join (select role, sum(n)::bigint as want from n where category = 'hard_keep' group by role) using (role)
+  from (select phenomenon, sum(n)::bigint as n, (sum(sum(n)) over ())::bigint as have from n where category = 'single_minimal_edit' group by phenomenon), (select role, sum(n)::bigint as want from n where category = 'hard_keep' group by role)
 ), q as (
   select * from n where category <> 'single_minimal_edit'
   union all
