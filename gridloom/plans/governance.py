@@ -107,7 +107,9 @@ def route_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.manifest(spark, sf_dir).select("table_id", F.struct(F.col("table_id").alias("sample_id"), F.col("image.input_image_sha256").alias("input_image_sha256")).alias("raw"))
     p = raw.withColumn("p", govern.route_provenance("explicit-topology", "structure-candidate", F.col("raw"), F.sha2("table_id", 256)))
     p = p.withColumn("p", F.struct("p.*", F.to_json("p").alias("json")))
-    return p.select("table_id", F.explode(F.filter(govern.provenance_issues(F.col("p")), lambda x: x.isNotNull())).alias("issue"))
+    # The issues are a column before they are exploded: of a generator that reads fields of a struct, Catalyst loses the projection to these two columns.
+    issues = p.select("table_id", F.filter(govern.provenance_issues(F.col("p")), lambda x: x.isNotNull()).alias("issues"))
+    return issues.select("table_id", F.explode("issues").alias("issue"))
 
 
 def explicit_decision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import datetime
 import json
 
 from pyspark.sql import functions as F
 
 import gridloom
 from gridloom.operators import govern
+from gridloom.plans import governance
 from gridloom.sources import files
 
 BASE = (1, 2, [("a", 0, 1, 0, 1, "A", "td", [0.0, 0.0, 10.0, 10.0], [0]), ("b", 0, 1, 1, 2, "B", "td", [10.0, 0.0, 20.0, 10.0], [1])])
@@ -166,3 +168,19 @@ def test_complete_and_replay(spark):
     assert {tuple(r) for r in govern.replay(made, raw).collect()} == {("t", "state", True), ("u", None, False)}
     p = spark.createDataFrame([((None, "i"),)], "p struct<sample_id:string,input_image_sha256:string>").select(govern.route_provenance("m", "u", F.col("p"), F.lit("h")).alias("o")).first().o
     assert (p.sample_id, p.producer, p.restricted_evaluation_visible) == ("", "m", False)
+
+
+def route_manifest(spark, path):
+    """A manifest whose latest rows lack the digest for b, c and d; the query over it."""
+    schema = "sample_id string, image struct<width:int,height:int,input_image_sha256:string>, ocr_tokens array<struct<text:string,confidence:double,bbox:array<double>>>, registered_at timestamp, withdrawn_at timestamp"
+    day = lambda n: datetime.datetime(2026, 1, n)
+    rows = [("A", (1, 1, "x" * 64), [], day(1), None), ("b", (1, 1, None), [], day(1), None), ("c", (1, 1, " \t"), None, day(1), None), (" D", None, [], day(2), None), ("d", (1, 1, "y" * 64), [], day(1), None), ("e", (1, 1, ""), [], day(1), None), ("E", (1, 1, "z" * 64), [], day(2), None), (None, None, [], day(1), None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/table_manifest.parquet")
+    return governance.route_issues(spark, str(path))
+
+
+ROUTE_ISSUES = [(t, "PROVENANCE_INPUT_IMAGE_SHA256_MISSING") for t in ("b", "c", "d")]
+
+
+def test_route_issues(spark, tmp_path):
+    assert sorted(map(tuple, route_manifest(spark, tmp_path).collect())) == ROUTE_ISSUES
