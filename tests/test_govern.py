@@ -184,3 +184,9 @@ ROUTE_ISSUES = [(t, "PROVENANCE_INPUT_IMAGE_SHA256_MISSING") for t in ("b", "c",
 
 def test_route_issues(spark, tmp_path):
     assert sorted(map(tuple, route_manifest(spark, tmp_path).collect())) == ROUTE_ISSUES
+
+
+def test_route_issues_are_written(spark, tmp_path):
+    route_manifest(spark, tmp_path).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.columns == ["table_id", "issue"] and sorted(map(tuple, out.collect())) == ROUTE_ISSUES
