@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.text import fold_key, hex_to_long
 from gridloom.llm.cosine_join import cosine_join
 from gridloom.operators.nested import latest
-from gridloom.session import cut
+from gridloom.session import cut, merged
 
 #: Usual spellings of the roles, without case and anything but letters.
 SPELLINGS = {
@@ -78,11 +78,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def block_terms(classes: DataFrame) -> DataFrame:
-    """(id, k, term) of classes (id: from ``class_id``): a term for each k-th choice of TOGETHER blocks."""
+def block_terms(classes: DataFrame, name: str = "id") -> DataFrame:
+    """(id, k, term) of classes (id: from ``class_id``): a term for each k-th choice of TOGETHER blocks. name: the column that stands for the id there."""
     masks = [sum(c) for c in combinations(block_masks(), TOGETHER)]
     terms = F.array(*[F.struct(F.lit(i).alias("k"), F.xxhash64("id.a", "id.b", F.lit(i), F.col("id.bits").bitwiseAND(F.lit(_signed(m)))).alias("term")) for i, m in enumerate(masks)])
-    return classes.select("id", F.inline(terms))
+    return classes.select(F.col(name).alias("id"), F.inline(terms))
 
 
 def rarity(terms: DataFrame) -> list[float]:
@@ -117,10 +117,14 @@ def near_classes(sigs: DataFrame) -> DataFrame:
     sides = sigs.where("cls is not null").select(F.col("cls").alias("id"), (F.col("role") == "train").alias("left")).distinct()
     # A structure of one split only has no partners: its classes are no vectors.
     both = sides.groupBy("id.a", "id.b").agg(F.countDistinct("left").alias("n")).where("n = 2").select(F.struct("a", "b").alias("structure"))
-    sides = cut(sides.withColumn("structure", F.struct("id.a", "id.b")).join(both, "structure", "left_semi").select("id", "left"))
-    squares = rarity(block_terms(sides))
-    side = lambda left: block_vectors(block_terms(sides.where(F.col("left") == left)), squares)
-    met = cosine_join(side(True), side(False), least_cosine(squares))
+    sides = sides.withColumn("structure", F.struct("id.a", "id.b")).join(both, "structure", "left_semi").select("id", "left")
+    # Numbers stand for the classes in the join: they take a fraction of the room of 15 copies of an id.
+    sides = cut(sides.withColumn("number", F.monotonically_increasing_id()))
+    squares = rarity(block_terms(sides, "number"))
+    side = lambda left: block_vectors(block_terms(sides.where(F.col("left") == left), "number"), squares)
+    met = cosine_join(side(True), side(False), least_cosine(squares)).select(F.col("left_id").alias("left_number"), F.col("right_id").alias("right_number"))
+    for s in ("left", "right"):
+        met = met.join(merged(sides.select(F.col("number").alias(f"{s}_number"), F.col("id").alias(f"{s}_id"))), f"{s}_number")
     apart = F.bit_count(F.col("left_id.bits").bitwiseXOR(F.col("right_id.bits")))
     return met.where("left_id.a = right_id.a and left_id.b = right_id.b").select("left_id", "right_id", apart.cast("int").alias("distance")).where(F.col("distance") <= NEAR_BITS)
 
@@ -140,9 +144,9 @@ def overlaps(table: DataFrame) -> DataFrame:
     sides["right"] = other.select(F.col("sample").alias("other_sample"), "role", "source_id", F.col("table_key").alias("right_key"), F.col("structure").alias("right_structure"), F.col("cls").alias("right_id"))
     out = ["train_sample", "other_sample", "overlap_kind", "role", "source_id", "train_source_id"]
     same = exact_classes(sigs).select(F.col("left_id").alias("left_key"), F.col("right_id").alias("right_key"))
-    exact = same.join(sides["left"].drop("left_id", "left_structure"), "left_key").join(sides["right"].drop("right_id", "right_structure"), "right_key").withColumn("overlap_kind", F.lit("exact"))
+    exact = same.join(merged(sides["left"].drop("left_id", "left_structure")), "left_key").join(merged(sides["right"].drop("right_id", "right_structure")), "right_key").withColumn("overlap_kind", F.lit("exact"))
     # The structures themselves are compared here, not their digests.
-    near = near_classes(sigs).join(sides["left"], "left_id").join(sides["right"], "right_id").where("left_structure = right_structure and (left_key is null or right_key is null or left_key != right_key)").withColumn("overlap_kind", F.lit("near"))
+    near = near_classes(sigs).join(merged(sides["left"]), "left_id").join(merged(sides["right"]), "right_id").where("left_structure = right_structure and (left_key is null or right_key is null or left_key != right_key)").withColumn("overlap_kind", F.lit("near"))
     return exact.select(*out).unionByName(near.select(*out))
 
 
@@ -158,15 +162,15 @@ def overlap_counts(table: DataFrame) -> DataFrame:
     out = [*by, "overlap_kind", "n_pairs", "n_samples"]
     keys = train.where("table_key is not null").groupBy("table_key").agg(F.count("*").alias("a"))
     same = exact_classes(sigs).select(F.col("left_id").alias("table_key"))
-    exact = other.groupBy(*by, "table_key").agg(F.count("*").alias("b")).join(keys.join(same, "table_key", "left_semi"), "table_key")
+    exact = other.groupBy(*by, "table_key").agg(F.count("*").alias("b")).join(merged(keys.join(merged(same), "table_key", "left_semi")), "table_key")
     exact = exact.groupBy(*by).agg(F.sum(F.col("a") * F.col("b")).alias("n_pairs"), F.sum("b").alias("n_samples")).withColumn("overlap_kind", F.lit("exact"))
     # Per class of the other splits: samples of train near it, and of these those with each table value.
     near = cut(near_classes(sigs).select("left_id", "right_id"))
-    held = near.join(train.where("cls is not null").groupBy(F.col("cls").alias("left_id"), "table_key").agg(F.count("*").alias("a")), "left_id").groupBy("right_id", "table_key").agg(F.sum("a").alias("a"))
+    held = near.join(merged(train.where("cls is not null").groupBy(F.col("cls").alias("left_id"), "table_key").agg(F.count("*").alias("a"))), "left_id").groupBy("right_id", "table_key").agg(F.sum("a").alias("a"))
     held = cut(held)
     total = held.groupBy("right_id").agg(F.sum("a").alias("total"))
     of_key = held.where("table_key is not null").select("right_id", F.col("table_key").alias("key"), "a")
     rows = other.where("cls is not null").groupBy(F.col("cls").alias("right_id"), *by, F.col("table_key").alias("key")).agg(F.count("*").alias("b"))
-    rows = rows.join(total, "right_id").join(of_key, ["right_id", "key"], "left").withColumn("partners", F.col("total") - F.coalesce("a", F.lit(0)))
+    rows = rows.join(merged(total), "right_id").join(merged(of_key), ["right_id", "key"], "left").withColumn("partners", F.col("total") - F.coalesce("a", F.lit(0)))
     counted = rows.where("partners > 0").groupBy(*by).agg(F.sum(F.col("partners") * F.col("b")).alias("n_pairs"), F.sum("b").alias("n_samples")).withColumn("overlap_kind", F.lit("near"))
     return exact.select(*out).unionByName(counted.select(*out))

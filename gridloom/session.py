@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` for the right side of a join that sorts both sides, whatever Spark takes their size to be.
+
+    Spark reckons with compressed files, and takes exploded rows for no more than what
+    they are made of: a table it finds small enough to broadcast may fill the driver.
+    """
+    return df.hint("merge")
+
+
 def own_dir(spark: SparkSession) -> str:
     """The folder of this application's copies within the shared one."""
     return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"

@@ -66,6 +66,18 @@ def test_overlaps_against_all_pairs(spark):
     assert overlap.overlaps(spark.createDataFrame([], SIGS)).count() == 0
 
 
+def test_lists_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files as small as these, Spark would broadcast whatever they are exploded to."""
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    plans, cut = [], cosine_join.cut
+    monkeypatch.setattr(cosine_join, "cut", lambda df: (plans.append(plan(df)), cut(df))[1])
+    rows = [(f"s{i}", ("train", "dev")[i % 2], "src", f"{1000 + i // 4:x}", f"{100 + i // 3:x}", "ab", AT) for i in range(40)]
+    spark.createDataFrame(rows, SIGS).write.parquet(str(tmp_path / "sigs"))
+    sigs = spark.read.parquet(str(tmp_path / "sigs"))
+    plans += [plan(overlap.overlaps(sigs)), plan(overlap.overlap_counts(sigs))]
+    assert len(plans) >= 6 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 # Problem 4
 
 
